@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.operators.normalise import known_applications
-from flowkeel.operators.quantiles import approx_quantiles, exact_quantiles
+from flowkeel.operators.quantiles import approx_stats, exact_stats
 from flowkeel.params import ProfileParams
 
 # Metric name in the baseline document -> (integer input, divisor to the reported unit).
@@ -68,42 +68,30 @@ def global_summary(flows: DataFrame) -> DataFrame:
     )
 
 
-def _quantile_columns(quantiles: DataFrame, names: dict[float, str]) -> DataFrame:
-    return quantiles.groupBy("metric").agg(*[
-        F.max(F.when(F.col("p") == F.lit(p), F.col("value"))).alias(name)
-        for p, name in names.items()
-    ])
-
-
 def numeric_profile(flows: DataFrame, metrics: dict[str, tuple[str, float]] = NUMERIC_METRICS,
                     approx: bool = False) -> DataFrame:
     """Moments and quantiles, one row per metric; the deviation is the population's."""
-    moments = flows.agg(*[
-        F.struct(F.min(c).alias("min"), F.max(c).alias("max"),
-                 F.avg(c).alias("mean"), F.stddev_pop(c).alias("stddev")).alias(m)
-        for m, (c, _) in metrics.items()
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.lit(scale).alias("scale"),
-                 *[F.col(f"`{m}`.{s}").cast("double").alias(s) for s in ("min", "max", "mean", "stddev")])
-        for m, (_, scale) in metrics.items()
-    ])
-    moments = moments.select(F.inline(rows))
-    quantiles = (approx_quantiles if approx else exact_quantiles)(
-        flows, {m: F.col(c) for m, (c, _) in metrics.items()}, list(QUANTILE_NAMES))
-    # One row per metric on both sides.
-    joined = moments.join(F.broadcast(_quantile_columns(quantiles, QUANTILE_NAMES)), "metric", "left")
-    stats = ("min", "max", "mean", "stddev", *QUANTILE_NAMES.values())
-    return joined.select("metric", *[(F.col(s) / F.col("scale")).alias(s) for s in stats]).withColumn(
-        "iqr", F.col("p75") - F.col("p25"))
+    measure = approx_stats if approx else exact_stats
+    stats = measure(flows, {m: F.col(c) for m, (c, _) in metrics.items()}, list(QUANTILE_NAMES))
+    rows = []
+    for metric, (_, scale) in metrics.items():
+        s = stats.get(metric)
+        values = [None] * 10 if s is None else [
+            v / scale for v in (s.min, s.max, s.mean, s.stddev, *(s.quantiles[p] for p in QUANTILE_NAMES))]
+        iqr = None if s is None else values[6] - values[4]
+        rows.append((metric, *values, iqr))
+    names = ("min", "max", "mean", "stddev", *QUANTILE_NAMES.values(), "iqr")
+    return flows.sparkSession.createDataFrame(rows, "metric string, " + ", ".join(f"{n} double" for n in names))
 
 
 def ratio_profile(flows: DataFrame, approx: bool = False) -> DataFrame:
     """Quantiles of source bytes per destination byte and per source packet."""
-    columns = {m: F.expr(e) for m, e in RATIO_METRICS.items()}
     names = {0.50: "median", 0.95: "p95", 0.99: "p99"}
-    quantiles = (approx_quantiles if approx else exact_quantiles)(flows, columns, list(names))
-    return _quantile_columns(quantiles, names)
+    measure = approx_stats if approx else exact_stats
+    stats = measure(flows, {m: F.expr(e) for m, e in RATIO_METRICS.items()}, list(names))
+    rows = [(m, *[stats[m].quantiles[p] if m in stats else None for p in names]) for m in RATIO_METRICS]
+    return flows.sparkSession.createDataFrame(
+        rows, "metric string, " + ", ".join(f"{n} double" for n in names.values()))
 
 
 def _entropy(counts: DataFrame, by: str) -> DataFrame:
@@ -141,14 +129,13 @@ def fan_out(flows: DataFrame, key: str = "src_ip",
 def fan_out_limits(fan: DataFrame) -> DataFrame:
     """Maximum and 95th percentile of the per-source counts, in one row."""
     metrics = {"dst_ips": "unique_dst_ips", "dst_ports": "unique_dst_ports"}
-    p95 = exact_quantiles(fan, {m: F.col(c) for m, c in metrics.items()}, [0.95])
-    p95 = p95.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"p95_unique_{m}_per_src")
-                    for m in metrics])
-    top = fan.agg(*[F.max(c).alias(f"max_unique_{m}_per_src") for m, c in metrics.items()])
-    quantiles = top.select("*", p95.select(F.struct("*")).scalar().alias("_p"))
-    return quantiles.select(*[c for m in metrics for c in (
-        F.col(f"max_unique_{m}_per_src"),
-        F.col(f"_p.p95_unique_{m}_per_src").alias(f"p95_unique_{m}_per_src"))])
+    stats = exact_stats(fan, {m: F.col(c) for m, c in metrics.items()}, [0.95])
+    row, schema = [], []
+    for m in metrics:
+        s = stats.get(m)
+        row += [None, None] if s is None else [s.max, s.quantiles[0.95]]
+        schema += [f"max_unique_{m}_per_src bigint", f"p95_unique_{m}_per_src double"]
+    return fan.sparkSession.createDataFrame([tuple(row)], ", ".join(schema))
 
 
 def rare_values(df: DataFrame, column: str, threshold: int = 3, limit: int | None = None) -> DataFrame:

@@ -1,110 +1,146 @@
-"""Exact quantiles of integer columns without a single-task value table.
-
-`percentile` gathers every distinct value in one reducer. Here the rank of each
-quantile is narrowed in three steps whose groups are bounded by construction:
-a coarse logarithmic histogram of all rows, a fine one of the rows that share a
-coarse bucket with a wanted rank, and the distinct values of one fine bucket.
-Each step pre-aggregates map-side, so a value that fills the table costs one row
-per task.
+"""Exact moments and quantiles of integer columns in a few narrow passes.
+
+`percentile` gathers every distinct value of a column in one reducer. Here each
+pass is a histogram with map-side combine and a bounded number of slots, and the
+driver only learns which slot holds each wanted rank: first one of the
+logarithmic slots over all rows, then one of `SLOTS` equal parts of that slot's
+value range, until a slot holds a single value. A pass cuts the range to a
+millionth, so 64-bit values take four passes at most, and values below 10^9 two.
+The later passes filter by literal ranges, which reach the Parquet scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.functions.stats import log_bucket
 
-COARSE_STEPS = 1 << 10
-FINE_STEPS = 1 << 24
+LOG_STEPS = 1 << 10
+SLOTS = 1 << 20
 
 
-def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Adds the number of rows before each group member."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("below", F.sum("n").over(w) - F.col("n"))
+@dataclass
+class Stats:
+    """Moments of one column; `quantiles` maps each probability to its value."""
 
+    n: int
+    min: int
+    max: int
+    mean: float
+    stddev: float
+    quantiles: dict[float, float] = field(default_factory=dict)
 
-def _holds_rank() -> Column:
-    return (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n"))
 
+def _slot_counts(rows: DataFrame, group: str) -> DataFrame:
+    """Counts and bounds per slot, with the number of rows in the slots before."""
+    w = Window.partitionBy(group).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.groupBy(group, "slot")
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+             F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+        .withColumn("below", F.sum("n").over(w) - F.col("n"))
+    )
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles as rows `(metric, p, value)`.
 
-    `columns` maps a metric name to an integer column; nulls do not count. A
-    metric without values has no rows.
-    """
-    names = list(columns)
-    values = (
-        df.select(*[c.cast("bigint").alias(n) for n, c in columns.items()])
-        .unpivot([], names, "metric", "x")
-        .filter(F.col("x").isNotNull())
-        .withColumn("coarse", log_bucket(F.col("x"), COARSE_STEPS))
-    )
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("below")) & (rank < F.col("below") + F.col("n"))
 
-    # Step 1: at most 64 * COARSE_STEPS buckets per metric and sign.
-    hist = values.groupBy("metric", "coarse").agg(F.count("*").alias("n"))
-    hist = _running(hist, ["metric"], "coarse").withColumn(
-        "total", F.sum("n").over(Window.partitionBy("metric")))
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("pos"))
-        for p in probs
-    ])
-    ranks = F.flatten(F.transform(wanted, lambda t: F.array(*[
-        F.struct(t["p"].alias("p"), (t["pos"] - F.floor(t["pos"])).alias("frac"),
-                 F.lit(side).alias("side"), edge(t["pos"]).alias("rank"))
-        for side, edge in (("lo", F.floor), ("hi", F.ceil))
-    ])))
-    here = F.filter(ranks, lambda t: (t["rank"] >= F.col("below"))
-                    & (t["rank"] < F.col("below") + F.col("n")))
-    targets = (
-        hist.filter(F.size(here) > 0)
-        .select("metric", "coarse", "below", F.explode(here).alias("t"))
-        .select("metric", "coarse", "t.p", "t.frac", "t.side",
-                (F.col("t.rank") - F.col("below")).alias("rank"))
-    )
 
-    # Step 2: values of the wanted buckets only; targets hold 2 rows per metric and quantile.
-    buckets = targets.select("metric", "coarse").distinct()
-    near = (
-        values.join(F.broadcast(buckets), ["metric", "coarse"], "left_semi")
-        .groupBy("metric", "coarse", "x").agg(F.count("*").alias("n"))
-        .withColumn("fine", log_bucket(F.col("x"), FINE_STEPS))
-    )
-    fine = near.groupBy("metric", "coarse", "fine").agg(F.sum("n").alias("n"))
-    fine_targets = (
-        _running(fine, ["metric", "coarse"], "fine")
-        .join(F.broadcast(targets), ["metric", "coarse"])
-        .filter(_holds_rank())
-        .select("metric", "coarse", "fine", "p", "frac", "side",
-                (F.col("rank") - F.col("below")).alias("rank"))
-    )
+def _stacked(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.select(*[c.cast("bigint").alias(m) for m, c in columns.items()]).unpivot(
+        [], list(columns), "metric", "x").filter(F.col("x").isNotNull())
 
-    # Step 3: the distinct values of one fine bucket.
-    found = (
-        _running(near.join(F.broadcast(fine_targets.select("metric", "coarse", "fine").distinct()),
-                           ["metric", "coarse", "fine"], "left_semi"),
-                 ["metric", "coarse", "fine"], "x")
-        .join(F.broadcast(fine_targets), ["metric", "coarse", "fine"])
-        .filter(_holds_rank())
-    )
-    lo = F.max(F.when(F.col("side") == "lo", F.col("x"))).cast("double")
-    hi = F.max(F.when(F.col("side") == "hi", F.col("x"))).cast("double")
-    return found.groupBy("metric", "p").agg((lo + (hi - lo) * F.first("frac")).alias("value"))
-
-
-def approx_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
-                     accuracy: int = 10_000) -> DataFrame:
-    """One-pass approximation with the same output as `exact_quantiles`."""
-    names = list(columns)
-    values = df.select(*[c.cast("bigint").alias(n) for n, c in columns.items()]).unpivot(
-        [], names, "metric", "x").filter(F.col("x").isNotNull())
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    return (
-        values.groupBy("metric").agg(F.percentile_approx("x", list(probs), accuracy).alias("q"))
-        .select("metric", F.explode(F.arrays_zip(ps.alias("p"), "q")).alias("z"))
-        .select("metric", F.col("z.p").alias("p"), F.col("z.q").cast("double").alias("value"))
+
+def _first_pass(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> list:
+    """One row per metric: its moments, and the slots that hold its wanted ranks."""
+    by_metric = Window.partitionBy("metric")
+    n, mean = F.col("n"), F.col("mean")
+    slots = (
+        _slot_counts(_stacked(df, columns).withColumn("slot", log_bucket(F.col("x"), LOG_STEPS)), "metric")
+        .withColumn("total", F.sum("n").over(by_metric))
+        .withColumn("centre", F.sum(n * mean).over(by_metric) / F.col("total"))
     )
+    last = F.col("total") - 1
+    ranks = F.array_distinct(F.concat(
+        F.array(*[F.floor(F.lit(float(p)) * last) for p in probs]),
+        F.array(*[F.ceil(F.lit(float(p)) * last) for p in probs])))
+    here = F.filter(ranks, _holds)
+    hit = F.when(F.size(here) > 0, F.struct("lo", "hi", "below", here.alias("ranks")))
+    spread = F.sum(n * (F.col("var") + (mean - F.col("centre")) ** 2)) / F.sum("n")
+    return slots.groupBy("metric").agg(
+        F.sum("n").alias("rows"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+        F.first("centre").alias("average"), F.sqrt(spread).alias("stddev"),
+        F.collect_list(hit).alias("hits")).collect()
+
+
+def _narrow(df: DataFrame, columns: dict[str, Column], ranges: list[tuple[str, int, int, list[int]]]) -> list:
+    """Splits value ranges `(metric, lo, hi, ranks)` and finds the part that holds each rank."""
+    used = {m: columns[m] for m in dict.fromkeys(r[0] for r in ranges)}
+    near = reduce(lambda a, b: a | b, [columns[m].between(lo, hi) for m, lo, hi, _ in ranges])
+    x, branch, slot = F.col("x"), None, None
+    for i, (m, lo, hi, _) in enumerate(ranges):
+        inside = (F.col("metric") == m) & x.between(lo, hi)
+        part = F.call_function("div", x - F.lit(lo), F.lit((hi - lo) // SLOTS + 1))
+        branch = F.when(inside, F.lit(i)) if branch is None else branch.when(inside, F.lit(i))
+        slot = F.when(inside, part) if slot is None else slot.when(inside, part)
+    rows = _stacked(df.filter(near), used).select("x", branch.alias("branch"), slot.alias("slot")).filter(
+        F.col("branch").isNotNull())
+    wanted = F.create_map(*[c for i, r in enumerate(ranges) for c in (
+        F.lit(i), F.array(*[F.lit(k).cast("bigint") for k in r[3]]))])
+    here = F.filter(F.element_at(wanted, F.col("branch")), _holds)
+    return (_slot_counts(rows, "branch").withColumn("ranks", here).filter(F.size("ranks") > 0)
+            .select("branch", "lo", "hi", "below", "ranks").collect())
+
+
+def exact_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, Stats]:
+    """Moments and linearly interpolated quantiles per metric; nulls do not count.
+
+    `columns` maps metric names to integer columns. A metric without values is
+    missing from the result. Runs its passes at once and keeps at most two slots
+    per metric and quantile in the driver.
+    """
+    found: dict[tuple[str, int], int] = {}
+    stats: dict[str, Stats] = {}
+    # (metric, lo, hi, ranks within the range, same ranks within the column)
+    open_ranges = []
+
+    def sort_in(metric, hit, outer):
+        inner = [r - hit["below"] for r in hit["ranks"]]
+        if hit["lo"] == hit["hi"]:
+            found.update({(metric, outer(r)): hit["lo"] for r in hit["ranks"]})
+        else:
+            open_ranges.append((metric, hit["lo"], hit["hi"], inner, [outer(r) for r in hit["ranks"]]))
+
+    for row in _first_pass(df, columns, probs):
+        stats[row["metric"]] = Stats(row["rows"], row["min"], row["max"], row["average"], row["stddev"])
+        for hit in row["hits"]:
+            sort_in(row["metric"], hit, lambda r: r)
+    while open_ranges:
+        ranges, open_ranges = open_ranges, []
+        for row in _narrow(df, columns, [r[:4] for r in ranges]):
+            metric, _, _, inner, outer = ranges[row["branch"]]
+            sort_in(metric, row, dict(zip(inner, outer)).__getitem__)
+
+    for metric, s in stats.items():
+        for p in probs:
+            pos = float(p) * (s.n - 1)
+            lo, hi = found[metric, floor(pos)], found[metric, ceil(pos)]
+            s.quantiles[p] = lo + (hi - lo) * (pos - floor(pos))
+    return stats
+
+
+def approx_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
+                 accuracy: int = 10_000) -> dict[str, Stats]:
+    """The same in one pass, with quantiles within `1 / accuracy` of their rank."""
+    rows = _stacked(df, columns).groupBy("metric").agg(
+        F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("stddev"),
+        F.percentile_approx("x", list(probs), accuracy).alias("q")).collect()
+    return {r["metric"]: Stats(r["n"], r["min"], r["max"], r["mean"], r["stddev"],
+                               dict(zip(probs, map(float, r["q"])))) for r in rows}

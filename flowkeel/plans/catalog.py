@@ -18,6 +18,7 @@ from flowkeel.plans.baseline import build_baseline, chart_tables, profile_run_su
 from flowkeel.plans.training import train_and_flag
 from flowkeel.session import fresh_path, materialise
 from flowkeel.sources import baseline as baseline_io
+from flowkeel.sources import captures
 from flowkeel.sources import flows as flow_io
 from flowkeel.sources import tables
 
@@ -219,6 +220,15 @@ def packet_decode(spark, sf_dir):
     return packets.decode_packets(tables.frames_view(tables.packets_view(spark, sf_dir)), keep=("ord",))
 
 
+@query
+def capture_scan(spark, sf_dir):
+    """Events written as rotated captures, split, scanned and decoded."""
+    folder = fresh_path(spark, "captures")
+    tables.write_captures(tables.frames_view(tables.packets_view(spark, sf_dir)), folder)
+    frames = captures.read_frames(spark, f"{folder}/*.pcap", split_bytes=64 << 10)
+    return packets.decode_packets(frames)
+
+
 @query
 def canonical_direction(spark, sf_dir):
     return assembly.orient(tables.packets_view(spark, sf_dir)).select(

@@ -6,11 +6,18 @@ view.
 
 from __future__ import annotations
 
+import re
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkeel.functions.net import int_to_ip
 from flowkeel.schema import FLOW_COLUMNS
+from flowkeel.session import ship_package
 
 # Server address and port per event type.
 SERVERS = {
@@ -126,3 +133,29 @@ def geo_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = F.when(k % 7 == 0, 149).when(k % 5 == 0, 49).otherwise(99)
     return table(spark, sf_dir, "nation").select(
         start.alias("start_ip_num"), (start + width).alias("end_ip_num"), F.col("n_name").alias("country_name"))
+
+
+def write_captures(frames: DataFrame, folder: str, files: int = 4) -> None:
+    """Writes frames as pcap files, one per time range, like rotated captures."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        uri = "file://" + folder if folder.startswith("/") else re.sub(r"^file:/+", "file:///", folder)
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path)
+        part = TaskContext.get().partitionId()
+        name = f"{path}/part-{part:05d}.pcap"
+        attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
+        n = 0
+        with system.open_output_stream(attempt) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+            for b in batches:
+                for ts, wire, frame in zip(*(b.column(c).to_pylist() for c in ("ts_us", "wirelen", "frame"))):
+                    out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), wire) + frame)
+                    n += 1
+        system.move(attempt, name)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    ship_package(frames.sparkSession)
+    ordered = frames.repartitionByRange(files, "ts_us").sortWithinPartitions("ts_us", "ord")
+    ordered.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
