@@ -70,7 +70,8 @@ def file_report(flows: DataFrame, time: str = "time_us", file: str = "file") ->
 def shard_files(spark: SparkSession, path: str | list[str], n_shards: int) -> DataFrame:
     """Deals files to at most `n_shards` shards in name order: rows `(file, shard)`."""
     paths = [path] if isinstance(path, str) else list(path)
-    files = sorted(spark.read.parquet(*paths).inputFiles())
+    listing = spark.read.format("binaryFile").load(paths).select("path")
+    files = sorted(r["path"] for r in listing.collect())
     n = max(1, min(n_shards, len(files)))
     return spark.createDataFrame([(f, i % n) for i, f in enumerate(files)], "file string, shard int")
 
