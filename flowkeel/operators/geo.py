@@ -114,11 +114,13 @@ def asof_interval_join(left: DataFrame, geo: DataFrame, key: str, label: str = "
 
 
 def destination_counts(flows: DataFrame) -> DataFrame:
-    """Flows per destination with its number; a text no address parses to 0."""
-    return (
-        flows.groupBy("dst_ip").agg(F.count("*").alias("flow_count"))
-        .withColumn("ip_num", ip_to_int(F.col("dst_ip")))
-    )
+    """Flows per destination with its number; a text no address parses to 0.
+
+    The number names the count, which is never 0, so that no filter on it can
+    be moved ahead of the aggregation and parse every row.
+    """
+    parsed = F.when(F.col("flow_count") > 0, ip_to_int(F.col("dst_ip")))
+    return flows.groupBy("dst_ip").agg(F.count("*").alias("flow_count")).withColumn("ip_num", parsed)
 
 
 def locate_destinations(flows: DataFrame, geo: DataFrame, **kw) -> DataFrame:

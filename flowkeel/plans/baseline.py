@@ -9,6 +9,7 @@ from flowkeel.operators import geo as geo_ops
 from flowkeel.operators import profile as prof
 from flowkeel.params import ProfileParams
 from flowkeel.schema import BASELINE_DDL
+from flowkeel.session import materialise
 from flowkeel.sources.baseline import write_baseline
 
 
@@ -28,8 +29,10 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
                    approx: bool = False) -> DataFrame:
     """The baseline document as one nested row.
 
-    Every section is a scalar subquery, so the whole document is one query whose
-    sections run side by side. Without `geo` the country block says why it is empty.
+    Quantiles take a few passes of their own; the other sections are scalar
+    subqueries of one query and run side by side. `flows` is scanned several times, a
+    few columns each, so it should be a table rather than the result of a join.
+    Without `geo` the country block says why it is empty.
     """
     stats = ["min", "max", "mean", "stddev", "p25", "median", "p75", "p95", "p99", "p999", "iqr"]
     none = F.lit(None)
@@ -44,6 +47,8 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
     limits = ["max_unique_dst_ips_per_src", "p95_unique_dst_ips_per_src",
               "max_unique_dst_ports_per_src", "p95_unique_dst_ports_per_src"]
 
+    fan = materialise(prof.fan_out(flows, approx=approx), "fan-out")
+
     def rare(column: str) -> Column:
         return _list(prof.rare_values(flows, column, params.rare_threshold, params.rare_limit), column)
 
@@ -53,8 +58,7 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
         "numerical_profiles": _map(prof.numeric_profile(flows, approx=approx), "metric", F.struct(*stats)),
         "ratio_profiles": _map(prof.ratio_profile(flows, approx), "metric", F.struct("median", "p95", "p99")),
         "global_entropy": _map(prof.entropy_profile(flows), "column", F.col("entropy")),
-        "structural_limits": prof.fan_out_limits(prof.fan_out(flows, approx=approx)).select(
-            F.struct(*limits)).scalar(),
+        "structural_limits": prof.fan_out_limits(fan).select(F.struct(*limits)).scalar(),
         "categorical_baselines": F.struct(
             rare("src_ip").alias("rare_src_ips_sample"),
             rare("dst_ip").alias("rare_dst_ips_sample"),

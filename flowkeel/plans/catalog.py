@@ -15,10 +15,11 @@ from flowkeel.functions.net import ip_to_int
 from flowkeel.operators import anomaly, assembly, features, geo, normalise, packets, profile
 from flowkeel.params import FeatureParams, TrainParams
 from flowkeel.plans.baseline import build_baseline, chart_tables, profile_run_summary
+from flowkeel.plans.capture import capture_job
 from flowkeel.plans.training import train_and_flag
 from flowkeel.session import fresh_path, materialise
 from flowkeel.sources import baseline as baseline_io
-from flowkeel.sources import captures
+from flowkeel.sources import captures, metrics
 from flowkeel.sources import flows as flow_io
 from flowkeel.sources import tables
 
@@ -33,6 +34,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def stored_flows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The flows as a table of their own, for queries that pass over them more than once."""
+    flows = tables.flows_view(spark, sf_dir)
+    return materialise(flows.select(*columns) if columns else flows, "flows")
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Rounds every floating column, `special` ones to their own digits."""
     return df.select(*[
@@ -64,13 +71,15 @@ def global_summary(spark, sf_dir):
 
 @query
 def numeric_profile(spark, sf_dir):
-    out = profile.numeric_profile(tables.flows_view(spark, sf_dir))
+    columns = [c for c, _ in profile.NUMERIC_METRICS.values()]
+    out = profile.numeric_profile(stored_flows(spark, sf_dir, *columns))
     return _profile_rounded(out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)}))
 
 
 @query
 def ratio_profile(spark, sf_dir):
-    return rounded(profile.ratio_profile(tables.flows_view(spark, sf_dir)))
+    return rounded(profile.ratio_profile(
+        stored_flows(spark, sf_dir, "src_bytes", "dst_bytes", "src_packets")))
 
 
 @query
@@ -85,7 +94,8 @@ def fan_out(spark, sf_dir):
 
 @query
 def fan_out_limits(spark, sf_dir):
-    return rounded(profile.fan_out_limits(profile.fan_out(tables.flows_view(spark, sf_dir))))
+    fan = profile.fan_out(tables.flows_view(spark, sf_dir))
+    return rounded(profile.fan_out_limits(materialise(fan, "fan-out")))
 
 
 @query
@@ -132,7 +142,8 @@ def timeline_histogram(spark, sf_dir):
 
 @query
 def profile_summary(spark, sf_dir):
-    return rounded(profile_run_summary(tables.flows_view(spark, sf_dir), tables.geo_view(spark, sf_dir)))
+    flows = stored_flows(spark, sf_dir, "time_us", "dst_ip", "src_bytes", "dst_bytes", "src_packets", "dst_packets")
+    return rounded(profile_run_summary(flows, tables.geo_view(spark, sf_dir)))
 
 
 @query
@@ -140,6 +151,12 @@ def chart_protocols(spark, sf_dir):
     return chart_tables(tables.flows_view(spark, sf_dir))["protocol_distribution"]
 
 
+@query
+def chart_countries(spark, sf_dir):
+    flows = tables.flows_view(spark, sf_dir)
+    return chart_tables(flows, tables.geo_view(spark, sf_dir))["top_countries"]
+
+
 # Baseline document -----------------------------------------------------------------------------
 
 
@@ -147,7 +164,7 @@ def _document(spark, sf_dir) -> DataFrame:
     """The document, written as JSON and read back."""
     path = fresh_path(spark, "baseline")
     baseline_io.write_baseline(
-        build_baseline(tables.flows_view(spark, sf_dir), tables.geo_view(spark, sf_dir)), path)
+        build_baseline(stored_flows(spark, sf_dir), tables.geo_view(spark, sf_dir)), path)
     return baseline_io.read_baseline(spark, path)
 
 
@@ -229,6 +246,15 @@ def capture_scan(spark, sf_dir):
     return packets.decode_packets(frames)
 
 
+@query
+def capture_to_flows(spark, sf_dir):
+    """The whole assembly job, from capture files to flow Parquet."""
+    folder, out = fresh_path(spark, "captures"), fresh_path(spark, "flows")
+    tables.write_captures(tables.frames_view(tables.packets_view(spark, sf_dir)), folder)
+    capture_job(spark, f"{folder}/*.pcap", out, split_bytes=64 << 10)
+    return flow_io.read_flows(spark, out)
+
+
 @query
 def canonical_direction(spark, sf_dir):
     return assembly.orient(tables.packets_view(spark, sf_dir)).select(
@@ -280,7 +306,7 @@ def null_audit(spark, sf_dir):
 def file_report(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select(
         F.col("_metadata.file_name").alias("file"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"))
+        tables.micros("ts").alias("time_us"))
     return rounded(flow_io.file_report(events))
 
 
@@ -321,14 +347,14 @@ def features_raw(spark, sf_dir):
 
 @query
 def features_robust(spark, sf_dir):
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir)
     rows = materialise(profile.numeric_profile(flows).select("metric", "median", "iqr"), "profile")
     return rounded(_keyed(features.robust_features(flows, rows), [f"robust_{c}" for c in features.ROBUST]))
 
 
 @query
 def features_rare(spark, sf_dir):
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir, "time_us", "src_ip", "dst_ip", "src_bytes")
     rare = materialise(profile.rare_values(flows, "src_ip"), "rare")
     return _keyed(features.rare_feature(flows, rare), ["rare_src_ip"])
 
@@ -336,7 +362,7 @@ def features_rare(spark, sf_dir):
 @query
 def features_rare_salted(spark, sf_dir):
     """The same flag by the way taken when the rare set is too large to broadcast."""
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir, "time_us", "src_ip", "dst_ip", "src_bytes")
     rare = materialise(profile.rare_values(flows, "src_ip"), "rare")
     return _keyed(features.rare_feature(flows, rare, broadcast_rows=0), ["rare_src_ip"])
 
@@ -348,7 +374,7 @@ def features_protocol(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, params: FeatureParams = FeatureParams()) -> DataFrame:
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir)
     rows, rare = _profile_and_rare(spark, flows)
     return features.build_features(flows, rows, rare, params)
 
@@ -400,6 +426,13 @@ def anomaly_summary(spark, sf_dir):
     return rounded(anomaly.anomaly_summary(_scored(spark, sf_dir), "score"))
 
 
+@query
+def scoring_metrics(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return rounded(metrics.scoring_metrics(
+        anomaly.anomaly_summary(scored, "score"), anomaly.error_histogram(scored, "score", 40)))
+
+
 @query
 def error_histogram(spark, sf_dir):
     return rounded(anomaly.error_histogram(_scored(spark, sf_dir), "score", 40))
@@ -409,7 +442,7 @@ def error_histogram(spark, sf_dir):
 
 
 def _run(spark, sf_dir, **kw):
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir)
     rows, rare = _profile_and_rare(spark, flows)
     return train_and_flag(flows, rows, rare, train=TrainParams(**kw))
 

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP_BYTES = 8 << 20
+
 
 def local_session(app: str = "flowkeel", cores: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -44,10 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back.
 
     This cuts lineage in a way that survives the loss of executors, and the
-    file sizes give the optimizer the true size of what it may broadcast.
+    file sizes give the optimizer the true size of what it may broadcast. Row groups
+    are kept small, so that a reader can split even the files of few writers.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

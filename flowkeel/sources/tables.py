@@ -50,8 +50,9 @@ def _choose(key: Column, mapping: dict) -> Column:
     return out
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def micros(ts: str) -> Column:
+    """A zoneless timestamp as microseconds, whatever the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
 
 
 def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.col("event_id") % 3 != 0
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"),
-        _micros("ts").alias("ts_us"),
+        micros("ts").alias("ts_us"),
         F.when(up, client_ip).otherwise(server_ip).alias("src_ip"),
         F.when(up, server_ip).otherwise(client_ip).alias("dst_ip"),
         F.when(up, client_port).otherwise(server_port).alias("sport"),
@@ -109,7 +110,7 @@ def flows_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("dst_port", F.element_at(
             F.array(*[F.lit(p) for p in SIZE_PORTS]), (F.col("p_size") % 8 + 1).cast("int")))
         .withColumns({
-            "time_us": _micros("l_shipdate") + (k * 131 + line) % 86400 * 1_000_000,
+            "time_us": micros("l_shipdate") + (k * 131 + line) % 86400 * 1_000_000,
             "duration_us": 500 + (k * 7919 + line * 104729) % 2_000_000,
             "src_ip": int_to_ip(F.lit(10 << 24).cast("bigint") + k % (1 << 24)),
             "src_port": (32768 + k % 28232).cast("int"),

@@ -40,13 +40,19 @@ def oracle_connection(sf_dir):
     return con
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def mismatch(df, con, sql):
     """None if equal, else a short description."""
     got, got_cols = bag(df.columns, df.collect())
     res = con.execute(sql)
+    types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in res.description}
     want, want_cols = bag([d[0] for d in res.description], res.fetchall())
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
+    if types != dict(df.dtypes):
+        return f"types {sorted(set(dict(df.dtypes).items()) ^ set(types.items()))}"
     if got != want:
         return (f"{sum(got.values())} rows vs {sum(want.values())}; "
                 f"only ours {list((got - want).items())[:3]}; only SQL {list((want - got).items())[:3]}")
