@@ -70,7 +70,7 @@ def windowed_traffic(flows: DataFrame, window_sec: int = 300, overlap: float = 0
     p = F.col("pane")
     last = p - F.pmod(p, F.lit(slide))
     # Starts from the first window that still covers the pane up to `last`.
-    first = last - F.floor((F.lit(window - pane) - (p - last)) / F.lit(slide)).cast("bigint") * slide
+    first = last - F.call_function("div", F.lit(window - pane) - (p - last), F.lit(slide)) * slide
     return (
         panes.withColumn("start_us", F.explode(F.sequence(first, last, F.lit(slide).cast("bigint"))))
         .groupBy("start_us")

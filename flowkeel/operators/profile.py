@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowkeel.operators.normalise import known_applications
-from flowkeel.operators.quantiles import approx_stats, exact_stats
+from flowkeel.operators.quantiles import Stats, approx_stats, exact_stats
 from flowkeel.params import ProfileParams
 
 # Metric name in the baseline document -> (integer input, divisor to the reported unit).
@@ -68,11 +68,10 @@ def global_summary(flows: DataFrame) -> DataFrame:
     )
 
 
-def numeric_profile(flows: DataFrame, metrics: dict[str, tuple[str, float]] = NUMERIC_METRICS,
-                    approx: bool = False) -> DataFrame:
-    """Moments and quantiles, one row per metric; the deviation is the population's."""
-    measure = approx_stats if approx else exact_stats
-    stats = measure(flows, {m: F.col(c) for m, (c, _) in metrics.items()}, list(QUANTILE_NAMES))
+RATIO_QUANTILES = {0.50: "median", 0.95: "p95", 0.99: "p99"}
+
+
+def _numeric_rows(spark: SparkSession, stats: dict[str, Stats], metrics: dict[str, tuple[str, float]]) -> DataFrame:
     rows = []
     for metric, (_, scale) in metrics.items():
         s = stats.get(metric)
@@ -81,17 +80,42 @@ def numeric_profile(flows: DataFrame, metrics: dict[str, tuple[str, float]] = NU
         iqr = None if s is None else values[6] - values[4]
         rows.append((metric, *values, iqr))
     names = ("min", "max", "mean", "stddev", *QUANTILE_NAMES.values(), "iqr")
-    return flows.sparkSession.createDataFrame(rows, "metric string, " + ", ".join(f"{n} double" for n in names))
+    return spark.createDataFrame(rows, "metric string, " + ", ".join(f"{n} double" for n in names))
+
+
+def _ratio_rows(spark: SparkSession, stats: dict[str, Stats]) -> DataFrame:
+    rows = [(m, *[stats[m].quantiles[p] if m in stats else None for p in RATIO_QUANTILES]) for m in RATIO_METRICS]
+    return spark.createDataFrame(
+        rows, "metric string, " + ", ".join(f"{n} double" for n in RATIO_QUANTILES.values()))
+
+
+def _numeric_columns(metrics: dict[str, tuple[str, float]]) -> dict[str, Column]:
+    return {m: F.col(c) for m, (c, _) in metrics.items()}
+
+
+def _ratio_columns() -> dict[str, Column]:
+    return {m: F.expr(e) for m, e in RATIO_METRICS.items()}
+
+
+def numeric_profile(flows: DataFrame, metrics: dict[str, tuple[str, float]] = NUMERIC_METRICS,
+                    approx: bool = False) -> DataFrame:
+    """Moments and quantiles, one row per metric; the deviation is the population's."""
+    measure = approx_stats if approx else exact_stats
+    stats = measure(flows, _numeric_columns(metrics), list(QUANTILE_NAMES))
+    return _numeric_rows(flows.sparkSession, stats, metrics)
 
 
 def ratio_profile(flows: DataFrame, approx: bool = False) -> DataFrame:
     """Quantiles of source bytes per destination byte and per source packet."""
-    names = {0.50: "median", 0.95: "p95", 0.99: "p99"}
     measure = approx_stats if approx else exact_stats
-    stats = measure(flows, {m: F.expr(e) for m, e in RATIO_METRICS.items()}, list(names))
-    rows = [(m, *[stats[m].quantiles[p] if m in stats else None for p in names]) for m in RATIO_METRICS]
-    return flows.sparkSession.createDataFrame(
-        rows, "metric string, " + ", ".join(f"{n} double" for n in names.values()))
+    return _ratio_rows(flows.sparkSession, measure(flows, _ratio_columns(), list(RATIO_QUANTILES)))
+
+
+def distribution_profiles(flows: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
+    """`numeric_profile` and `ratio_profile` from the same passes."""
+    measure = approx_stats if approx else exact_stats
+    stats = measure(flows, _numeric_columns(NUMERIC_METRICS) | _ratio_columns(), list(QUANTILE_NAMES))
+    return (_numeric_rows(flows.sparkSession, stats, NUMERIC_METRICS), _ratio_rows(flows.sparkSession, stats))
 
 
 def _entropy(counts: DataFrame, by: str) -> DataFrame:

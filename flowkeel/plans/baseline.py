@@ -47,6 +47,7 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
     limits = ["max_unique_dst_ips_per_src", "p95_unique_dst_ips_per_src",
               "max_unique_dst_ports_per_src", "p95_unique_dst_ports_per_src"]
 
+    numeric, ratios = prof.distribution_profiles(flows, approx)
     fan = materialise(prof.fan_out(flows, approx=approx), "fan-out")
 
     def rare(column: str) -> Column:
@@ -55,8 +56,8 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
     sections = {
         "global_summary": prof.global_summary(flows).select(F.struct("*")).scalar(),
         "geo_profile": geo_block,
-        "numerical_profiles": _map(prof.numeric_profile(flows, approx=approx), "metric", F.struct(*stats)),
-        "ratio_profiles": _map(prof.ratio_profile(flows, approx), "metric", F.struct("median", "p95", "p99")),
+        "numerical_profiles": _map(numeric, "metric", F.struct(*stats)),
+        "ratio_profiles": _map(ratios, "metric", F.struct("median", "p95", "p99")),
         "global_entropy": _map(prof.entropy_profile(flows), "column", F.col("entropy")),
         "structural_limits": prof.fan_out_limits(fan).select(F.struct(*limits)).scalar(),
         "categorical_baselines": F.struct(

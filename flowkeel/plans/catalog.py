@@ -312,9 +312,9 @@ def file_report(spark, sf_dir):
 
 @query
 def shard_report(spark, sf_dir):
-    """Rows per shard of a multi-file load; the files are dealt to four shards."""
+    """Rows per shard of a load of eight files, one per time range, dealt to four shards."""
     path = fresh_path(spark, "flows")
-    flow_io.write_flows(tables.flows_view(spark, sf_dir), path)
+    flow_io.write_flows(tables.flows_view(spark, sf_dir).repartitionByRange(8, "time_us"), path)
     flows = flow_io.read_flows(spark, path, columns=["time_us"], with_file=True)
     return flow_io.shard_report(flows, flow_io.shard_files(spark, path, 4))
 
