@@ -23,6 +23,9 @@ from flowkeel.session import fresh_path, ship_package
 # Adam's customary constants.
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 
+# Metric tags.
+EPOCH_LOSS, BATCH_LOSS = "Training/Epoch_Loss", "Training/Batch_Loss"
+
 STATE_SCHEMA = "shard int, kind string, idx bigint, value double, n bigint"
 # Independent models travel to the tasks in one broadcast; this bounds it.
 MAX_BROADCAST_VALUES = 8_000_000
@@ -292,10 +295,10 @@ def training_metrics(spark: SparkSession, root: str, epochs: int) -> DataFrame:
     log = log.withColumn("epoch", F.col("epoch").cast("bigint"))
     per_epoch = log.filter(F.col("kind") == "loss").groupBy("epoch").agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).select(
-        F.lit("Training/Epoch_Loss").alias("tag"), F.col("epoch").alias("step"), "value")
+        F.lit(EPOCH_LOSS).alias("tag"), F.col("epoch").alias("step"), "value")
     batch = log.filter((F.col("kind") == "batch") & (F.col("shard") == 0))
     width = batch.agg(F.max("idx") + 1).scalar()
-    per_batch = batch.select(F.lit("Training/Batch_Loss").alias("tag"),
+    per_batch = batch.select(F.lit(BATCH_LOSS).alias("tag"),
                              (F.col("epoch") * width + F.col("idx")).alias("step"), "value")
     return per_epoch.unionByName(per_batch)
 
@@ -306,7 +309,7 @@ MODELS = {"autoencoder": Autoencoder}
 
 def get_model(params: TrainParams) -> Autoencoder:
     if params.model_type not in MODELS:
-        raise ValueError(f"Unknown model type: {params.model_type}")
+        raise ValueError(f"no model of type {params.model_type!r}, only {sorted(MODELS)}")
     return MODELS[params.model_type](params)
 
 

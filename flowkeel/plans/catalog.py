@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkeel.functions.net import ip_to_int
+from flowkeel.functions import net
 from flowkeel.operators import anomaly, assembly, features, geo, normalise, packets, profile
+from flowkeel.operators.autoencoder import Model, Network
 from flowkeel.params import FeatureParams, TrainParams
 from flowkeel.plans.baseline import build_baseline, chart_tables, profile_run_summary
 from flowkeel.plans.capture import capture_job
@@ -199,10 +201,10 @@ def baseline_profiles(spark, sf_dir):
 
 
 @query
-def ip_to_integer(spark, sf_dir):
+def ip_to_int(spark, sf_dir):
     flows = tables.flows_view(spark, sf_dir)
     return flows.groupBy("dst_ip").agg(F.count("*").alias("n")).select(
-        "dst_ip", ip_to_int(F.col("dst_ip")).alias("ip_num"), "n")
+        "dst_ip", net.ip_to_int(F.col("dst_ip")).alias("ip_num"), "n")
 
 
 @query
@@ -441,6 +443,25 @@ def error_histogram(spark, sf_dir):
 # Model -----------------------------------------------------------------------------------------
 
 
+# Widths and weights of a network that SQL can spell out.
+PLAIN_HIDDEN, PLAIN_LATENT = (4,), 3
+
+
+def plain_weight(k: int) -> float:
+    """The k-th number of the plain network's weights and offsets."""
+    return (k * 37 % 101 - 50) / 100
+
+
+@query
+def plain_model_scores(spark, sf_dir):
+    """Reconstruction errors under a small network with fixed weights."""
+    vectors = _vectors(spark, sf_dir)
+    network = Network.symmetric(len(features.feature_names(FeatureParams())), PLAIN_HIDDEN, PLAIN_LATENT)
+    weights = np.array([plain_weight(k) for k in range(network.size)])
+    scored = Model(network, {0: weights}, TrainParams()).score(vectors)
+    return rounded(_keyed(scored, ["recon_error"]))
+
+
 def _run(spark, sf_dir, **kw):
     flows = stored_flows(spark, sf_dir)
     rows, rare = _profile_and_rare(spark, flows)

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Metric tags.
+THRESHOLD, ANOMALIES = "Inference/Threshold", "Inference/Anomalies_Found"
+ERRORS = "Inference/Reconstruction_Errors"
+
+
 def scoring_metrics(summary: DataFrame, histogram: DataFrame) -> DataFrame:
     """Threshold, anomaly count and error histogram as `(tag, step, value)`."""
     scalars = summary.select(
-        F.col("threshold").alias("Inference/Threshold"),
-        F.col("anomalies").cast("double").alias("Inference/Anomalies_Found"),
-    ).unpivot([], ["Inference/Threshold", "Inference/Anomalies_Found"], "tag", "value")
+        F.col("threshold").alias(THRESHOLD), F.col("anomalies").cast("double").alias(ANOMALIES),
+    ).unpivot([], [THRESHOLD, ANOMALIES], "tag", "value")
     return scalars.select("tag", F.lit(0).cast("bigint").alias("step"), "value").unionAll(
-        histogram.select(F.lit("Inference/Reconstruction_Errors").alias("tag"),
+        histogram.select(F.lit(ERRORS).alias("tag"),
                          F.col("bin").cast("bigint").alias("step"), F.col("n").cast("double").alias("value")))
 
 

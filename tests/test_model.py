@@ -142,7 +142,7 @@ def test_independent_shards(spark, table, matrix):
 
 def test_factory():
     assert isinstance(get_model(TrainParams()), Autoencoder)
-    with pytest.raises(ValueError, match="Unknown model type: vae"):
+    with pytest.raises(ValueError, match="no model of type 'vae'"):
         get_model(TrainParams(model_type="vae"))
     assert TrainParams.from_config({"batch_size": 10}).hidden_dims == (16, 8)
     assert TrainParams.from_config({"batch_size": 10}).latent_dim == 4
