@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-DOTTED_QUAD = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-
-
 def ip_to_int(ip: Column) -> Column:
-    """Dotted IPv4 text as an unsigned 32-bit number; anything else, and null, is 0."""
-    octets = F.transform(F.split(ip, r"\."), lambda o: o.cast("bigint"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    return F.when(ip.rlike(DOTTED_QUAD), number).otherwise(F.lit(0).cast("bigint"))
+    """Dotted IPv4 text as an unsigned 32-bit number; anything else, and null, is 0.
+
+    The text counts if writing its four numbers out again gives the same text.
+    """
+    cut = F.substring_index
+    texts = [cut(ip, ".", 1), cut(cut(ip, ".", 2), ".", -1), cut(cut(ip, ".", -2), ".", 1), cut(ip, ".", -1)]
+    a, b, c, d = octets = [t.try_cast("int").cast("bigint") for t in texts]
+    same = F.concat_ws(".", *[o.cast("string") for o in octets]) == ip
+    valid = same & (F.least(*octets) >= 0) & (F.greatest(*octets) <= 255)
+    return F.when(valid, ((a * 256 + b) * 256 + c) * 256 + d).otherwise(F.lit(0).cast("bigint"))
 
 
 def int_to_ip(number: Column) -> Column:

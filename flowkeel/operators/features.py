@@ -67,7 +67,7 @@ def robust_features(flows: DataFrame, profile: DataFrame,
 def rare_feature(flows: DataFrame, rare: DataFrame, **kw) -> DataFrame:
     """1.0 where the source address is in `rare(src_ip)`, else 0.0."""
     marked = rare.select("src_ip", F.lit(1.0).alias("_rare"))
-    return lookup_join(flows, marked, ["src_ip"], "left", **kw).withColumn(
+    return lookup_join(flows, marked, "src_ip", **kw).withColumn(
         "rare_src_ip", F.coalesce("_rare", F.lit(0.0))).drop("_rare")
 
 

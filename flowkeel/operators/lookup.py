@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
-SALTS = 16
+# A key is hot from this share of the facts on, so there are at most as many hot keys.
+HOT_SHARE = 1 / 256
+TRACKED_KEYS = 10_000
 
 
 def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -14,17 +16,32 @@ def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return dim.limit(rows + 1).count() <= rows
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Joins `facts` to a narrow `dim` with unique keys.
+def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Non-null keys that hold at least `share` of the rows, from one pass with a frequency sketch.
 
-    A dimension of at most `broadcast_rows` rows is broadcast. A larger one is
-    copied `salts` times and shuffled, so that a key which holds a large part of
-    the facts is spread over `salts` tasks. The salt depends on the row and on
-    its input partition, which a retried task sees unchanged.
+    The sketch may be off near the limit, which moves work between two ways to
+    join a key and changes no result.
+    """
+    most = int(1 / share)
+    row = facts.agg(F.count("*").alias("rows"),
+                    F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED_KEYS})").alias("top")).first()
+    return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= row["rows"] * share]
+
+
+def lookup_join(facts: DataFrame, dim: DataFrame, key: str,
+                broadcast_rows: int = BROADCAST_ROWS, share: float = HOT_SHARE) -> DataFrame:
+    """Left-joins `facts` to a `dim` with unique keys.
+
+    A dimension of at most `broadcast_rows` rows is broadcast. Next to a larger one
+    the facts are split: rows of hot keys, and of none, meet a broadcast of just the
+    hot keys' entries and stay where they are; only the others are shuffled, and no
+    key among them holds more than `share` of the rows.
     """
     if fits_broadcast(dim, broadcast_rows):
-        return facts.join(F.broadcast(dim), on, how)
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.lit(salts)).cast("int")
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+        return facts.join(F.broadcast(dim), key, "left")
+    hot = hot_keys(facts, key, share)
+    stays = F.col(key).isNull() | F.col(key).isin(hot)
+    # One entry per hot key: at most 1 / share rows.
+    entries = dim.filter(F.col(key).isin(hot))
+    return facts.filter(~stays).join(dim, key, "left").unionByName(
+        facts.filter(stays).join(F.broadcast(entries), key, "left"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.operators.assembly import UNKNOWN
@@ -50,35 +50,52 @@ def require_keys(flows: DataFrame, columns: tuple[str, ...] = KEY_COLUMNS) -> Da
 def windowed_traffic(flows: DataFrame, window_sec: int = 300, overlap: float = 0.5) -> DataFrame:
     """Traffic per sliding window: flows, volumes and distinct endpoints.
 
-    Windows are cut into panes that no window border crosses. Each pane is first
-    reduced to one row per address pair, and only those rows are copied to the
-    windows that hold the pane.
+    Windows are cut into panes that no window border crosses. Volumes are summed
+    per pane and then over the windows that hold it. For the distinct counts each
+    address is reduced to the panes it appears in, and from pane to pane it counts
+    in the windows that are new to it. So flows are never copied per window, and
+    an address has at most one row per pane, however busy it is.
     """
     slide_sec = round(window_sec * (1 - overlap))
     if not 0 < slide_sec <= window_sec:
         raise ValueError(f"overlap: {overlap!r}")
-    pane = gcd(window_sec, slide_sec) * 1_000_000
+    pane_us = gcd(window_sec, slide_sec) * 1_000_000
     window, slide = window_sec * 1_000_000, slide_sec * 1_000_000
     t = F.col("time_us")
-    panes = (
-        flows.filter(t.isNotNull())
-        .groupBy((t - F.pmod(t, F.lit(pane))).alias("pane"), "src_ip", "dst_ip")
+
+    def last_start(p: Column) -> Column:
+        return p - F.pmod(p, F.lit(slide))
+
+    def first_start(p: Column) -> Column:
+        """The earliest window that reaches to the end of the pane."""
+        reach = F.lit(window - pane_us) - (p - last_start(p))
+        return last_start(p) - F.call_function("div", reach, F.lit(slide)) * slide
+
+    def starts(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(first, last, F.lit(slide).cast("bigint"))).alias("start_us")
+
+    placed = flows.filter(t.isNotNull()).withColumn("pane", t - F.pmod(t, F.lit(pane_us)))
+    p = F.col("pane")
+    volumes = (
+        placed.groupBy("pane")
         .agg(F.count("*").alias("flows"),
              F.sum(F.col("src_bytes") + F.col("dst_bytes")).alias("bytes"),
              F.sum(F.col("src_packets") + F.col("dst_packets")).alias("packets"))
+        .select(starts(first_start(p), last_start(p)), "flows", "bytes", "packets")
+        .groupBy("start_us").agg(*[F.sum(c).alias(c) for c in ("flows", "bytes", "packets")])
     )
-    p = F.col("pane")
-    last = p - F.pmod(p, F.lit(slide))
-    # Starts from the first window that still covers the pane up to `last`.
-    first = last - F.call_function("div", F.lit(window - pane) - (p - last), F.lit(slide)) * slide
-    return (
-        panes.withColumn("start_us", F.explode(F.sequence(first, last, F.lit(slide).cast("bigint"))))
-        .groupBy("start_us")
-        .agg(F.sum("flows").alias("flows"), F.sum("bytes").alias("bytes"),
-             F.sum("packets").alias("packets"),
-             F.count_distinct("src_ip").alias("sources"),
-             F.count_distinct("dst_ip").alias("destinations"))
-        .select(F.timestamp_micros("start_us").alias("window_start"),
-                F.timestamp_micros(F.col("start_us") + window).alias("window_end"),
-                "flows", "bytes", "packets", "sources", "destinations")
+    before = F.lag("pane").over(Window.partitionBy("side", "ip").orderBy("pane"))
+    endpoints = (
+        placed.unpivot(["pane"], ["src_ip", "dst_ip"], "side", "ip").filter(F.col("ip").isNotNull()).distinct()
+        .withColumn("from", F.coalesce(F.greatest(first_start(p), last_start(before) + slide), first_start(p)))
+        .filter(F.col("from") <= last_start(p))
+        .select(starts(F.col("from"), last_start(p)), "side")
+        .groupBy("start_us").agg(F.count_if(F.col("side") == "src_ip").alias("sources"),
+                                 F.count_if(F.col("side") == "dst_ip").alias("destinations"))
     )
+    return volumes.join(endpoints, "start_us", "left").select(
+        F.timestamp_micros("start_us").alias("window_start"),
+        F.timestamp_micros(F.col("start_us") + window).alias("window_end"),
+        "flows", "bytes", "packets",
+        F.coalesce("sources", F.lit(0)).alias("sources"),
+        F.coalesce("destinations", F.lit(0)).alias("destinations"))

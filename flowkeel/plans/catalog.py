@@ -362,7 +362,7 @@ def features_rare(spark, sf_dir):
 
 
 @query
-def features_rare_salted(spark, sf_dir):
+def features_rare_large(spark, sf_dir):
     """The same flag by the way taken when the rare set is too large to broadcast."""
     flows = stored_flows(spark, sf_dir, "time_us", "src_ip", "dst_ip", "src_bytes")
     rare = materialise(profile.rare_values(flows, "src_ip"), "rare")

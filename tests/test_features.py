@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowkeel.operators import features
-from flowkeel.operators.lookup import fits_broadcast, lookup_join
+from flowkeel.operators.lookup import fits_broadcast, hot_keys, lookup_join
 from flowkeel.operators.profile import rare_values
 from flowkeel.params import FeatureParams
 from helpers import make_flows, plan_of, rows_of
@@ -91,20 +91,18 @@ def test_both_lookups_agree(spark, flows):
     assert small.filter("rare_src_ip = 1").count() == flows.join(rare, "src_ip").count()
 
 
-def test_large_lookup_spreads_a_hot_key(spark):
+def test_large_lookup_keeps_hot_keys_out_of_the_shuffle(spark):
     facts = spark.range(20_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    dim = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
-    out = lookup_join(facts, dim, ["k"], broadcast_rows=0, salts=8)
-    assert out.count() == 20_000 and out.filter("v = 1").count() == 6667
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        shuffled = lookup_join(facts, dim, ["k"], broadcast_rows=0, salts=8)
-        assert "_salt" in plan_of(shuffled) and "BroadcastHashJoin" not in plan_of(shuffled)
-        assert shuffled.filter("v = 1").count() == 6667
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(
+            F.col("id").cast("string")).alias("k"), "id")
+    dim = spark.createDataFrame([("hot", 1), ("8", 2), ("unused", 3)], "k string, v int")
+    assert hot_keys(facts, "k") == ["hot"]
+    want = rows_of(lookup_join(facts, dim, "k"))
+    large = lookup_join(facts, dim, "k", broadcast_rows=0)
+    assert rows_of(large) == want and large.count() == 20_000
+    assert large.filter("v = 1").count() == 6667 and large.filter("v = 2").count() == 1
+    none_hot = lookup_join(facts, dim, "k", broadcast_rows=0, share=1.0)
+    assert rows_of(none_hot) == want
 
 
 def test_broadcast_is_size_checked(spark):
