@@ -82,6 +82,7 @@ class Network:
     def gradient(self, flat: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean squared error over all elements, and its gradient."""
         acts = self.activations(flat, x)
+        weights = [w for w, _ in self.layers(flat)]
         diff = acts[-1] - x
         grad = np.empty(self.size)
         slots = self.layers(grad)
@@ -92,7 +93,7 @@ class Network:
             gw, gb = slots[k]
             gw[:] = acts[k].T @ delta
             gb[:] = delta.sum(axis=0)
-            delta = delta @ self.layers(flat)[k][0].T
+            delta = delta @ weights[k].T
         return float((diff ** 2).mean()), grad
 
 
