@@ -145,10 +145,10 @@ def locate_destinations(flows: DataFrame, geo: DataFrame, **kw) -> DataFrame:
 def country_counts(flows: DataFrame, geo: DataFrame, **kw) -> DataFrame:
     """Flows per country; ranges without a name do not count.
 
-    Flows are reduced to one row per address number before the join, which also
-    folds all unparsable texts into one.
+    Flows are reduced to one row per address before the join, and all unparsable
+    texts to one.
     """
-    numbers = flows.groupBy(ip_to_int(F.col("dst_ip")).alias("ip_num")).agg(F.count("*").alias("flow_count"))
+    numbers = destination_counts(flows).groupBy("ip_num").agg(F.sum("flow_count").alias("flow_count"))
     return (
         asof_interval_join(numbers, geo, "ip_num", **kw).filter(F.col("country_name").isNotNull())
         .groupBy("country_name").agg(F.sum("flow_count").alias("flow_count"))
