@@ -323,7 +323,9 @@ def shard_report(spark, sf_dir):
 
 @query
 def sliding_window_traffic(spark, sf_dir):
-    out = normalise.windowed_traffic(tables.flows_view(spark, sf_dir))
+    flows = stored_flows(spark, sf_dir, "time_us", "src_ip", "dst_ip", "src_bytes", "dst_bytes",
+                         "src_packets", "dst_packets")
+    out = normalise.windowed_traffic(flows)
     return out.select(F.unix_micros("window_start").alias("start_us"),
                       "flows", "bytes", "packets", "sources", "destinations")
 
