@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,6 @@ from flowkeel.session import materialise, ship_package
 BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
-HUB_ROUNDS = 4
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -96,50 +96,42 @@ def sketcher(width: int, rows: int):
     return run
 
 
-def confirmer(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_set = None, None
-        for batch in T.blocks(batches, "text_b"):
-            heads = batch.column(0).to_pylist()
-            data, at = T.text_buffers(batch.column(3))
-            sets, first = T.shingle_sets(*T.word_hashes(data, at))
-            keep = np.zeros(len(heads), bool)
-            for i, head in enumerate(heads):
-                if head != known:
-                    one = T.shingle_sets(*T.word_hashes(*T.text_buffers(batch.column(2).slice(i, 1))))
-                    known, known_set = head, one[0]
-                other = sets[first[i]:first[i + 1]]
-                small, large = sorted((known_set, other), key=len)
-                if 100 * len(small) < percent * len(large) or not len(large):
-                    continue
-                near = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[near] == small).sum())
-                keep[i] = 100 * both >= percent * (len(small) + len(large) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-    return run
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough.
+INFO = "a binary, b binary, both long, size_a long, size_b long, extra array<long>"
+
+
+def comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of a's and b's full sets and of what both have, and the shingles that only b has."""
+    known, known_set = None, None
+    for batch in T.blocks(batches, "text_b"):
+        heads = batch.column(0).to_pylist()
+        data, at = T.text_buffers(batch.column(3))
+        sets, first = T.shingle_sets(*T.word_hashes(data, at))
+        both, size_a, extra = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64), []
+        for i, head in enumerate(heads):
+            if head != known:
+                one = T.shingle_sets(*T.word_hashes(*T.text_buffers(batch.column(2).slice(i, 1))))
+                known, known_set = head, one[0]
+            other = sets[first[i]:first[i + 1]]
+            near = np.minimum(np.searchsorted(known_set, other), len(known_set) - 1)
+            same = known_set[near] == other
+            both[i], size_a[i] = same.sum(), len(known_set)
+            extra.append(other[~same])
+        cuts = np.concatenate([[0], np.cumsum([len(e) for e in extra])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(both), pa.array(size_a), pa.array(np.diff(first)),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(extra).view(np.int64)))],
+            names=["a", "b", "both", "size_a", "size_b", "extra"])
+
+
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with what their full sets have in common.
 
     b's text travels to a's key once per pair and a's text once; adaptive execution splits
     the rows of a hub that many pairs name.
     """
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return (pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-            .mapInArrow(confirmer(percent), "a binary, b binary"))
-
-
-def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each bucket's hub with its members of other components, and the members that stay."""
-    hubs = members.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("h"),
-                                               F.max_by("root", F.struct("weight", "node")).alias("hub_root"))
-    with_hub = members.join(hubs, ["band", "hash"])
-    rest = with_hub.filter(F.col("node") != F.col("h.node"))
-    pairs = rest.filter(F.col("root") != F.col("hub_root")).select(
-        F.col("h.node").alias("a"), F.col("node").alias("b"))
-    return pairs, rest.drop("h", "hub_root")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(comparer, INFO)
 
 
 def mixed(members: DataFrame) -> DataFrame:
@@ -149,6 +141,26 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(open_, ["band", "hash"], "left_semi")
 
 
+def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Who may still be linked across components once a bucket's hub has met all others.
+
+    `rest` are the members without the hub, with the hub's name. Two of them that share no shingle
+    outside the hub's have at most min(both) in common; those for whom that is too little even
+    with the bucket's smallest set leave the bucket. Those that share such a shingle meet again in
+    the bucket of that shingle.
+    """
+    seen = rest.join(info, (rest["hub"] == info["a"]) & (rest["node"] == info["b"])).select(
+        *[rest[c] for c in rest.columns], "both", "size_b", "extra")
+    seen = materialise(mixed(seen), "seen")
+    least = seen.groupBy("band", "hash").agg(F.min("size_b").alias("least"))
+    kept = mixed(seen.join(least, ["band", "hash"]).filter(
+        (100 + percent) * F.col("both") >= percent * (F.col("size_b") + F.col("least"))).select("band", "hash", "node", "weight", "root"))
+    outside = seen.select("hub", "node", "weight", "root", "extra").dropDuplicates(["hub", "node"]).select(
+        "hub", "node", "weight", "root", F.explode("extra").alias("shingle")).select(
+        F.lit(-1 - turn).alias("band"), F.xxhash64("hub", "shingle").alias("hash"), "node", "weight", "root")
+    return kept.union(mixed(outside))
+
+
 def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of 5-word shingles.
 
@@ -157,9 +169,9 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     In a bucket of band-equal nodes only the hub, the node whose buckets are largest, meets
     the others; members that it links need no links among themselves. A bucket that still
-    spans components gives up its hub, whose pairs are done, and takes the next. After
-    `HUB_ROUNDS` rounds what is left is compared across components outright, so no link between
-    components is left out.
+    spans components gives up its hub, whose pairs are done. Of the others only those
+    stay that the hub does not rule out, or that share something the hub lacks, so
+    groups with many members too far apart are not compared member by member.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -180,27 +192,22 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = materialise(source.join(reps, (source["text_hash"] == reps["rhash"]) & source["doc_id"].eqNullSafe(
         reps["rid"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = tried = roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            pairs, members = hub_pairs(members)
-        else:
-            other = members.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = members.join(other, ["band", "hash"]).filter(
-                (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            done = tried.union(tried.select("b", "a"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(confirm(pairs, texts, percent), "confirmed")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if roots is None or found.limit(1).count():
-            roots = components(links)
+    info = roots = None
+    for turn in count():
+        hubs = members.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("h")).select(
+            "band", "hash", F.col("h.node").alias("hub"))
+        rest = materialise(members.join(hubs, ["band", "hash"]).filter(F.col("node") != F.col("hub")), "rest")
+        pairs = rest.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        if info is not None:
+            pairs = pairs.join(info, ["a", "b"], "left_anti")
+        found = materialise(compare(pairs, texts), "compared")
+        info = found if info is None else info.union(found)
+        linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
+        if roots is None or found.filter(linked).limit(1).count():
+            roots = components(info.filter(linked))
         known = roots.withColumnRenamed("root", "new_root")
-        members = materialise(mixed(members.join(known, "node", "left").withColumn(
-            "root", F.coalesce("new_root", "node")).drop("new_root")), "members")
+        rest = rest.join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
+        members = materialise(next_members(rest, info, percent, turn), "members")
         if not members.limit(1).count():
             break
 

@@ -61,9 +61,9 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 * BLOC
             first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each text's start."""
-    ink = ~SPACE[data]
+    ink = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[at] = True
     cut[-1] = True
