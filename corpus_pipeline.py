@@ -1,5 +1,66 @@
-"""The corpus pipeline: documents in, packed token ids out."""
+"""The corpus pipeline: documents in, packed token ids out.
+
+Each stage works on all that the one before kept and returns the columns of documents; the
+last returns what it reads back from its files. No stage needs SQL that DuckDB can state.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowkeel.llm import circulant, mixing, ordinal, packed, winnow
+from flowkeel.session import materialise
+
+PERCENT = 80
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the ordinal classifier, fitted to the labels, does not take for good ones."""
+    return ordinal.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return circulant.one_per_group(docs, PERCENT)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark window occurs."""
+    return winnow.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents until every source has its share of words."""
+    return mixing.mixed_rows(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token ids of all documents and reads the files back."""
+    import public_tokenizers
+
+    return packed.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", token_ids),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{number}")
+    return docs

@@ -21,10 +21,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.llm import text as T
+from flowkeel.llm.frames import same_row
 from flowkeel.llm.graph import components
 from flowkeel.session import materialise, ship_package
 
@@ -219,3 +220,13 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         "doc_id", "text_hash", "n_shingles", F.lower(F.hex("root")).alias("group"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that lead their group; of equal rows one. Texts without words all stay."""
+    kept = near_groups(docs, percent).filter("kept").select("doc_id", "text_hash", "group").withColumn(
+        "free", F.col("group").isNull()).drop("group").distinct()
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    both = rows.join(kept, same_row(rows, kept)).select(*[rows[c] for c in docs.columns], rows["text_hash"], "free")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1)))
+    return both.withColumn("_place", place).filter(F.col("free") | (F.col("_place") == 1)).select(*docs.columns)

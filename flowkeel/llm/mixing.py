@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowkeel.llm.frames import sized
+from flowkeel.llm.frames import same_row, sized
 from flowkeel.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -102,6 +102,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    key = ["doc_id", "text_hash"]
+    drawn = mix(docs, weights, most, seed).select(*key, "copies")
+    # Rows that share an id and a text are told apart by their place only.
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_place", F.row_number().over(
+        Window.partitionBy(*key).orderBy("source")))
+    drawn = drawn.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+    both = rows.join(drawn, same_row(rows, drawn) & (rows["_place"] == drawn["_place"])).filter("copies > 0")
+    return both.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
 ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

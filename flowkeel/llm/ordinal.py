@@ -28,9 +28,14 @@ from flowkeel.session import ship_package
 SAMPLE = 12_000
 BITS = 20
 GRADES = 3
-EPOCHS = 12
+EPOCHS = 10
+LEAST_DOCS = 4
+SPARSE = 1.5
+RATE = 0.3
+#: Thresholds without any labels: every text is good.
+NO_CUTS = np.array([-5.0, -4.0])
 PREFIXES = (4, 5, 6)
-KEEP_TAIL = 0.5
+KEEP_TAIL = 0.1
 
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[48:58] = NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
@@ -88,41 +93,48 @@ def below(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.concatenate([sigmoid(cuts[None] - scores[:, None]), np.ones((len(scores), 1))], axis=1)
 
 
-def fit(slots_: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by AdaGrad over mini-batches, smallest loss first seen by all rows."""
+def fit(slots_: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS,
+        least_docs: int = LEAST_DOCS, sparse: float = SPARSE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds by follow-the-regularised-leader over mini-batches.
+
+    Slots that fewer than `least_docs` documents hold have no weight, and the absolute penalty
+    keeps those at zero that say little, so that long texts do not add up noise.
+    """
     w = np.zeros(1 << BITS, np.float32)
     share = np.cumsum(np.bincount(grades, minlength=grades_n)[:-1] + 0.5) / (len(grades) + 0.5 * grades_n)
     cuts = np.log(share / (1 - share))
     if len(np.unique(grades)) < 2:
-        return w, np.minimum(cuts, -3.0 + np.arange(grades_n - 1)) if len(grades) == 0 else cuts
-    balance = len(grades) / (grades_n * np.maximum(1, np.bincount(grades, minlength=grades_n)))
-    row_weight = np.sqrt(balance)[grades]
-    seen_w, seen_c = np.full(1 << BITS, 1e-3, np.float32), np.full(grades_n - 1, 1e-3)
+        return w, NO_CUTS if len(grades) == 0 else cuts
+    held = np.bincount(np.concatenate([np.unique(x) for x in slots_]), minlength=1 << BITS) >= least_docs
+    slots_ = [x[held[x]] for x in slots_]
+    z, seen = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    seen_c = np.full(grades_n - 1, 1.0)
     rng = np.random.default_rng(5)
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(grades))
-        rate = 0.1 / (1 + 0.3 * epoch)
-        for lo in range(0, len(order), 64):
-            rows = order[lo:lo + 64]
+        for lo in range(0, len(order), 32):
+            rows = order[lo:lo + 32]
             x = np.concatenate([slots_[i] for i in rows])
-            n = np.array([len(slots_[i]) for i in rows])
-            owner = np.repeat(np.arange(len(rows)), n)
+            owner = np.repeat(np.arange(len(rows)), [len(slots_[i]) for i in rows])
             s = np.bincount(owner, w[x], minlength=len(rows))
             upto = np.concatenate([np.zeros((len(rows), 1)), below(s, cuts)], axis=1)
             y, k = grades[rows], np.arange(len(rows))
             hi, lo_p = upto[k, y + 1], upto[k, y]
             p = np.maximum(hi - lo_p, 1e-12)
             d_hi, d_lo = hi * (1 - hi), lo_p * (1 - lo_p)
-            g = row_weight[rows] * (d_hi - d_lo) / p
+            g = (d_hi - d_lo) / p
             touched, back = np.unique(x, return_inverse=True)
-            grad = np.bincount(back, g[owner]).astype(np.float32) + np.float32(1e-3) * w[touched]
-            seen_w[touched] += grad * grad
-            w[touched] -= rate * grad / np.sqrt(seen_w[touched])
+            grad = np.bincount(back, g[owner])
+            more = seen[touched] + grad * grad
+            z[touched] += grad - (np.sqrt(more) - np.sqrt(seen[touched])) / RATE * w[touched]
+            seen[touched] = more
+            over = np.abs(z[touched]) - sparse
+            w[touched] = np.where(over > 0, -np.sign(z[touched]) * over / ((1 + np.sqrt(more)) / RATE), 0)
             g_cut = np.zeros(grades_n - 1)
-            np.add.at(g_cut, y[y < grades_n - 1], (-row_weight[rows] * d_hi / p)[y < grades_n - 1])
-            np.add.at(g_cut, y[y > 0] - 1, (row_weight[rows] * d_lo / p)[y > 0])
+            np.add.at(g_cut, y[y < grades_n - 1], (-d_hi / p)[y < grades_n - 1])
+            np.add.at(g_cut, y[y > 0] - 1, (d_lo / p)[y > 0])
             seen_c += g_cut * g_cut
-            cuts = np.maximum.accumulate(cuts - rate * g_cut / np.sqrt(seen_c) + np.arange(grades_n - 1) * 1e-9)
+            cuts = np.maximum.accumulate(cuts - 0.3 * g_cut / np.sqrt(seen_c) + np.arange(grades_n - 1) * 1e-9)
     return w, cuts
 
 
@@ -164,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
         featurise, "doc_id long, grade int, slots array<int>")
     got = rows.repartition(1).mapInArrow(trainer(epochs), "weights binary, cuts array<double>").collect()  # one model, at most one row
     if not got:
-        return np.zeros(1 << BITS, np.float32), -3.0 - np.arange(GRADES - 1, 0, -1) + 1.0
+        return np.zeros(1 << BITS, np.float32), NO_CUTS
     return np.frombuffer(got[0]["weights"], np.float32), np.array(got[0]["cuts"])
 
 
@@ -182,13 +194,30 @@ def scorer(model):
     return run
 
 
+def fitted(docs: DataFrame, labels: DataFrame, sample: int):
+    return docs.sparkSession.sparkContext.broadcast(train(docs, graded(labels), sample))  # 2^BITS weights, whatever the input
+
+
+def chooser(model, keep_tail: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, cuts = model.value
+        for batch in T.blocks(batches, "text"):
+            got, first = features(batch.column(batch.schema.get_field_index("text")))
+            s = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(first)), w[got], minlength=batch.num_rows)
+            yield batch.filter(pa.array(1 - below(s, cuts)[:, -2] >= keep_tail))
+    return run
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """The rows of docs, with all their columns, that are good with probability `keep_tail` or more."""
+    return docs.mapInArrow(chooser(fitted(docs, labels, sample), keep_tail), docs.schema)
+
+
 def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """doc_id, text_hash, score, expected_grade, p_not_toxic, p_good, keep for every row of docs (doc_id, text).
 
     A document stays if it is good with probability `keep_tail` or more.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, graded(labels), sample))  # 2^BITS weights, whatever the input
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        scorer(model), "doc_id long, text_hash long, score double, expected_grade double, p_not_toxic double, p_good double").withColumn(
+        scorer(fitted(docs, labels, sample)), "doc_id long, text_hash long, score double, expected_grade double, p_not_toxic double, p_good double").withColumn(
         "keep", F.col("p_good") >= keep_tail)

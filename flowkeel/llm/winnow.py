@@ -98,6 +98,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs."""
+    hit = materialise(occurrences(docs, benchmark, window, gram).select("doc_id", "text_hash").distinct(), "contaminated")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    return rows.join(hit, rows["doc_id"].eqNullSafe(hit["doc_id"]) & (rows["_hash"] == hit["text_hash"]), "left_anti").drop("_hash")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
