@@ -15,7 +15,7 @@ input may carry any further columns, which are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -79,12 +79,12 @@ def set_keys(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [raw[16 * i:16 * i + 16] for i in range(len(n))]
 
 
-def sketcher(width: int, rows: int):
+def sketcher(width: int, rows: int, signer: Callable = signatures):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, "text"):
             data, at = T.text_buffers(batch.column(2))
             sets, first = T.shingle_sets(*T.word_hashes(data, at))
-            keys = band_hashes(signatures(sets, first, width), rows).view(np.int64)
+            keys = band_hashes(signer(sets, first, width), rows).view(np.int64)
             n = np.diff(first)
             some = np.flatnonzero(n)
             where = np.concatenate([[0], np.cumsum(np.where(n > 0, keys.shape[1], 0))]).astype(np.int32)
@@ -162,7 +162,7 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     return kept.union(mixed(outside))
 
 
-def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signatures) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of 5-word shingles.
 
     Returns one row per row of `docs` (doc_id, text): doc_id, text_hash, n_shingles,
@@ -179,7 +179,7 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows, width = ROWS, bands_for(percent) * ROWS
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketch = materialise(source.mapInArrow(
-        sketcher(width, rows), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>"), "sketch")
+        sketcher(width, rows, signer), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>"), "sketch")
     nodes = materialise(sketch.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("lead"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         F.any_value("bands").alias("bands")), "nodes")

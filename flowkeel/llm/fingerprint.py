@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowkeel.llm import circulant
 from flowkeel.llm import text as T
 from flowkeel.llm.frames import keyed, same_row
 from flowkeel.llm.ordered import in_ranges
-from flowkeel.session import materialise, ship_package
+from flowkeel.session import ship_package
 
 PERMUTATIONS = 128
 NONE = np.uint32(0xFFFFFFFF)
@@ -53,10 +54,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def empty_rows(prints: np.ndarray) -> np.ndarray:
-    return (prints == NONE).all(axis=1)
-
-
 def hexed(prints: np.ndarray) -> list[str]:
     raw = np.ascontiguousarray(prints.astype(">u4")).tobytes().hex()
     step = 8 * prints.shape[1]
@@ -118,3 +115,8 @@ def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return (rows.repartitionById(n, F.col("bucket"))
             .sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc())
             .select("bucket", "halo", "doc_id", "text").mapInArrow(compare, OUTPUT))
+
+
+def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Near-duplicate groups: bands of these fingerprints are joined and candidates confirmed on full sets."""
+    return circulant.near_groups(docs, percent, signer=minima)

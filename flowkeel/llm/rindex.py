@@ -147,7 +147,8 @@ class Keys:
         at = self.keys.find(keys)
         if check is None:
             return at
-        wrong = np.flatnonzero((at >= 0) & (self.check[at] != check))
+        wrong = np.flatnonzero(at >= 0)
+        wrong = wrong[self.check[at[wrong]] != check[wrong]]
         while len(wrong):
             at[wrong] += 1
             inside = at[wrong] < self.keys.n
@@ -392,18 +393,16 @@ class RunLengthIndex:
 
 def marked(plan: Plan, strings: list[np.ndarray]) -> list[np.ndarray]:
     """For every string the first and last of each run of window starts that are found elsewhere too."""
-    size = np.array([len(s) for s in strings])
+    size = np.array([len(s) for s in strings], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
     data = np.concatenate(strings) if strings else np.zeros(0, np.uint8)
     end = np.repeat(first[1:], size)
     hit = RunLengthIndex.of(data, first, end).statistics(data, end) >= plan.length if len(data) else np.zeros(0, bool)
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[:-1] += hit
-    edge[1:] -= hit
-    own_edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]) | hit & np.isin(np.arange(len(hit)), first[:-1]))
-    stop = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]) | hit & np.isin(np.arange(len(hit)), first[1:] - 1))
-    owner = np.searchsorted(first, own_edge, "right") - 1
-    pairs = np.stack([own_edge - first[owner], stop - first[owner]], axis=1)
+    at = np.arange(len(hit))
+    begin = np.flatnonzero(hit & (~np.concatenate([[False], hit])[:-1] | np.isin(at, first[:-1])))
+    stop = np.flatnonzero(hit & (~np.concatenate([hit, [False]])[1:] | np.isin(at, first[1:] - 1)))
+    owner = np.searchsorted(first, begin, "right") - 1
+    pairs = np.stack([begin - first[owner], stop - first[owner]], axis=1)
     cuts = np.searchsorted(owner, np.arange(len(strings) + 1))
     return [pairs[cuts[i]:cuts[i + 1]] for i in range(len(strings))]
 

@@ -33,3 +33,14 @@ def map_file(uri: str) -> memoryview:
     system, path = open_fs(uri)
     with system.open_input_file(path) as f:
         return memoryview(f.read_buffer(f.size()))
+
+
+def exists(uri: str) -> bool:
+    system, path = open_fs(uri)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def delete_file(uri: str) -> None:
+    system, path = open_fs(uri)
+    if system.get_file_info(path).type == fs.FileType.File:
+        system.delete_file(path)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from flowkeel.llm import text as T
 from flowkeel.llm.compact import ONE, Sequence, by_shard, load, save, squeeze
+from flowkeel.llm.store import delete_file, exists, map_file, write_file
 from flowkeel.session import fresh_path, materialise, ship_package
 
 ORDER = 3
@@ -190,7 +191,7 @@ class Walk:
 def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences, by byte plane, and counts, compressed."""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(squeeze(gaps).view(np.uint8).reshape(len(keys), -1).T)
+    planes = np.ascontiguousarray(squeeze(gaps).view(np.uint8).reshape(len(keys), squeeze(gaps).dtype.itemsize).T)
     n = squeeze(counts)
     head = np.array([len(keys), planes.shape[0], n.dtype.itemsize], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + planes.tobytes() + n.tobytes())
@@ -273,12 +274,12 @@ def merged(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, np.ndarray, n
     return shard, keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-REPORT = "shard int, grams long, tokens long, children long"
+REPORT = "shard int, grams long, tokens long, children long, once long, twice long"
 
 
-def report(shard: int, grams: int, tokens_: int, children: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"shard": [shard], "grams": [grams], "tokens": [tokens_], "children": [children]},
-                                      schema=pa.schema([("shard", pa.int32()), *[(c, pa.int64()) for c in ("grams", "tokens", "children")]]))
+def report(shard: int, *counts: int) -> pa.RecordBatch:
+    names = [c.split()[0] for c in REPORT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([c], pa.int64()) for c in counts]], names=names)
 
 
 def word_builder(plan: Plan):
@@ -293,24 +294,37 @@ def word_builder(plan: Plan):
         counts = squeeze(counts)
         sequence = Sequence.of(keys - np.uint64(low), plan.low_hash(shard + 1) - low)
         save(plan.uri(1, shard), [*sequence.parts(), np.array([counts.dtype.itemsize], np.int64), counts])
-        yield report(shard, len(keys), int(counts.sum(dtype=np.int64)), 0)
+        yield report(shard, len(keys), int(counts.sum(dtype=np.int64)), 0, 0, 0)
     return run
 
 
-def level_builder(plan: Plan, level: int):
+def merger(plan: Plan, level: int):
+    """Sets a shard's counted keys down, and reports how many occur once and twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, counts = merged(batches)
-        if shard is None:
-            return
+        if shard is not None:
+            write_file(plan.uri(level, shard) + ".counts", [pack_block(keys, counts)])
+            yield report(shard, len(keys), int(counts.sum()), 0, int((counts == 1).sum()), int((counts == 2).sum()))
+    return run
+
+
+def level_builder(plan: Plan, level: int, discount: float):
+    """Writes a shard's level from its counts. A task that runs again finds the level written."""
+    def build_one(shard: int) -> tuple[int, int, int]:
+        uri = plan.uri(level, shard)
+        if exists(uri):
+            done = Level(uri)
+            delete_file(uri + ".counts")
+            children = done.child.get(np.arange(done.child.n)).astype(np.int64)
+            return done.keys.n, 0, int(np.diff(children).max(initial=0))
+        keys, counts = unpack_block(bytes(map_file(uri + ".counts")))
         _, bits = key_bits(plan, level)
         lower = 10.0 ** (-plan.step() * (keys & np.uint64(255)).astype(float))
-        keys >>= np.uint64(8)
+        keys = keys >> np.uint64(8)
         context, rank = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
         below = words_file(plan.uri(1, shard)).hashes.n if level == 2 else level_file(plan.uri(level - 1, shard)).keys.n
         children = np.bincount(context, minlength=below)
         total = np.bincount(context, counts, minlength=below)
-        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = once / (once + 2 * twice) if once and twice else 0.5
         backoff = np.where(total > 0, discount * children / np.maximum(total, 1), 1.0)
         # The discounted share is spread as the grid stores it, so that seen and unseen words agree.
         coded = plan.code(np.log10(backoff))
@@ -323,10 +337,16 @@ def level_builder(plan: Plan, level: int):
         base = np.concatenate([[np.uint64(0)], np.cumsum(width, dtype=np.uint64)])
         child = np.concatenate([[0], np.cumsum(children)]).astype(np.uint64)
         top = int(base[-1]) + 1
-        save(plan.uri(level, shard), [
+        save(uri, [
             *Sequence.of(base, top).parts(), *Sequence.of(child, len(keys) + 1).parts(),
             *Sequence.of(base[context] + rank, top).parts(), coded, plan.code(np.log10(np.minimum(p, 1.0)))])
-        yield report(shard, len(keys), int(counts.sum()), int(children.max(initial=0)))
+        delete_file(uri + ".counts")
+        return len(keys), int(counts.sum()), int(children.max(initial=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                yield report(shard, *build_one(shard), 0, 0)
     return run
 
 
@@ -339,15 +359,19 @@ def build(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES,
     for level in range(1, order + 1):
         counted = texts.select("text").mapInArrow(counter(plan, level), "shard int, block binary")
         every = spark.range(plan.shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("block"))
-        builder = word_builder(plan) if level == 1 else level_builder(plan, level)
+        builder = word_builder(plan) if level == 1 else merger(plan, level)
         rows = materialise(counted.union(every).repartitionById(plan.shards, F.col("shard")).mapInArrow(builder, REPORT), "levels")
         done = sorted(rows.collect())  # one row of counts per shard
         if level == 1:
             first = np.concatenate([[0], np.cumsum([r["grams"] for r in done])])
             plan = Plan(plan.folder, plan.shards, order, sum(r["tokens"] for r in done), int(first[-1]) - 1, tuple(first.tolist()))
-        else:
-            plan = Plan(plan.folder, plan.shards, order, plan.tokens, plan.words, plan.first_word,
-                        (*plan.most, (max(r["grams"] for r in done), max(r["children"] for r in done))))
+            continue
+        once, twice = (sum(r[c] for r in done) for c in ("once", "twice"))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        shards = rows.select("shard").repartitionById(plan.shards, F.col("shard"))
+        done = materialise(shards.mapInArrow(level_builder(plan, level, discount), REPORT), "levels").collect()
+        plan = Plan(plan.folder, plan.shards, order, plan.tokens, plan.words, plan.first_word,
+                    (*plan.most, (max(r["grams"] for r in done), max(r["children"] for r in done))))
     return plan
 
 
