@@ -21,10 +21,13 @@ from flowkeel.llm.frames import keyed, lower_ascii, same_row, sized
 from flowkeel.session import materialise
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: Low bits of a fingerprint that hold its position; longer texts repeat positions.
 PLACE_BITS = 20
+KEY_ROWS = 1_000_000
 
 
 def words_of(text: str) -> Column:
@@ -43,6 +46,11 @@ def fingerprints(words: str, window: int = WINDOW, gram: int = GRAM) -> Column:
         F.array(grams), lambda g: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.array_min(F.slice(g, i + 1, span))))[0])
 
 
+def pieces(words: str, length: int) -> Column:
+    """Hash of every run of `length` words."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - length), lambda i: F.xxhash64(F.slice(words, i + 1, length)))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash, start, length, item for every benchmark window in a document."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of("text").alias("w")).filter(
@@ -67,11 +75,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
         F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - reach), F.least("place", F.col("n") - window))).alias("start"))
     for length in sorted(short):
         known = wanted.filter(F.col("length") == length).select(F.xxhash64("words").alias("mark")).distinct()
-        tried = w.filter(n >= length).select("doc_id", "text_hash", F.posexplode(F.transform(
-            F.sequence(F.lit(0), n - length), lambda i, k=length: F.xxhash64(F.slice("w", i + 1, k)))).alias("start", "mark"))
+        tried = w.filter(n >= length).select("doc_id", "text_hash", F.posexplode(pieces("w", length)).alias("start", "mark"))
         starts = starts.union(tried.join(sized(known), "mark").select("doc_id", "text_hash", F.lit(length).alias("length"), "start"))
     found = materialise(starts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "start")).alias("starts")), "hits")
-    at = found.join(w, same_row(found, w)).select(found["doc_id"], found["text_hash"], F.explode(F.transform("starts", lambda s: F.struct(
+    # Only the documents with hits are split into words again: their keys, 16 bytes each, are broadcast up to a bound.
+    keys = sized(found.select("doc_id", "text_hash"), KEY_ROWS)
+    hit = keyed(docs)
+    hit = hit.join(keys, same_row(hit, keys), "left_semi").select("doc_id", "text_hash", words_of("text").alias("w"))
+    at = found.join(hit, same_row(found, hit)).select(found["doc_id"], found["text_hash"], F.explode(F.transform("starts", lambda s: F.struct(
         s["start"].alias("start"), s["length"].alias("length"), F.slice("w", s["start"] + 1, s["length"]).alias("words")))).alias("o"))
     return at.select("doc_id", "text_hash", "o.*").join(sized(wanted), ["length", "words"]).select(
         "doc_id", "text_hash", "start", "length", "item").distinct()
@@ -89,7 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     each_doc = words.join(named, (words["doc_id"].eqNullSafe(named["doc_id"])) & (words["text_hash"] == named["text_hash"])).select(
         words["doc_id"], words["text_hash"], "n_hit", "items")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(
-        F.regexp_count(lower_ascii("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("n_words"))
+        F.regexp_count(F.col("text"), F.lit(ANY_WORD)).cast("long"), F.lit(0).cast("long")).alias("n_words"))
     none = F.array().cast("array<string>")
     return base.join(each_doc, same_row(base, each_doc), "left").select(
         base["doc_id"], base["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
