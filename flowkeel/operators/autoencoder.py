@@ -1,24 +1,25 @@
-"""Reconstruction model: local Adam on partitions, averaged by Spark.
-
-An epoch is one pass over the feature table. Every partition is a shard that
-streams its Arrow batches through mini-batch Adam, starting from the broadcast
-state, and Spark averages the shards' states by row count. The driver receives
-one averaged state, whatever the number of shards. With one shard this is plain
-mini-batch training in row order.
+"""Reconstruction model: local Adam on shards, averaged by Spark.
+
+A row's shard follows from the hash of the row, and its place in the shard from a second
+hash, so a result depends on the data and the number of shards and never on files, splits
+or row order. An epoch is one pass over the feature table: a shard's state travels as
+a row that sorts ahead of its flows, one task streams them through mini-batch Adam, and
+Spark averages the shards' states by row count. With one shard this is plain mini-batch
+training in that order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkeel.params import TrainParams
-from flowkeel.session import fresh_path, ship_package
+from flowkeel.session import fresh_path, materialise, ship_package
 
 # Adam's customary constants.
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
@@ -26,9 +27,7 @@ BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 # Metric tags.
 EPOCH_LOSS, BATCH_LOSS = "Training/Epoch_Loss", "Training/Batch_Loss"
 
-STATE_SCHEMA = "shard int, kind string, idx bigint, value double, n bigint"
-# Independent models travel to the tasks in one broadcast; this bounds it.
-MAX_BROADCAST_VALUES = 8_000_000
+STATE_SCHEMA = "shard int, n bigint, state array<double>, loss double, batches bigint, losses array<double>"
 
 
 @dataclass(frozen=True)
@@ -164,47 +163,78 @@ class ShardTrainer:
             self.rest = None
 
 
-@dataclass
 class Model:
-    """Trained weights: one vector, or one per shard if the shards were not synchronised."""
+    """Trained weights: one vector, or one per shard if the shards were not synchronised.
+
+    `states` has the independent models as rows (shard, state); `weights` collects
+    them, for looking at a few. Scoring sends each shard its own as a row.
+    """
+
+    def __init__(self, network: Network, weights: dict[int, np.ndarray] | None, params: TrainParams,
+                 metrics: DataFrame | None = None, states: DataFrame | None = None):
+        self.network, self.params, self.metrics, self.states = network, params, metrics, states
+        self._weights, self._shared = weights, None
 
-    network: Network
-    weights: dict[int, np.ndarray]
-    params: TrainParams
-    metrics: DataFrame | None = field(default=None, repr=False)
+    @property
+    def weights(self) -> dict[int, np.ndarray]:
+        if self._weights is None:
+            self._weights = {r["shard"]: AdamState.unflat(np.array(r["state"])).weights for r in self.states.collect()}
+        return self._weights
 
     def score(self, df: DataFrame, column: str = "recon_error") -> DataFrame:
         """Adds the mean squared reconstruction error of `features`."""
         ship_package(df.sparkSession)
-        shared = df.sparkSession.sparkContext.broadcast(self.weights)
         network = self.network
+        if self.params.sync == "none":
+            return self._score_shards(df, column)
+        if self._shared is None:
+            self._shared = df.sparkSession.sparkContext.broadcast(self.weights[0])
+        shared = self._shared
 
-        if self.params.sync == "average":
-            @F.arrow_udf("double")
-            def error(features: pa.Array) -> pa.Array:
-                return pa.array(network.errors(shared.value[0], as_matrix(features)))
+        @F.arrow_udf("double")
+        def error(features: pa.Array) -> pa.Array:
+            return pa.array(network.errors(shared.value, as_matrix(features)))
 
-            return df.withColumn(column, error("features"))
+        return df.withColumn(column, error("features"))
 
-        @F.arrow_udf("double")
-        def shard_error(features: pa.Array, shard: pa.Array) -> pa.Array:
-            x, shards = as_matrix(features), shard.to_numpy(zero_copy_only=False)
-            out = np.empty(len(x))
-            for s in np.unique(shards):
-                rows = shards == s
-                out[rows] = network.errors(shared.value[int(s)], x[rows])
-            return pa.array(out)
+    def _score_shards(self, df: DataFrame, column: str) -> DataFrame:
+        network, names = self.network, df.columns
+        rows = df.select(F.col("shard").alias("_shard"), F.lit(1).alias("_kind"), F.lit(None).cast("array<double>").alias("_state"),
+                         F.struct(*names).alias("_row"))
+        states = self.states.select(F.col("shard").alias("_shard"), F.lit(0).alias("_kind"), F.col("state").alias("_state"),
+                                    F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights: dict[int, np.ndarray] = {}
+            for b in batches:
+                kind, shards = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 0))
+                for i in np.flatnonzero(kind == 0).tolist():
+                    weights = {int(shards[i]): AdamState.unflat(np.array(b.column(2)[i].as_py())).weights}
+                flows = np.flatnonzero(kind == 1)
+                if not len(flows):
+                    continue
+                for s in np.unique(shards[flows]).tolist():
+                    own = b.column(3).take(pa.array(flows[shards[flows] == s]))
+                    columns = own.flatten()
+                    errors = network.errors(weights[int(s)], as_matrix(columns[names.index("features")]))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(errors)], names=[*names, column])
+
+        dealt = by_shard(states.unionByName(rows), self.params.shards, "_shard", "_kind")
+        out = df.withColumn(column, F.lit(0.0)).schema
+        return dealt.mapInArrow(run, out)
 
-        return df.withColumn(column, shard_error("features", "shard"))
+
+def by_shard(rows: DataFrame, shards: int, shard: str, *order: str) -> DataFrame:
+    """Whole shards in tasks of their own, in order."""
+    return rows.repartitionById(shards, F.col(shard)).sortWithinPartitions(shard, *order)
 
 
 class Autoencoder:
     """Trains a `Model` on a table with `features ARRAY<DOUBLE>`.
 
     The table is read once per epoch, so it should be cheap to read again (see
-    `flowkeel.session.materialise`). Its partitions are the shards, merged to
-    `params.shards` where that is set. With `sync="none"` a `shard INT` column names
-    the model of each row; a shard that spans tasks is averaged within itself.
+    `flowkeel.session.materialise`). A `shard INT` column from 0 below `params.shards` names
+    the shard of each row; without it rows are dealt by their hash.
     """
 
     def __init__(self, params: TrainParams = TrainParams()):
@@ -220,87 +250,80 @@ class Autoencoder:
             input_dim = first["w"]
         network = Network.symmetric(input_dim, p.hidden_dims, p.latent_dim)
         start = AdamState.start(network.initial(p.seed)).flat()
-        states: dict[int, np.ndarray] = {0: start}
-        if p.sync == "average" and p.shards:
-            table = table.coalesce(p.shards)
-        if p.sync == "none":
-            shards = [r["shard"] for r in table.select("shard").distinct().orderBy("shard")
-                      .limit(MAX_BROADCAST_VALUES // len(start) + 1).collect()]
-            if len(shards) * len(start) > MAX_BROADCAST_VALUES:
-                raise ValueError("too many independent models to broadcast")
-            states = {s: start for s in shards}
+        if "shard" not in table.columns:
+            table = assign_shards(table, p.shards)
+        rows = table.select("shard", F.lit(1).alias("kind"), row_order(table).alias("place"), "features")
+        every = spark.range(p.shards).select(F.col("id").cast("int").alias("shard"))
+        one = spark.createDataFrame([(start.tolist(),)], "state array<double>")
+        states = every.withColumn("state", one.scalar())
 
         root = fresh_path(spark, "training")
         for epoch in range(p.epochs):
             path = f"{root}/epoch={epoch}"
-            self._epoch(table, network, states).write.parquet(path)
-            states = self._collect(spark.read.parquet(path), states, len(start))
-        weights = {s: AdamState.unflat(v).weights for s, v in states.items()}
-        return Model(network, weights, p, training_metrics(spark, root, p.epochs))
+            self._epoch(rows, network, states).write.parquet(path)
+            done = spark.read.parquet(path)
+            if p.sync == "none":
+                states = done.select("shard", "state")
+            else:
+                old = states.filter("shard = 0").select("state").scalar()
+                states = materialise(every.withColumn("state", F.coalesce(average(done).scalar(), old)), "states")
+        metrics = training_metrics(spark, root, p.epochs)
+        if p.sync == "none":
+            return Model(network, None, p, metrics, states)
+        final = np.array(states.filter("shard = 0").first()["state"])
+        return Model(network, {0: AdamState.unflat(final).weights}, p, metrics)
 
-    def _epoch(self, table: DataFrame, network: Network, states: dict[int, np.ndarray]) -> DataFrame:
+    def _epoch(self, rows: DataFrame, network: Network, states: DataFrame) -> DataFrame:
         p = self.params
-        independent = p.sync == "none"
-        shared = table.sparkSession.sparkContext.broadcast(states)
+
+        def row(shard: int, trainer: ShardTrainer) -> pa.RecordBatch:
+            trainer.finish()
+            losses = trainer.losses
+            return pa.RecordBatch.from_pydict({
+                "shard": pa.array([shard], pa.int32()), "n": pa.array([trainer.rows], pa.int64()),
+                "state": pa.array([trainer.state.flat().tolist()], pa.list_(pa.float64())),
+                "loss": pa.array([float(np.mean(losses)) if losses else None], pa.float64()),
+                "batches": pa.array([len(losses)], pa.int64()),
+                "losses": pa.array([losses if shard == 0 else []], pa.list_(pa.float64()))})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainers: dict[int, ShardTrainer] = {}
-            first_task = False
+            shard, trainer = None, None
             for b in batches:
-                x = as_matrix(b.column("features"))
-                shards = b.column("shard").to_numpy(zero_copy_only=False)
-                first_task = first_task or bool((shards == 0).any())
-                models = shards if independent else np.zeros(len(x), "int32")
-                for s in np.unique(models).tolist():
-                    if s not in trainers:
-                        trainers[s] = ShardTrainer(network, AdamState.unflat(shared.value[s]), p)
-                    trainers[s].push(x[models == s])
-            for s, trainer in trainers.items():
-                trainer.finish()
-                logged = trainer.losses if first_task and s == 0 else []
-                for kind, values, n in (
-                    ("state", trainer.state.flat(), trainer.rows),
-                    ("loss", [np.mean(trainer.losses)], len(trainer.losses)),
-                    ("batch", logged, 1),
-                ):
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": pa.array(np.full(len(values), s, "int32")),
-                        "kind": pa.array([kind] * len(values), pa.string()),
-                        "idx": pa.array(np.arange(len(values), dtype="int64")),
-                        "value": pa.array(values, pa.float64()),
-                        "n": pa.array(np.full(len(values), n, "int64")),
-                    })
-
-        shard = F.col("shard") if independent else F.spark_partition_id()
-        local = table.select("features", shard.cast("int").alias("shard")).mapInArrow(run, STATE_SCHEMA)
-        mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
-        return local.groupBy("shard", "kind", "idx").agg(mean.alias("value"), F.sum("n").alias("n"))
-
-    @staticmethod
-    def _collect(epoch: DataFrame, states: dict[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
-        """Reads the averaged states: `width` numbers per model."""
-        rows = epoch.filter(F.col("kind") == "state").select("shard", "idx", "value").toPandas()
-        out = dict(states)
-        for s, part in rows.groupby("shard"):
-            flat = np.empty(width)
-            flat[part["idx"].to_numpy()] = part["value"].to_numpy()
-            out[int(s)] = flat
-        return out
+                shards, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(b)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if kind[lo] == 0:
+                        if trainer is not None:
+                            yield row(shard, trainer)
+                        shard = int(shards[lo])
+                        trainer = ShardTrainer(network, AdamState.unflat(as_matrix(b.column(3).slice(lo, 1))[0]), p)
+                    else:
+                        trainer.push(as_matrix(b.column(3).slice(lo, hi - lo)))
+            if trainer is not None:
+                yield row(shard, trainer)
+
+        ahead = states.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.col("state").alias("features"))
+        return by_shard(ahead.unionByName(rows), p.shards, "shard", "kind", "place", "features").mapInArrow(run, STATE_SCHEMA)
+
+
+def average(done: DataFrame) -> DataFrame:
+    """The shards' states averaged by their rows, as one array."""
+    parts = done.filter("n > 0").select("n", F.posexplode("state").alias("idx", "value"))
+    mean = parts.groupBy("idx").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return mean.agg(F.nullif(F.transform(pairs, lambda e: e["value"]), F.array().cast("array<double>")).alias("state"))
 
 
 def training_metrics(spark: SparkSession, root: str, epochs: int) -> DataFrame:
-    """Loss per epoch over all shards, and per batch for the first shard."""
+    """Loss per epoch over all shards, and per batch for shard 0."""
     if epochs == 0:
         return spark.createDataFrame([], "tag string, step bigint, value double")
-    log = spark.read.parquet(root)
-    log = log.withColumn("epoch", F.col("epoch").cast("bigint"))
-    per_epoch = log.filter(F.col("kind") == "loss").groupBy("epoch").agg(
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).select(
+    log = spark.read.parquet(root).withColumn("epoch", F.col("epoch").cast("bigint"))
+    per_epoch = log.filter("batches > 0").groupBy("epoch").agg(
+        (F.sum(F.col("loss") * F.col("batches")) / F.sum("batches")).alias("value")).select(
         F.lit(EPOCH_LOSS).alias("tag"), F.col("epoch").alias("step"), "value")
-    batch = log.filter((F.col("kind") == "batch") & (F.col("shard") == 0))
-    width = batch.agg(F.max("idx") + 1).scalar()
-    per_batch = batch.select(F.lit(BATCH_LOSS).alias("tag"),
-                             (F.col("epoch") * width + F.col("idx")).alias("step"), "value")
+    per_batch = log.filter("shard = 0").select("epoch", "batches", F.posexplode("losses").alias("idx", "value")).select(
+        F.lit(BATCH_LOSS).alias("tag"), (F.col("epoch") * F.col("batches") + F.col("idx")).alias("step"), "value")
     return per_epoch.unionByName(per_batch)
 
 
@@ -314,9 +337,15 @@ def get_model(params: TrainParams) -> Autoencoder:
     return MODELS[params.model_type](params)
 
 
-def assign_shards(features: DataFrame, shards: int) -> DataFrame:
-    """Numbers the shard of every row, partition by partition and without a shuffle.
+def _whole_row(rows: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in sorted(rows.columns) if c != "shard"]
 
-    Write the result before training, which fixes the numbers.
-    """
-    return features.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(shards)).cast("int"))
+
+def row_order(rows: DataFrame) -> Column:
+    """A row's place among its shard's: equal rows share one."""
+    return F.xxhash64(F.lit("place"), *_whole_row(rows))
+
+
+def assign_shards(features: DataFrame, shards: int) -> DataFrame:
+    """Numbers the shard of every row by the hash of all its columns."""
+    return features.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), *_whole_row(features)), F.lit(shards)).cast("int"))

@@ -11,9 +11,6 @@ from flowkeel.params import FeatureParams
 
 RAW = ("duration", "src_bytes", "dst_bytes", "src_packets", "dst_packets")
 ROBUST = {"duration": "DURATION", "src_bytes": "SRC BYTES", "dst_bytes": "DST BYTES"}
-# Flow columns that training reads, beside the key of the rare set.
-FEATURE_INPUTS = ("duration_us", "src_bytes", "dst_bytes", "src_packets", "dst_packets",
-                  "src_ip", "protocol")
 
 
 def feature_names(params: FeatureParams) -> list[str]:

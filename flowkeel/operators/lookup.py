@@ -35,10 +35,13 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str,
     A dimension of at most `broadcast_rows` rows is broadcast. Next to a larger one
     the facts are split: rows of hot keys, and of none, meet a broadcast of just the
     hot keys' entries and stay where they are; only the others are shuffled, and no
-    key among them holds more than `share` of the rows.
+    key among them holds more than `share` of the rows. A stream's keys cannot be counted
+    ahead, so its batches meet a large dimension in a plain join.
     """
     if fits_broadcast(dim, broadcast_rows):
         return facts.join(F.broadcast(dim), key, "left")
+    if facts.isStreaming:
+        return facts.join(dim, key, "left")
     hot = hot_keys(facts, key, share)
     stays = F.col(key).isNull() | F.col(key).isin(hot)
     # One entry per hot key: at most 1 / share rows.

@@ -175,7 +175,7 @@ def rare_values(df: DataFrame, column: str, threshold: int = 3, limit: int | Non
 def share(df: DataFrame, column: str) -> DataFrame:
     """Rows and percentage of all rows per value."""
     counts = value_counts(df, column)
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.col("n") * F.lit(100.0) / total)
 
 

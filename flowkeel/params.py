@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 
+# Names and defaults of the configuration keys.
 @dataclass(frozen=True)
 class ProfileParams:
     probs: tuple[float, ...] = (0.25, 0.50, 0.75, 0.95, 0.99, 0.999)
@@ -56,7 +57,9 @@ class FeatureParams:
 @dataclass(frozen=True)
 class TrainParams:
     """`sync="average"` trains one model, averaging the shards' weights after
-    every epoch; `sync="none"` keeps one independent model per shard."""
+    every epoch; `sync="none"` keeps one independent model per shard. A result depends on
+    the number of `shards`, each of which one task trains, so it is set here and
+    does not follow from the files; the default suits tens of millions of flows."""
 
     model_type: str = "autoencoder"
     hidden_dims: tuple[int, ...] = (32, 16)
@@ -65,12 +68,14 @@ class TrainParams:
     epochs: int = 5
     learning_rate: float = 0.001
     sync: str = "average"
-    shards: int | None = None
+    shards: int = 8
     seed: int = 0
 
     def __post_init__(self):
         if self.sync not in ("average", "none"):
             raise ValueError(f"sync: {self.sync!r}")
+        if self.shards < 1:
+            raise ValueError(f"shards: {self.shards!r}")
 
     @classmethod
     def from_config(cls, nn: dict, **overrides) -> TrainParams:

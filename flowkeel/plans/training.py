@@ -23,18 +23,16 @@ class TrainingRun:
 
 
 def train_and_flag(flows: DataFrame, profile: DataFrame, rare: DataFrame,
-                   features: FeatureParams = FeatureParams(), train: TrainParams = TrainParams(),
-                   shards: int = 8) -> TrainingRun:
+                   features: FeatureParams = FeatureParams(), train: TrainParams = TrainParams()) -> TrainingRun:
     """Enriches, trains, scores and flags `flows`.
 
     `profile` and `rare` come from a baseline document or straight from the
     profile operators. Vectors and scores are written to the shared folder, so
-    neither epochs nor the threshold repeat the work before them. `shards` is the
-    number of independent models where `train.sync` is "none".
+    neither epochs nor the threshold repeat the work before them.
     """
     table = build_features(flows, profile, rare, features)
     if train.sync == "none":
-        table = assign_shards(table, shards)
+        table = assign_shards(table, train.shards)
     table = materialise(table, "features")
     model = get_model(train).fit(table, len(feature_names(features)))
     scored = materialise(model.score(table).drop("features"), "scores")

@@ -23,7 +23,7 @@ def stream_flows(spark: SparkSession, folder: str, schema: FlowSchema = SPACED,
 
 
 def score_stream(flows: DataFrame, model: Model, profile: DataFrame, rare: DataFrame, threshold: float,
-                 params: FeatureParams = FeatureParams()) -> DataFrame:
-    """Adds `recon_error` and `is_anomaly` to a stream of flows."""
-    vectors = build_features(flows, profile, rare, params)
+                 params: FeatureParams = FeatureParams(), **kw) -> DataFrame:
+    """Adds `recon_error` and `is_anomaly` to a stream of flows; `kw` goes to the rare-source lookup."""
+    vectors = build_features(flows, profile, rare, params, **kw)
     return flag_anomalies(model.score(vectors).drop("features"), threshold=threshold)

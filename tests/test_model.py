@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowkeel.operators import anomaly
-from flowkeel.operators.autoencoder import (AdamState, Autoencoder, Network, ShardTrainer, assign_shards, get_model)
+from flowkeel.operators.autoencoder import (AdamState, Autoencoder, Network, ShardTrainer, assign_shards, get_model,
+                                            row_order)
 from flowkeel.params import TrainParams
 from flowkeel.plans.training import train_and_flag, write_run
 from flowkeel.operators.profile import numeric_profile, rare_values
@@ -88,10 +89,19 @@ def single_process(matrix, p):
     return n, state.weights, losses
 
 
+def members(table, shards):
+    """Ids of each shard's rows in the order in which they are trained."""
+    rows = assign_shards(table, shards).withColumn("place", row_order(table)).collect()
+    out = {s: [] for s in range(shards)}
+    for r in sorted(rows, key=lambda r: (r["place"], r["features"])):
+        out[r["shard"]].append(r["id"])
+    return out
+
+
 def test_one_shard_equals_single_process(table, matrix):
     p = TrainParams(shards=1, **SMALL)
     model = Autoencoder(p).fit(table)
-    order = [r["id"] for r in table.coalesce(1).collect()]
+    order = members(table, 1)[0]
     n, weights, losses = single_process(matrix[order], p)
     assert np.allclose(model.weights[0], weights, atol=1e-12)
     metrics = {(r["tag"], r["step"]): r["value"] for r in model.metrics.collect()}
@@ -113,31 +123,51 @@ def test_averaging_learns_and_repeats(table):
 
 
 def test_average_is_weighted_by_rows(table, matrix):
-    p = TrainParams(**{**SMALL, "epochs": 1})
-    parts = {}
-    for r in table.withColumn("part", F.spark_partition_id()).collect():
-        parts.setdefault(r["part"], []).append(matrix[r["id"]])
+    p = TrainParams(**{**SMALL, "epochs": 1, "shards": 3})
     want = 0
-    for rows in parts.values():
-        _, w, _ = single_process(np.array(rows), p)
-        want = want + w * len(rows) / len(matrix)
+    for ids in members(table, 3).values():
+        _, w, _ = single_process(matrix[ids], p)
+        want = want + w * len(ids) / len(matrix)
     assert np.allclose(Autoencoder(p).fit(table).weights[0], want)
 
 
-def test_independent_shards(spark, table, matrix):
-    p = TrainParams(sync="none", **SMALL)
-    sharded = materialise(assign_shards(table.repartitionByRange(2, "id").sortWithinPartitions("id"), 2), "sharded")
+@pytest.mark.parametrize("sync", ["average", "none"])
+def test_models_do_not_depend_on_files(spark, table, tmp_path, sync):
+    p = TrainParams(**{**SMALL, "epochs": 2, "shards": 4, "sync": sync})
+    models, counts = [], []
+    for files in (1, 3, 8):
+        path = f"{tmp_path}/{sync}-{files}"
+        table.repartition(files, F.rand(files)).write.parquet(path)
+        model = Autoencoder(p).fit(spark.read.parquet(path))
+        models.append(model.weights)
+        counts.append(model.metrics.filter("tag = 'Training/Batch_Loss'").count())
+    assert all(len(m) == (4 if sync == "none" else 1) for m in models)
+    for other in models[1:]:
+        assert all(np.allclose(models[0][s], other[s], atol=1e-9) for s in models[0])
+    assert counts[0] > 0 and len(set(counts)) == 1
+
+
+def test_independent_shards(table, matrix):
+    p = TrainParams(sync="none", **{**SMALL, "shards": 5})
+    sharded = materialise(assign_shards(table, 5), "sharded")
     model = Autoencoder(p).fit(sharded)
-    assert len(model.weights) == 2
-    ids = {}
-    for r in sharded.collect():
-        ids.setdefault(r["shard"], []).append(r["id"])
-    scores = {r["id"]: r["recon_error"] for r in model.score(sharded).collect()}
-    for shard, members in ids.items():
-        x = matrix[sorted(members)]
-        n, weights, _ = single_process(x, p)
+    assert len(model.weights) == 5
+    scored = model.score(sharded)
+    assert scored.columns == [*sharded.columns, "recon_error"]
+    scores = {r["id"]: r["recon_error"] for r in scored.collect()}
+    assert len(scores) == len(matrix)
+    for shard, ids in members(table, 5).items():
+        n, weights, _ = single_process(matrix[ids], p)
         assert np.allclose(model.weights[shard], weights)
-        assert np.allclose([scores[i] for i in sorted(members)], n.errors(weights, x))
+        assert np.allclose([scores[i] for i in ids], n.errors(weights, matrix[ids]))
+
+
+def test_more_shards_than_rows(spark):
+    few = materialise(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 0.5])], "id int, features array<double>"), "few")
+    p = TrainParams(sync="none", **{**SMALL, "shards": 7})
+    assert len(Autoencoder(p).fit(few).weights) == 7
+    both = Autoencoder(TrainParams(**{**SMALL, "shards": 7})).fit(few)
+    assert np.isfinite(both.weights[0]).all()
 
 
 def test_factory():
