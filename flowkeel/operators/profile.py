@@ -71,15 +71,16 @@ def global_summary(flows: DataFrame) -> DataFrame:
 RATIO_QUANTILES = {0.50: "median", 0.95: "p95", 0.99: "p99"}
 
 
-def _numeric_rows(spark: SparkSession, stats: dict[str, Stats], metrics: dict[str, tuple[str, float]]) -> DataFrame:
+def _numeric_rows(spark: SparkSession, stats: dict[str, Stats], metrics: dict[str, tuple[str, float]],
+                  quantiles: dict[float, str] = QUANTILE_NAMES) -> DataFrame:
     rows = []
     for metric, (_, scale) in metrics.items():
         s = stats.get(metric)
-        values = [None] * 10 if s is None else [
-            v / scale for v in (s.min, s.max, s.mean, s.stddev, *(s.quantiles[p] for p in QUANTILE_NAMES))]
-        iqr = None if s is None else values[6] - values[4]
-        rows.append((metric, *values, iqr))
-    names = ("min", "max", "mean", "stddev", *QUANTILE_NAMES.values(), "iqr")
+        values = [None] * (4 + len(quantiles)) if s is None else [
+            v / scale for v in (s.min, s.max, s.mean, s.stddev, *(s.quantiles[p] for p in quantiles))]
+        middle = None if s is None else s.quantiles[0.75] / scale - s.quantiles[0.25] / scale
+        rows.append((metric, *values, middle))
+    names = ("min", "max", "mean", "stddev", *quantiles.values(), "iqr")
     return spark.createDataFrame(rows, "metric string, " + ", ".join(f"{n} double" for n in names))
 
 
@@ -98,11 +99,14 @@ def _ratio_columns() -> dict[str, Column]:
 
 
 def numeric_profile(flows: DataFrame, metrics: dict[str, tuple[str, float]] = NUMERIC_METRICS,
-                    approx: bool = False) -> DataFrame:
-    """Moments and quantiles, one row per metric; the deviation is the population's."""
+                    approx: bool = False, quantiles: dict[float, str] = QUANTILE_NAMES) -> DataFrame:
+    """Moments and quantiles, one row per metric; the deviation is the population's.
+
+    `quantiles` maps probabilities to column names; the spread between the quarters comes with any.
+    """
     measure = approx_stats if approx else exact_stats
-    stats = measure(flows, _numeric_columns(metrics), list(QUANTILE_NAMES))
-    return _numeric_rows(flows.sparkSession, stats, metrics)
+    stats = measure(flows, _numeric_columns(metrics), sorted({*quantiles, 0.25, 0.75}))
+    return _numeric_rows(flows.sparkSession, stats, metrics, quantiles)
 
 
 def ratio_profile(flows: DataFrame, approx: bool = False) -> DataFrame:

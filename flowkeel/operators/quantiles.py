@@ -1,4 +1,4 @@
-"""Exact moments and quantiles of integer columns in a few narrow passes.
+"""Exact moments and quantiles of numeric columns in a few narrow passes.
 
 `percentile` gathers every distinct value of a column in one reducer. Here each
 pass is a histogram with map-side combine and a bounded number of slots, and the
@@ -7,10 +7,14 @@ logarithmic slots over all rows, then one of `SLOTS` equal parts of that slot's
 value range, until a slot holds a single value. A pass cuts the range to a
 millionth, so 64-bit values take four passes at most, and values below 10^9 two.
 The later passes filter by literal ranges, which reach the Parquet scan.
+
+Columns of doubles are searched as 64-bit integers in the same order; their
+moments come from the doubles themselves. NaN counts as missing.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,6 +29,13 @@ LOG_STEPS = 1 << 10
 SLOTS = 1 << 20
 
 
+# Layout of a 64-bit floating-point number.
+MANTISSA = 1 << 52
+EXPONENT_BIAS = 1023
+LEAST_NORMAL = 2.0 ** -1022
+INFINITE = 0x7FF << 52
+
+
 @dataclass
 class Stats:
     """Moments of one column; `quantiles` maps each probability to its value."""
@@ -37,6 +48,38 @@ class Stats:
     quantiles: dict[float, float] = field(default_factory=dict)
 
 
+def order_key(x: Column) -> Column:
+    """A double's bits as an integer that ascends with it; NaN as null."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7976931348623157e308)), F.lit(LEAST_NORMAL)))).cast("int")
+    part = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
+    part = part * F.when(part >= 2, 0.5).when(part < 1, 2.0).otherwise(1.0)
+    normal = (exponent + EXPONENT_BIAS).cast("bigint") * F.lit(MANTISSA) + ((part - 1) * F.lit(float(MANTISSA))).cast("bigint")
+    half = F.lit(2.0 ** 537)
+    bits = (F.when(size == F.lit(float("inf")), F.lit(INFINITE)).when(size >= LEAST_NORMAL, normal)
+            .otherwise((size * half * half).cast("bigint")))
+    return F.when(~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
+
+
+def from_key(key: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
+
+
+def _real_columns(df: DataFrame, columns: dict[str, Column]) -> set[str]:
+    types = dict(df.select(*[c.alias(m) for m, c in columns.items()]).dtypes)
+    return {m for m, t in types.items() if t in ("double", "float") or t.startswith("decimal")}
+
+
+def _moments(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of columns of doubles."""
+    parts = [f(F.nanvl(c.cast("double"), F.lit(None))).alias(f"{k}{i}")
+             for i, c in enumerate(columns.values()) for k, f in (("mean", F.avg), ("dev", F.stddev_pop))]
+    row = df.agg(*parts).first()
+    return {m: (row[f"mean{i}"], row[f"dev{i}"]) for i, m in enumerate(columns)}
+
+
 def _slot_counts(rows: DataFrame, group: str) -> DataFrame:
     """Counts and bounds per slot, with the number of rows in the slots before."""
     w = Window.partitionBy(group).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,10 +144,13 @@ def _narrow(df: DataFrame, columns: dict[str, Column], ranges: list[tuple[str, i
 def exact_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, Stats]:
     """Moments and linearly interpolated quantiles per metric; nulls do not count.
 
-    `columns` maps metric names to integer columns. A metric without values is
+    `columns` maps metric names to numeric columns. A metric without values is
     missing from the result. Runs its passes at once and keeps at most two slots
     per metric and quantile in the driver.
     """
+    real = _real_columns(df, columns)
+    moments = _moments(df, {m: columns[m] for m in columns if m in real}) if real else {}
+    columns = {m: order_key(c.cast("double")) if m in real else c for m, c in columns.items()}
     found: dict[tuple[str, int], int] = {}
     stats: dict[str, Stats] = {}
     # (metric, lo, hi, ranks within the range, same ranks within the column)
@@ -128,17 +174,23 @@ def exact_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float
             sort_in(metric, row, dict(zip(inner, outer)).__getitem__)
 
     for metric, s in stats.items():
+        value = from_key if metric in real else int
+        s.min, s.max = value(s.min), value(s.max)
+        s.mean, s.stddev = moments.get(metric, (s.mean, s.stddev))
         for p in probs:
             pos = float(p) * (s.n - 1)
-            lo, hi = found[metric, floor(pos)], found[metric, ceil(pos)]
-            s.quantiles[p] = lo + (hi - lo) * (pos - floor(pos))
+            lo, hi = value(found[metric, floor(pos)]), value(found[metric, ceil(pos)])
+            s.quantiles[p] = lo if lo == hi else lo + (hi - lo) * (pos - floor(pos))
     return stats
 
 
 def approx_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
                  accuracy: int = 10_000) -> dict[str, Stats]:
     """The same in one pass, with quantiles within `1 / accuracy` of their rank."""
-    rows = _stacked(df, columns).groupBy("metric").agg(
+    real = _real_columns(df, columns)
+    kind = "double" if real else "bigint"
+    stacked = df.select(*[F.nanvl(c.cast(kind), F.lit(None)).alias(m) if real else c.cast(kind).alias(m) for m, c in columns.items()])
+    rows = stacked.unpivot([], list(columns), "metric", "x").filter(F.col("x").isNotNull()).groupBy("metric").agg(
         F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("stddev"),
         F.percentile_approx("x", list(probs), accuracy).alias("q")).collect()

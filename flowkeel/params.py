@@ -8,7 +8,6 @@ from dataclasses import dataclass, fields
 # Names and defaults of the configuration keys.
 @dataclass(frozen=True)
 class ProfileParams:
-    probs: tuple[float, ...] = (0.25, 0.50, 0.75, 0.95, 0.99, 0.999)
     rare_threshold: int = 3
     rare_limit: int = 2000
     min_probability: float = 0.30

@@ -10,7 +10,7 @@ from flowkeel.operators import profile as prof
 from flowkeel.params import ProfileParams
 from flowkeel.schema import BASELINE_DDL
 from flowkeel.session import materialise
-from flowkeel.sources.baseline import write_baseline
+from flowkeel.sources.baseline import write_baseline, write_rare
 
 
 def _map(rows: DataFrame, key: str, value: Column) -> Column:
@@ -96,8 +96,13 @@ def chart_tables(flows: DataFrame, geo: DataFrame | None = None,
 
 def profile_job(flows: DataFrame, geo: DataFrame | None, baseline_path: str, report_dir: str,
                 params: ProfileParams = ProfileParams(), approx: bool = False) -> DataFrame:
-    """Writes the baseline document and the chart tables; returns the run summary."""
+    """Writes the baseline document, the full set of rare sources beside it, and the chart tables.
+
+    Returns the run summary. The document holds a sample of the rare sources; training and
+    streams read the full set (`flowkeel.sources.baseline.read_rare`).
+    """
     write_baseline(build_baseline(flows, geo, params, approx), baseline_path)
+    write_rare(prof.rare_values(flows, "src_ip", params.rare_threshold), baseline_path)
     for name, rows in chart_tables(flows, geo, params).items():
         rows.write.mode("overwrite").parquet(f"{report_dir}/{name}")
     return profile_run_summary(flows, geo)

@@ -78,6 +78,14 @@ def numeric_profile(spark, sf_dir):
     return _profile_rounded(out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)}))
 
 
+@query
+def real_profile(spark, sf_dir):
+    """Exact quantiles of columns of doubles."""
+    flows = normalise.normalise(tables.flows_view(spark, sf_dir)).select("src_bpp", "duration_sec", "byte_asym")
+    out = profile.numeric_profile(materialise(flows, "reals"), {c: (c, 1.0) for c in flows.columns})
+    return rounded(out.select("metric", "min", "max", "p25", "median", "p75", "p95", "p99", "p999"), 9)
+
+
 @query
 def ratio_profile(spark, sf_dir):
     return rounded(profile.ratio_profile(
@@ -293,6 +301,16 @@ def load_normalised(spark, sf_dir):
     return rounded(out.withColumn("datetime", F.unix_micros("datetime")))
 
 
+@query
+def load_without_dual(spark, sf_dir):
+    """Flow files of 12 columns; the flag follows from the packets."""
+    path = fresh_path(spark, "flows")
+    tables.flows_view(spark, sf_dir).drop("dual").select(
+        *[F.col(c).alias(flow_io.SPACED.physical(c)) for c in flow_io.FLOW_COLUMNS if c != "dual"]).write.parquet(path)
+    return flow_io.read_flows(spark, path).groupBy("dual").agg(
+        F.count("*").alias("n"), F.sum("src_bytes").alias("src_bytes"), F.sum("dst_packets").alias("dst_packets"))
+
+
 @query
 def known_applications(spark, sf_dir):
     return normalise.known_applications(tables.flows_view(spark, sf_dir)).groupBy("application").agg(
@@ -371,6 +389,15 @@ def features_rare_large(spark, sf_dir):
     return _keyed(features.rare_feature(flows, rare, broadcast_rows=0), ["rare_src_ip"])
 
 
+@query
+def features_rare_stored(spark, sf_dir):
+    """The flag from the full set that a profile run has written."""
+    flows = stored_flows(spark, sf_dir)
+    path = fresh_path(spark, "baseline")
+    baseline_io.write_rare(profile.rare_values(flows, "src_ip"), path)
+    return _keyed(features.rare_feature(flows, baseline_io.read_rare(spark, path)), ["rare_src_ip"])
+
+
 @query
 def features_protocol(spark, sf_dir):
     flows = tables.flows_view(spark, sf_dir)
@@ -379,6 +406,9 @@ def features_protocol(spark, sf_dir):
 
 def _vectors(spark, sf_dir, params: FeatureParams = FeatureParams()) -> DataFrame:
     flows = stored_flows(spark, sf_dir)
+    if not params.use_rare_src_ip:
+        rows = materialise(profile.numeric_profile(flows).select("metric", "median", "iqr"), "profile")
+        return features.build_features(flows, rows, None, params)
     rows, rare = _profile_and_rare(spark, flows)
     return features.build_features(flows, rows, rare, params)
 
@@ -409,7 +439,7 @@ def feature_sanity(spark, sf_dir):
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Source bytes per packet, squared, as the score."""
-    flows = tables.flows_view(spark, sf_dir)
+    flows = stored_flows(spark, sf_dir, "time_us", "src_ip", "dst_ip", "src_bytes", "src_packets")
     per_packet = F.col("src_bytes") / F.greatest("src_packets", F.lit(1)).cast("double") / F.lit(1000.0)
     return flows.withColumn("score", per_packet * per_packet)
 

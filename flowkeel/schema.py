@@ -12,6 +12,7 @@ FRAMES_SCHEMA = T.StructType([
     T.StructField("ts_us", T.LongType()),
     T.StructField("wirelen", T.LongType()),
     T.StructField("frame", T.BinaryType()),
+    T.StructField("caplen", T.LongType()),
 ])
 
 PACKETS_SCHEMA = T.StructType([

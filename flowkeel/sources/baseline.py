@@ -53,6 +53,20 @@ def profile_rows(doc: DataFrame) -> DataFrame:
     return doc.select(F.explode("numerical_profiles").alias("metric", "p")).select("metric", "p.*")
 
 
+def _rare_path(path: str) -> str:
+    return f"{path.rstrip('/')}-rare-sources"
+
+
+def write_rare(rare: DataFrame, path: str) -> None:
+    """Writes every rare source beside the document in folder `path`."""
+    rare.select("src_ip").write.mode("overwrite").parquet(_rare_path(path))
+
+
+def read_rare(spark: SparkSession, path: str) -> DataFrame:
+    """`src_ip` rows of all rare sources that the profile in folder `path` found."""
+    return spark.read.parquet(_rare_path(path))
+
+
 def rare_sources(doc: DataFrame) -> DataFrame:
-    """`src_ip` rows of the document's sample of rare sources."""
+    """`src_ip` rows of the document's sample of rare sources, which is cut at its limit."""
     return doc.select(F.explode("categorical_baselines.rare_src_ips_sample").alias("src_ip"))

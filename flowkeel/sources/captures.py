@@ -40,6 +40,8 @@ DEFAULT_TICKS = 1_000_000
 SPLIT_BYTES = 64 << 20
 MAX_RECORD = 1 << 18
 PROOF_RECORDS = 8
+# Ethernet header, the longest IPv4 header, and both ports.
+HEAD_BYTES = 14 + 60 + 4
 BATCH_BYTES = 8 << 20
 
 SPLITS_DDL = ("file string, length bigint, k bigint, kind string, start bigint, stop bigint, "
@@ -257,15 +259,18 @@ def _frames(cur: Cursor, split: dict) -> Iterator[tuple]:
         yield (file, offset, ((high << 32) | low) * 1_000_000 // per, wire, cur.take(offset + 28, captured))
 
 
-def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES,
+                head: int | None = HEAD_BYTES) -> DataFrame:
     """Frames of all captures a path, list or glob names.
 
-    `ord` is the offset of a frame's record in its file, so it follows file order.
+    `ord` is the offset of a frame's record in its file, so it follows file order. `frame` has the
+    first `head` bytes, all that decoding needs, or everything with None; `caplen` says how many
+    bytes were captured.
     """
     splits = materialise(index_captures(spark, path, split_bytes), "capture-splits")
     n = max(1, min(splits.count(), 100_000))
     schema = pa.schema([("file", pa.string()), ("ord", pa.int64()), ("ts_us", pa.int64()),
-                        ("wirelen", pa.int64()), ("frame", pa.binary())])
+                        ("wirelen", pa.int64()), ("frame", pa.binary()), ("caplen", pa.int64())])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,8 +278,8 @@ def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = S
                 rows, size = [], 0
                 with Cursor(split["file"]) as cur:
                     for row in _frames(cur, split):
-                        rows.append(row)
-                        size += len(row[4]) + 64
+                        rows.append((*row[:4], row[4][:head], len(row[4])))
+                        size += len(rows[-1][4]) + 64
                         if size >= BATCH_BYTES:
                             yield _table(rows, schema)
                             rows, size = [], 0

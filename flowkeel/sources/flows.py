@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowkeel.schema import FLOW_COLUMNS, FLOWS_SCHEMA, SPACED, TIME_UNITS, FlowSchema
@@ -33,6 +33,11 @@ def canonical(df: DataFrame, schema: FlowSchema = SPACED, time_unit: str = "us",
     out = []
     for c in columns:
         name = schema.physical(c)
+        if c == "dual" and name not in types:
+            # Files of 12 columns say so only by their packets.
+            back = F.col(f"`{schema.physical('dst_packets')}`")
+            out.append(F.when(back > 0, 1).otherwise(0).cast(FLOWS_SCHEMA[c].dataType).alias(c))
+            continue
         col = F.col(f"`{name}`")
         if c in ("time_us", "duration_us"):
             col = _micros(col, types[name], time_unit, strict)
@@ -68,12 +73,26 @@ def file_report(flows: DataFrame, time: str = "time_us", file: str = "file") ->
 
 
 def shard_files(spark: SparkSession, path: str | list[str], n_shards: int) -> DataFrame:
-    """Deals files to at most `n_shards` shards in name order: rows `(file, shard)`."""
+    """Deals files to at most `n_shards` shards in name order: rows `(file, shard)`.
+
+    One task ranks the names, one row per file.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    listing = spark.read.format("binaryFile").load(paths).select("path")
-    files = sorted(r["path"] for r in listing.collect())
-    n = max(1, min(n_shards, len(files)))
-    return spark.createDataFrame([(f, i % n) for i, f in enumerate(files)], "file string, shard int")
+    listing = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"))
+    n = F.greatest(F.lit(1), F.least(F.lit(n_shards), F.count("*").over(Window.partitionBy())))
+    return listing.select("file", F.pmod(F.row_number().over(Window.orderBy("file")) - 1, n).cast("int").alias("shard"))
+
+
+def load_shards(spark: SparkSession, path: str | list[str], n_shards: int, schema: FlowSchema = SPACED,
+                time_unit: str = "us") -> list[tuple[DataFrame, DataFrame]]:
+    """Each shard's flows and its files; past the number of files they are empty."""
+    files = shard_files(spark, path, n_shards)
+    flows = read_flows(spark, path, schema, time_unit, with_file=True)
+    parts = []
+    for k in range(n_shards):
+        own = files.filter(F.col("shard") == k).select("file")
+        parts.append((flows.join(own, "file", "left_semi"), own))
+    return parts
 
 
 def shard_report(flows: DataFrame, shards: DataFrame) -> DataFrame:

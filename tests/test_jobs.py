@@ -43,9 +43,10 @@ def test_stream_gives_the_batch_result(spark, flows, tmp_path):
     threshold = run.summary.first()["threshold"]
     folder = str(tmp_path / "flows")
     write_flows(flows, folder)
-    stream = score_stream(stream_flows(spark, folder), run.model, profile, rare, threshold)
-    assert stream.isStreaming
-    query = stream.writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
-    query.awaitTermination(120)
     digits = [F.round("recon_error", 9).alias("e"), "is_anomaly", "time_us", "src_ip"]
-    assert rows_of(spark.table("scored").select(digits)) == rows_of(run.flagged.select(digits))
+    for name, kw in (("scored", {}), ("scored_large", {"broadcast_rows": 0})):
+        stream = score_stream(stream_flows(spark, folder), run.model, profile, rare, threshold, **kw)
+        assert stream.isStreaming
+        query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert rows_of(spark.table(name).select(digits)) == rows_of(run.flagged.select(digits))

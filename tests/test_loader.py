@@ -12,28 +12,26 @@ from flowkeel.sources import flows as io
 from flowkeel.sources import tables
 from helpers import make_flows, plan_of, rows_of
 
-HALF_HOUR_US = 1_800_000_000
-FIRST_US = 1_737_700_000_000_000
+SPAN_US = 600_000_000
+FIRST_US = 1_600_000_000_000_000
 
 
 def write_part(path, part, n=500):
-    """Half an hour of flows under the underscore names, times in nanoseconds, narrow integers."""
+    """One file of four: its own ten minutes, its own hosts, narrow integer types, times in nanoseconds."""
     k = np.arange(n)
-    pick = lambda step, options: pa.array([options[v] for v in (k * step + part) % len(options)])
-    number = lambda step, size, kind: pa.array((k * step + part) % size, kind)
-    times = FIRST_US + part * HALF_HOUR_US + k * (HALF_HOUR_US // n)
+    hosts = [f"192.168.{40 + part}.{v}" for v in range(3, 90)]
     columns = {
-        "time_us": pa.array(times * 1000), "duration_us": pa.array((500 + k * 7919 % 2_000_000) * 1000),
-        "src_ip": pa.array([f"10.0.{part}.{v}" for v in k % 200]), "src_port": number(17, 28_000, pa.int32()),
-        "dst_ip": pick(3, ["8.8.8.8", "1.1.1.1"]), "dst_port": pick(5, [53, 80, 443]).cast(pa.int32()),
-        "dual": number(1, 2, pa.int8()), "protocol": pick(7, ["TCP", "UDP", "TCP", "ICMP"]),
-        "application": pick(11, ["DNS", "UNKNOWN", "SSL"]),
-        "src_packets": number(3, 19, pa.int32()), "dst_packets": number(5, 20, pa.int32()),
-        "src_bytes": number(97, 15_000, pa.int64()), "dst_bytes": number(89, 15_000, pa.int64()),
+        "time_us": pa.array((FIRST_US + part * SPAN_US + k * (SPAN_US // n)) * 1000),
+        "duration_us": pa.array(k * k % 90_001 * 1000),
+        "src_ip": pa.array([hosts[v % len(hosts)] for v in k * 13]), "src_port": pa.array(20_000 + k % 3_001, pa.int32()),
+        "dst_ip": pa.array([f"203.0.113.{v}" for v in k % 31]), "dst_port": pa.array([(22, 123, 8080, 5353)[v] for v in k % 4], pa.int32()),
+        "dual": pa.array((k % 5 > 0).astype("int8")), "protocol": pa.array(["UDP" if v % 3 == 0 else "TCP" for v in k]),
+        "application": pa.array([("NTP", "SSH", "UNKNOWN")[v] for v in k % 3]),
+        "src_packets": pa.array(1 + k % 11, pa.int32()), "dst_packets": pa.array(k % 5 * 2, pa.int32()),
+        "src_bytes": pa.array(60 + k * 31 % 4_001), "dst_bytes": pa.array(k % 5 * 512),
     }
-    # The rows are not stored in time order.
-    order = np.argsort(k * 7 % n)
-    pq.write_table(pa.table({UNDERSCORE.physical(c): v.take(pa.array(order)) for c, v in columns.items()}), path)
+    backwards = pa.array(np.flip(k))
+    pq.write_table(pa.table({UNDERSCORE.physical(c): v.take(backwards) for c, v in columns.items()}), path)
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +82,7 @@ def test_nulls_are_found_and_dropped(spark):
 def test_file_report(loaded):
     report = io.file_report(loaded).collect()
     assert len(report) == 4 and {r["n_rows"] for r in report} == {500}
-    assert all(0 < r["span_sec"] <= 1800 for r in report)
+    assert all(0 < r["span_sec"] <= 600 for r in report)
 
 
 @pytest.mark.parametrize("asked, shards, files", [(4, 4, 1), (2, 2, 2), (8, 4, 1)])
@@ -94,6 +92,13 @@ def test_shards(spark, folder, loaded, asked, shards, files):
     assert sum(r["n_rows"] for r in report) == 2000
 
 
+def test_shards_are_loaded_apart(spark, folder):
+    parts = io.load_shards(spark, str(folder), 3, UNDERSCORE, "ns")
+    assert [own.count() for _, own in parts] == [2, 1, 1] and [f.count() for f, _ in parts] == [1000, 500, 500]
+    for flows, own in parts:
+        assert rows_of(flows.select("file").distinct()) == rows_of(own)
+
+
 def test_schema_roles_from_config():
     s = FlowSchema.from_config({"time_col": "T", "src_ip_col": "S", "dst_ip_col": "D", "protocol_col": "P", "other": 1})
     assert (s.physical("time_us"), s.physical("src_ip"), s.physical("dst_ip"), s.physical("protocol")) == tuple("TSDP")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowkeel.operators import profile
 from flowkeel.operators.normalise import known_applications
-from flowkeel.operators.quantiles import approx_stats, exact_stats
+from flowkeel.operators.quantiles import approx_stats, exact_stats, from_key, order_key
 from helpers import make_flows, plan_of, rows_of
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0]
@@ -160,3 +160,24 @@ def test_port_app_limits(spark):
 def test_map_side_combine_everywhere(flows):
     for df in (profile.fan_out(flows), profile.value_counts(flows, "src_ip"), profile.entropy_profile(flows)):
         assert "partial_count" in plan_of(df)
+
+
+def test_quantiles_of_doubles(spark):
+    rng = np.random.default_rng(4)
+    special = [0.25, 0.5, 1.75, -3.5, 0.0, -0.0, 1e-310, -5e-324, 1.7e308, -1e300, 2.0 ** -1022, 1.0, 2.0, 0.1]
+    for values in ([0.25, 0.5, 1.75], special, rng.normal(size=500).tolist(), (10.0 ** rng.uniform(-300, 300, 200)).tolist()):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+        s = exact_stats(df, {"X": F.col("x")}, [0.0, 0.25, 0.5, 0.9, 1.0])["X"]
+        assert (s.n, s.min, s.max) == (len(values), min(values), max(values))
+        with np.errstate(over="ignore", invalid="ignore"):
+            assert np.isclose(s.mean, np.mean(values)) or not np.isfinite(np.mean(values))
+            for p, q in s.quantiles.items():
+                want = np.quantile(values, p)
+                assert np.isclose(q, want, rtol=1e-12, atol=0) or not np.isfinite(want)
+
+
+def test_double_keys_ascend(spark):
+    values = sorted([float("-inf"), -1e308, -1.5, -5e-324, 0.0, 5e-324, 1e-310, 2.0 ** -1022, 0.1, 1.0, 1.0000000000000002, 3e7, float("inf")])
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    keys = [r[0] for r in df.select(order_key(F.col("x"))).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(values) and [from_key(k) for k in keys] == values
