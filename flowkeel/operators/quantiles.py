@@ -15,7 +15,7 @@ moments come from the doubles themselves. NaN counts as missing.
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from math import ceil, floor
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.functions.stats import log_bucket
+from flowkeel.session import materialise
 
 LOG_STEPS = 1 << 10
 SLOTS = 1 << 20
@@ -48,18 +49,28 @@ class Stats:
     quantiles: dict[float, float] = field(default_factory=dict)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def order_key(x: Column) -> Column:
     """A double's bits as an integer that ascends with it; NaN as null."""
     size = F.abs(x)
-    guess = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7976931348623157e308)), F.lit(LEAST_NORMAL)))).cast("int")
-    part = size * F.pow(F.lit(2.0), -guess)
-    exponent = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
-    part = part * F.when(part >= 2, 0.5).when(part < 1, 2.0).otherwise(1.0)
-    normal = (exponent + EXPONENT_BIAS).cast("bigint") * F.lit(MANTISSA) + ((part - 1) * F.lit(float(MANTISSA))).cast("bigint")
+    within = F.greatest(F.least(size, F.lit(1.7976931348623157e308)), F.lit(LEAST_NORMAL))
     half = F.lit(2.0 ** 537)
-    bits = (F.when(size == F.lit(float("inf")), F.lit(INFINITE)).when(size >= LEAST_NORMAL, normal)
-            .otherwise((size * half * half).cast("bigint")))
-    return F.when(~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
+
+    def bits(a: Column) -> Column:
+        fits = F.when(a["part"] >= 2, 1).when(a["part"] < 1, -1).otherwise(0)
+        part = a["part"] * F.when(a["part"] >= 2, 0.5).when(a["part"] < 1, 2.0).otherwise(1.0)
+        normal = (a["e"] + fits + EXPONENT_BIAS).cast("bigint") * F.lit(MANTISSA) + ((part - 1) * F.lit(float(MANTISSA))).cast("bigint")
+        return (F.when(a["size"] == F.lit(float("inf")), F.lit(INFINITE)).when(a["size"] >= LEAST_NORMAL, normal)
+                .otherwise((a["size"] * half * half).cast("bigint")))
+
+    split = _bound(F.struct(size.alias("size"), F.floor(F.log2(within)).cast("int").alias("e")), lambda a: F.struct(
+        a["size"].alias("size"), a["e"].alias("e"), (a["size"] * F.pow(F.lit(2.0), -a["e"])).alias("part")))
+    sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1))
+    return F.when(~F.isnan(x), sign * _bound(split, bits))
 
 
 def from_key(key: int) -> float:
@@ -150,7 +161,10 @@ def exact_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float
     """
     real = _real_columns(df, columns)
     moments = _moments(df, {m: columns[m] for m in columns if m in real}) if real else {}
-    columns = {m: order_key(c.cast("double")) if m in real else c for m, c in columns.items()}
+    if real:
+        # The keys are written once, as the passes below read them several times.
+        df = materialise(df.select(*[(order_key(c.cast("double")) if m in real else c).alias(m) for m, c in columns.items()]), "keys")
+        columns = {m: F.col(f"`{m}`") for m in columns}
     found: dict[tuple[str, int], int] = {}
     stats: dict[str, Stats] = {}
     # (metric, lo, hi, ranks within the range, same ranks within the column)
