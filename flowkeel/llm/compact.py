@@ -9,7 +9,7 @@ import numpy as np
 
 from flowkeel.llm.store import map_file, write_file
 
-SAMPLE = 32
+BLOCK_WORDS = 4
 ONE = np.uint64(1)
 
 
@@ -59,8 +59,11 @@ class Sequence:
     bits: int
     low: np.ndarray
     high: np.ndarray
+    #: Set bits of `high` before each block of `BLOCK_WORDS` words.
     ones: np.ndarray
-    zeros: np.ndarray
+
+    def __post_init__(self):
+        self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK_WORDS) - self.ones
 
     @staticmethod
     def of(values: np.ndarray, top: int) -> Sequence:
@@ -71,32 +74,32 @@ class Sequence:
         set_at = upper + np.arange(n)
         buckets = (max(1, top) - 1 >> bits) + 1
         size = n + buckets
-        high = np.zeros((size >> 6) + 2, np.uint64)
+        words = -(-((size >> 6) + 2) // BLOCK_WORDS) * BLOCK_WORDS
+        high = np.zeros(words, np.uint64)
         if n:
             word = set_at >> 6
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             high[word[first]] = np.bitwise_or.reduceat(ONE << (set_at & 63).astype(np.uint64), first)
-        # Zero h stands behind all values whose high part is at most h.
-        zero_of = np.arange(0, buckets, SAMPLE)
-        zero_at = np.searchsorted(upper, zero_of, "right") + zero_of
         low = pack_bits(values & np.uint64((1 << bits) - 1), bits)
-        return Sequence(n, bits, low, high, set_at[::SAMPLE].astype(np.int64), zero_at.astype(np.int64))
+        count = np.bitwise_count(high).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.int64)
+        return Sequence(n, bits, low, high, np.cumsum(count) - count)
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.bits], np.int64), self.low, self.high, self.ones, self.zeros]
+        return [np.array([self.n, self.bits], np.int64), self.low, self.high, self.ones]
 
     @staticmethod
     def load(next_array: Callable) -> Sequence:
         n, bits = next_array(np.int64).tolist()
-        return Sequence(n, bits, next_array(np.uint64), next_array(np.uint64), next_array(np.int64), next_array(np.int64))
+        return Sequence(n, bits, next_array(np.uint64), next_array(np.uint64), next_array(np.int64))
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """Bit place of the k-th one or zero."""
-        at = (self.ones if one else self.zeros)[k // SAMPLE]
-        left = k % SAMPLE
+        """Bit place of the k-th one or zero: its block by binary search, then word by word."""
+        before = self.ones if one else self.zeros
+        block = np.searchsorted(before, k, "right") - 1
+        left = k - before[block]
         flip = np.uint64(0) if one else np.uint64(0xFFFFFFFFFFFFFFFF)
-        w = at >> 6
-        word = ((self.high[w] ^ flip) >> (at & 63).astype(np.uint64)) << (at & 63).astype(np.uint64)
+        w = block * BLOCK_WORDS
+        word = self.high[w] ^ flip
         count = np.bitwise_count(word).astype(np.int64)
         far = np.flatnonzero(left >= count)
         while len(far):
@@ -112,26 +115,28 @@ class Sequence:
         return (upper << np.uint64(self.bits)) | read_bits(self.low, i, self.bits)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each number in the sequence, -1 where it is not there. All x must be below top."""
+        """First place of each number in the sequence, -1 where it is not there. All x must be below top."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         upper = (x >> np.uint64(self.bits)).astype(np.int64) if self.bits < 64 else np.zeros(len(x), np.int64)
-        low = x & np.uint64((1 << self.bits) - 1) if self.bits < 64 else x
-        place = np.zeros(len(x), np.int64)
+        want = x & np.uint64((1 << self.bits) - 1) if self.bits < 64 else x
+        low = np.zeros(len(x), np.int64)
         later = np.flatnonzero(upper > 0)
-        place[later] = self.select(upper[later] - 1, False) - (upper[later] - 1)
-        todo = np.arange(len(x))
+        low[later] = self.select(upper[later] - 1, False) - (upper[later] - 1)
+        high = self.select(upper, False) - upper
+        # A bucket may be long, so its low parts are halved, all queries at once.
+        todo = np.flatnonzero(low < high)
+        end = high.copy()
         while len(todo):
-            at, up = place[todo], upper[todo]
-            bit = at + up
-            inside = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & ONE == ONE
-            todo, at = todo[inside], at[inside]
-            here, want = read_bits(self.low, at, self.bits), low[todo]
-            hit = here == want
-            out[todo[hit]] = at[hit]
-            todo = todo[here < want]
-            place[todo] += 1
+            middle = (low[todo] + high[todo]) >> 1
+            less = read_bits(self.low, middle, self.bits) < want[todo]
+            low[todo[less]] = middle[less] + 1
+            high[todo[~less]] = middle[~less]
+            todo = todo[low[todo] < high[todo]]
+        near = np.flatnonzero(low < end)
+        hit = near[read_bits(self.low, low[near], self.bits) == want[near]]
+        out[hit] = low[hit]
         return out
 
 
