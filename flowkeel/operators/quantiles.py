@@ -194,7 +194,7 @@ def exact_stats(df: DataFrame, columns: dict[str, Column], probs: Sequence[float
         for p in probs:
             pos = float(p) * (s.n - 1)
             lo, hi = value(found[metric, floor(pos)]), value(found[metric, ceil(pos)])
-            s.quantiles[p] = lo if lo == hi else lo + (hi - lo) * (pos - floor(pos))
+            s.quantiles[p] = float(lo) if lo == hi else lo + (hi - lo) * (pos - floor(pos))
     return stats
 
 

@@ -25,20 +25,21 @@ def _list(rows: DataFrame, column: str) -> Column:
     return rows.agg(F.transform(entries, lambda e: e[column]).alias("a")).scalar()
 
 
-def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: ProfileParams = ProfileParams(),
+def build_baseline(flows: DataFrame, geo: DataFrame | str | None = None, params: ProfileParams = ProfileParams(),
                    approx: bool = False) -> DataFrame:
     """The baseline document as one nested row.
 
     Quantiles take a few passes of their own; the other sections are scalar
     subqueries of one query and run side by side. `flows` is scanned several times, a
     few columns each, so it should be a table rather than the result of a join.
-    Without `geo` the country block says why it is empty.
+    Without `geo` the country block says why it is empty; text in its place is the reason
+    (see `flowkeel.sources.geo.try_read_geo`).
     """
     stats = ["min", "max", "mean", "stddev", "p25", "median", "p75", "p95", "p99", "p999", "iqr"]
     none = F.lit(None)
-    if geo is None:
+    if not isinstance(geo, DataFrame):
         geo_block = F.struct(none.cast("map<string,bigint>").alias("top_countries"),
-                             F.lit("no address ranges given").alias("error"))
+                             F.lit(geo or "no address ranges given").alias("error"))
     else:
         top = geo_ops.top_countries(flows, geo, params.top_countries)
         geo_block = F.struct(_map(top, "country_name", F.col("flow_count")).alias("top_countries"),
@@ -70,31 +71,31 @@ def build_baseline(flows: DataFrame, geo: DataFrame | None = None, params: Profi
         *[col.cast(types[name]).alias(name) for name, col in sections.items()])
 
 
-def profile_run_summary(flows: DataFrame, geo: DataFrame | None = None) -> DataFrame:
+def profile_run_summary(flows: DataFrame, geo: DataFrame | str | None = None) -> DataFrame:
     """One row: flows, time span, volume in MB (1024^2) and the top country."""
     out = prof.global_summary(flows).select(
         F.col("total_records").alias("flows"), F.col("file_timespan_seconds").alias("timespan_sec"),
         (F.col("total_bytes_transferred") / F.lit(1024.0 * 1024.0)).alias("payload_mb"))
-    if geo is None:
+    if not isinstance(geo, DataFrame):
         return out
     top = geo_ops.top_countries(flows, geo, 1).select(F.struct(
         F.col("country_name").alias("top_country"), F.col("flow_count").alias("top_country_flows"))).scalar()
     return out.withColumn("_top", top).select("flows", "timespan_sec", "payload_mb", "_top.*")
 
 
-def chart_tables(flows: DataFrame, geo: DataFrame | None = None,
+def chart_tables(flows: DataFrame, geo: DataFrame | str | None = None,
                  params: ProfileParams = ProfileParams()) -> dict[str, DataFrame]:
     """The data behind the three report charts."""
     tables = {
         "traffic_over_time": prof.timeline_histogram(flows, params.timeline_bins),
         "protocol_distribution": prof.share(flows, "protocol").withColumn("pct", F.round("pct", 1)),
     }
-    if geo is not None:
+    if isinstance(geo, DataFrame):
         tables["top_countries"] = geo_ops.top_countries(flows, geo, params.chart_countries)
     return tables
 
 
-def profile_job(flows: DataFrame, geo: DataFrame | None, baseline_path: str, report_dir: str,
+def profile_job(flows: DataFrame, geo: DataFrame | str | None, baseline_path: str, report_dir: str,
                 params: ProfileParams = ProfileParams(), approx: bool = False) -> DataFrame:
     """Writes the baseline document, the full set of rare sources beside it, and the chart tables.
 

@@ -24,6 +24,7 @@ from flowkeel.sources import baseline as baseline_io
 from flowkeel.sources import captures, metrics
 from flowkeel.sources import flows as flow_io
 from flowkeel.sources import tables
+from flowkeel.sources.geo import try_read_geo
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -205,6 +206,16 @@ def baseline_profiles(spark, sf_dir):
     return _profile_rounded(out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)}))
 
 
+@query
+def baseline_without_ranges(spark, sf_dir):
+    """A profile whose address ranges cannot be read says so and has all else."""
+    doc = build_baseline(stored_flows(spark, sf_dir), try_read_geo(spark, f"{sf_dir}/no-ranges-here.parquet"))
+    return doc.select(F.col("global_summary.total_records").alias("total_records"),
+                      F.col("geo_profile.error").isNotNull().alias("has_error"),
+                      F.col("geo_profile.top_countries").isNull().alias("no_countries"),
+                      F.size("numerical_profiles").cast("bigint").alias("metrics"))
+
+
 # Geography -------------------------------------------------------------------------------------
 
 
@@ -215,6 +226,19 @@ def ip_to_int(spark, sf_dir):
         "dst_ip", net.ip_to_int(F.col("dst_ip")).alias("ip_num"), "n")
 
 
+@query
+def ip_to_int_forms(spark, sf_dir):
+    """Addresses written with fewer numbers, in octal, in hexadecimal, and with text behind them."""
+    users = tables.table(spark, sf_dir, "events").select("user_id").distinct()
+    n, lit = F.col("user_id"), F.lit
+    forms = {
+        "short": F.concat(lit("10."), n), "whole": n.cast("string"), "octal": F.concat(lit("0"), F.conv(n, 10, 8)),
+        "hexadecimal": F.concat(lit("0x0a.0x"), F.conv(n, 10, 16)), "tail": F.concat(lit("10.0.0."), F.pmod(n, lit(256)), lit(" x")),
+        "bad": F.concat(n, lit(".x"))}
+    return users.select("user_id", F.explode(F.array(*[
+        F.struct(lit(k).alias("form"), net.ip_to_int(v).alias("ip_num")) for k, v in forms.items()])).alias("f")).select("user_id", "f.*")
+
+
 @query
 def geo_ranges(spark, sf_dir):
     return geo.effective_ranges(tables.geo_view(spark, sf_dir))

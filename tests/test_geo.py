@@ -58,15 +58,22 @@ def test_edges(spark, broadcast_rows):
 
 
 def test_text_to_number(spark):
-    texts = ["0.0.0.1", "255.255.255.255", "172.16.0.0", "1.2.3", "1.2.3.256", "a.b.c.d", "1.2.3.4.5", "", " 1.2.3.4",
-             None]
+    texts = ["0.0.0.1", "255.255.255.255", "172.16.0.0", "1.2.3.256", "a.b.c.d", "1.2.3.4.5", "", " 1.2.3.4", "1.2.3.4x", "0x", "08.1.1.1",
+             "1..2", "256.1", "1.2.65536", "4294967296", "-1.2.3.4", "9" * 40, "0x" + "F" * 40, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[1] for r in df.select("i", ip_to_int(F.col("t"))).orderBy("i").collect()]
-    assert got == [1, (1 << 32) - 1, 2886729728] + [0] * 7
+    assert got == [1, (1 << 32) - 1, 2886729728] + [0] * (len(texts) - 3)
     back = spark.range(1).select(int_to_ip(F.lit((1 << 32) - 1)), int_to_ip(F.lit(2886729728))).first()
     assert tuple(back) == ("255.255.255.255", "172.16.0.0")
 
 
+def test_other_forms_of_addresses(spark):
+    forms = {"127.1": 2130706433, "010.1.1.1": 134283521, "0x7f.0.0.1": 2130706433, "1.2.3.4 x": 16909060, "1.2.3": 16908291, "1": 1,
+             "1.2.65535": 16973823, "0377.1": 4278190081, "4294967295": 4294967295, "0xffffffff": 4294967295, "1.2.3.4\n": 16909060, "00": 0}
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    assert {r[0]: r[1] for r in df.select("t", ip_to_int(F.col("t"))).collect()} == forms
+
+
 @WAYS
 def test_countries(spark, broadcast_rows):
     g = ranges(spark, [(0, 0, "ZERO"), (16909060, 16909060, "B"), (16909061, 16909070, "A"), (16909080, 16909090, None),
