@@ -38,17 +38,21 @@ def read_bits(words: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
     return out & np.uint64((1 << bits) - 1) if bits < 64 else out
 
 
+_PAIRS, _FOURS, _BYTES = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the n-th set bit of a byte, for all bytes and n below 8.
+_IN_BYTE = np.array([[([k for k in range(8) if byte >> k & 1] + [0] * 8)[n] for n in range(8)] for byte in range(256)], np.uint8).ravel()
+
+
 def nth_bit(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Place of the n-th set bit, counted from 0, of each word."""
-    at = np.zeros(len(word), np.uint64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-        up = n >= low
-        n = np.where(up, n - low, n)
-        step = np.where(up, np.uint64(half), np.uint64(0))
-        word = word >> step
-        at += step
-    return at.astype(np.int64)
+    """Place of the n-th set bit, counted from 0, of each word: its byte by sums of bytes, then by table."""
+    n = n.astype(np.uint64)
+    sums = word - ((word >> ONE) & _PAIRS)
+    sums = (sums & _FOURS) + ((sums >> np.uint64(2)) & _FOURS)
+    sums = ((sums + (sums >> np.uint64(4))) & _BYTES) * _EACH
+    at = np.bitwise_count((((n * _EACH) | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+    n -= (sums << np.uint64(8)) >> at & np.uint64(255)
+    return at.astype(np.int64) + _IN_BYTE[(((word >> at) & np.uint64(255)) << np.uint64(3)) | n]
 
 
 @dataclass
@@ -110,6 +114,32 @@ class Sequence:
             far = far[left[far] >= count[far]]
         return (w << 6) + nth_bit(word, left)
 
+    def after(self, at: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """Bit place of the k-th one or zero, given the place of the one before it."""
+        flip = np.uint64(0) if one else np.uint64(0xFFFFFFFFFFFFFFFF)
+        w = at >> 6
+        word = (self.high[w] ^ flip) >> (at & 63).astype(np.uint64)
+        word = (word >> ONE) << ONE
+        out = at + np.bitwise_count((word & (np.uint64(0) - word)) - ONE)
+        beyond = np.flatnonzero(word == 0)
+        if len(beyond):
+            # Mostly the next word has it.
+            w = w[beyond] + 1
+            word = self.high[w] ^ flip
+            out[beyond] = (w << 6) + np.bitwise_count((word & (np.uint64(0) - word)) - ONE)
+            far = beyond[word == 0]
+            if len(far):
+                out[far] = self.select(k[far], one)
+        return out
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at i and i + 1."""
+        at = self.select(i, True)
+        behind = self.after(at, i + 1, True)
+        bits = np.uint64(self.bits)
+        return (((at - i).astype(np.uint64) << bits) | read_bits(self.low, i, self.bits),
+                ((behind - i - 1).astype(np.uint64) << bits) | read_bits(self.low, i + 1, self.bits))
+
     def get(self, i: np.ndarray) -> np.ndarray:
         upper = (self.select(i, True) - i).astype(np.uint64)
         return (upper << np.uint64(self.bits)) | read_bits(self.low, i, self.bits)
@@ -121,10 +151,14 @@ class Sequence:
             return out
         upper = (x >> np.uint64(self.bits)).astype(np.int64) if self.bits < 64 else np.zeros(len(x), np.int64)
         want = x & np.uint64((1 << self.bits) - 1) if self.bits < 64 else x
-        low = np.zeros(len(x), np.int64)
+        low, at = np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
         later = np.flatnonzero(upper > 0)
-        low[later] = self.select(upper[later] - 1, False) - (upper[later] - 1)
-        high = self.select(upper, False) - upper
+        at[later] = self.select(upper[later] - 1, False)
+        low[later] = at[later] - (upper[later] - 1)
+        high = np.zeros(len(x), np.int64)
+        high[later] = self.after(at[later], upper[later], False) - upper[later]
+        zero = np.flatnonzero(upper == 0)
+        high[zero] = self.select(upper[zero], False)
         # A bucket may be long, so its low parts are halved, all queries at once.
         todo = np.flatnonzero(low < high)
         end = high.copy()

@@ -91,12 +91,20 @@ class Level:
         self.base, self.child, self.keys = Sequence.load(a), Sequence.load(a), Sequence.load(a)
         self.backoff, self.codes = a(np.uint8), a(np.uint8)
 
-    def find(self, context: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        base, end = self.base.get(context), self.base.get(context + 1)
-        out = np.full(len(context), -1, np.int64)
-        inside = np.flatnonzero(rank < end - base)
-        out[inside] = self.keys.find(base[inside] + rank[inside])
-        return out
+    def find(self, context: np.ndarray, rank: np.ndarray, ranks_too: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each context's n-gram (-1 if there is none), and its rank among the context's.
+
+        Contexts come in ascending order, so equal ones are looked up once and memory is read forwards.
+        """
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        own = np.cumsum(new) - 1
+        base, end = self.base.pair(context[new])
+        out, inside = np.full(len(context), -1, np.int64), np.flatnonzero(rank < (end - base)[own])
+        out[inside] = self.keys.find(base[own[inside]] + rank[inside])
+        if not ranks_too:
+            return out, out
+        return out, out - self.child.get(context[new]).astype(np.int64)[own]
 
 
 @lru_cache(maxsize=4096)
@@ -170,19 +178,19 @@ class Walk:
         found, rank = np.full(len(self.word), -1, np.int64), np.full(len(self.word), -1, np.int64)
         rows = self.rows(k)
         rows = rows[self.context[rows] >= 0]
-        first = np.full(len(self.word), 0, np.int64)
-        first[k - 1:] = self.shard[:len(self.shard) - k + 1]
-        for s, part in by_shard(first, rows):
+        shard = np.zeros(len(self.word), np.int64)
+        shard[k - 1:] = self.shard[:len(self.shard) - k + 1]
+        rows = rows[np.argsort((shard[rows] << 40) | self.context[rows])]
+        for s, part in by_shard(shard, rows):
             file, context = level_file(self.plan.uri(k, s)), self.context[part]
             self.logp[part] -= step * file.backoff[context]
             seen = np.flatnonzero(self.rank[part] >= 0)
-            at = file.find(context[seen], self.rank[part[seen]].astype(np.uint64))
+            at, ranks = file.find(context[seen], self.rank[part[seen]].astype(np.uint64), k < self.plan.order)
             hit = np.flatnonzero(at >= 0)
-            own, at = part[seen[hit]], at[hit]
-            self.logp[own] = -step * file.codes[at]
-            found[own] = at
-            if k < self.plan.order:
-                rank[own] = at - file.child.get(self.context[own]).astype(np.int64)
+            own = part[seen[hit]]
+            self.logp[own] = -step * file.codes[at[hit]]
+            found[own] = at[hit]
+            rank[own] = ranks[hit]
         self.context, self.rank = self.shifted(found), rank
 
 
@@ -380,7 +388,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scorer(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.blocks(batches, "text", T.BLOCK_BYTES):
+        for batch in T.blocks(batches, "text", 2 * T.BLOCK_BYTES):
             walk = Walk(plan, tokens(batch.column(2)))
             for _ in range(2, plan.order + 1):
                 walk.up()
