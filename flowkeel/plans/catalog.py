@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowkeel.functions import net
@@ -346,21 +346,28 @@ def null_audit(spark, sf_dir):
     return normalise.null_audit(normalise.normalise(tables.flows_view(spark, sf_dir)))
 
 
+def _eight_files(spark, sf_dir) -> str:
+    """The flows as eight files, dealt by their second."""
+    path = fresh_path(spark, "flows")
+    part = F.pmod(F.call_function("div", F.col("time_us"), F.lit(1_000_000)), F.lit(8)).cast("int")
+    flow_io.write_flows(tables.flows_view(spark, sf_dir).repartitionById(8, part), path)
+    return path
+
+
 @query
 def file_report(spark, sf_dir):
-    events = tables.table(spark, sf_dir, "events").select(
-        F.col("_metadata.file_name").alias("file"),
-        tables.micros("ts").alias("time_us"))
-    return rounded(flow_io.file_report(events))
+    """Rows and span of each file of a load of eight, files numbered by name."""
+    flows = flow_io.read_flows(spark, _eight_files(spark, sf_dir), columns=["time_us"], with_file=True)
+    number = F.row_number().over(Window.orderBy("file")).cast("int")
+    return rounded(flow_io.file_report(flows).select(number.alias("file"), "n_rows", "span_sec"))
 
 
 @query
 def shard_report(spark, sf_dir):
-    """Rows per shard of a load of eight files, one per time range, dealt to four shards."""
-    path = fresh_path(spark, "flows")
-    flow_io.write_flows(tables.flows_view(spark, sf_dir).repartitionByRange(8, "time_us"), path)
+    """Rows per shard of a load of eight files dealt to four shards."""
+    path = _eight_files(spark, sf_dir)
     flows = flow_io.read_flows(spark, path, columns=["time_us"], with_file=True)
-    return flow_io.shard_report(flows, flow_io.shard_files(spark, path, 4))
+    return rounded(flow_io.shard_report(flows, flow_io.shard_files(spark, path, 4)))
 
 
 @query
