@@ -32,6 +32,8 @@ from flowkeel.session import materialise, ship_package
 BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
+#: Buckets left with so few members are compared outright; larger ones go on hub by hub.
+FEW = 40
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -100,8 +102,18 @@ def sketcher(width: int, rows: int, signer: Callable = signatures):
 INFO = "a binary, b binary, both long, size_a long, size_b long, extra array<long>"
 
 
-def comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of a's and b's full sets and of what both have, and the shingles that only b has."""
+def comparer(percent: int):
+    """Sizes of a's and b's full sets and of what both have, and the first of the shingles that only b has.
+
+    A set close enough to b has `need` of those at least, so of any such two sets that far from a the
+    first ones in the order of their hashes, all but `need` - 1, have one in common.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return compared(batches, percent)
+    return run
+
+
+def compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     known, known_set = None, None
     for batch in T.blocks(batches, "text_b"):
         heads = batch.column(0).to_pylist()
@@ -116,7 +128,9 @@ def comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.minimum(np.searchsorted(known_set, other), len(known_set) - 1)
             same = known_set[near] == other
             both[i], size_a[i] = same.sum(), len(known_set)
-            extra.append(other[~same])
+            need = -(-percent * len(other) // 100) - int(both[i])
+            own = other[~same]
+            extra.append(own[:len(own) - max(0, need - 1)])
         cuts = np.concatenate([[0], np.cumsum([len(e) for e in extra])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array(both), pa.array(size_a), pa.array(np.diff(first)),
@@ -124,7 +138,7 @@ def comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "both", "size_a", "size_b", "extra"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes with what their full sets have in common.
 
     b's text travels to a's key once per pair and a's text once; adaptive execution splits
@@ -132,7 +146,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(comparer, INFO)
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(comparer(percent), INFO)
 
 
 def mixed(members: DataFrame) -> DataFrame:
@@ -162,6 +176,16 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     return kept.union(mixed(outside))
 
 
+def small_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs across components of the buckets of at most `FEW` members, and the members of larger ones."""
+    size = members.groupBy("band", "hash").agg(F.count("*").alias("m"))
+    sized_ = members.join(size, ["band", "hash"])
+    few = sized_.filter(F.col("m") <= FEW)
+    other = few.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = few.join(other, ["band", "hash"]).filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    return pairs.select(F.col("node").alias("a"), "b").distinct(), sized_.filter(F.col("m") > FEW).drop("m")
+
+
 def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signatures) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of 5-word shingles.
 
@@ -172,7 +196,8 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     the others; members that it links need no links among themselves. A bucket that still
     spans components gives up its hub, whose pairs are done. Of the others only those
     stay that the hub does not rule out, or that share something the hub lacks, so
-    groups with many members too far apart are not compared member by member.
+    groups with many members too far apart are not compared member by member. What is left in
+    buckets of `FEW` members or fewer is compared outright, so each member is in few pairs.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -195,17 +220,23 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
 
     info = roots = None
     for turn in count():
+        pairs = None
+        if turn:
+            pairs, members = small_pairs(members)
         hubs = members.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("h")).select(
             "band", "hash", F.col("h.node").alias("hub"))
         rest = materialise(members.join(hubs, ["band", "hash"]).filter(F.col("node") != F.col("hub")), "rest")
-        pairs = rest.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        by_hub = rest.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = by_hub if pairs is None else pairs.union(by_hub).distinct()
         if info is not None:
             pairs = pairs.join(info, ["a", "b"], "left_anti")
-        found = materialise(compare(pairs, texts), "compared")
+        found = materialise(compare(pairs, texts, percent), "compared")
         info = found if info is None else info.union(found)
         linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
         if roots is None or found.filter(linked).limit(1).count():
             roots = components(info.filter(linked))
+        if not rest.limit(1).count():
+            break
         known = roots.withColumnRenamed("root", "new_root")
         rest = rest.join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
         members = materialise(next_members(rest, info, percent, turn), "members")
