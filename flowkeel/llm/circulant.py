@@ -32,8 +32,9 @@ from flowkeel.session import materialise, ship_package
 BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
-#: Buckets left with so few members are compared outright; larger ones go on hub by hub.
-FEW = 40
+#: Where so few of a bucket stand apart from its largest component, they meet all its members;
+#: buckets of more components go on hub by hub.
+FEW = 100
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -176,14 +177,24 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     return kept.union(mixed(outside))
 
 
-def small_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs across components of the buckets of at most `FEW` members, and the members of larger ones."""
-    size = members.groupBy("band", "hash").agg(F.count("*").alias("m"))
-    sized_ = members.join(size, ["band", "hash"])
-    few = sized_.filter(F.col("m") <= FEW)
-    other = few.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, ["band", "hash"]).filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    return pairs.select(F.col("node").alias("a"), "b").distinct(), sized_.filter(F.col("m") > FEW).drop("m")
+def cross_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components of the buckets in which few stand apart, and the members of the other buckets.
+
+    In such a bucket all but `FEW` members are of one component, so each is in few pairs. Those
+    that stand apart meet all others, each pair in the first bucket that has both.
+    """
+    by_root = members.groupBy("band", "hash", "root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy("band", "hash").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("hash")).alias("buckets"))
+    known = members.join(main, ["band", "hash"])
+    few = materialise(known.filter(F.col("m") - F.col("most") <= FEW).join(lists, "node"), "few")
+    other = few.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("buckets").alias("buckets_b"))
+    apart = few.filter(F.col("root") != F.col("main"))
+    pairs = apart.join(other, ["band", "hash"]).filter(
+        (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node") < F.col("b")))
+        & (F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("hash")))
+    return (pairs.select(F.col("node").alias("a"), "b").distinct(),
+            known.filter(F.col("m") - F.col("most") > FEW).select(*members.columns))
 
 
 def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signatures) -> DataFrame:
@@ -196,8 +207,8 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     the others; members that it links need no links among themselves. A bucket that still
     spans components gives up its hub, whose pairs are done. Of the others only those
     stay that the hub does not rule out, or that share something the hub lacks, so
-    groups with many members too far apart are not compared member by member. What is left in
-    buckets of `FEW` members or fewer is compared outright, so each member is in few pairs.
+    groups with many members too far apart are not compared member by member. Where at most `FEW`
+    are left apart from a bucket's largest component, they are compared with all its members.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -222,7 +233,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     for turn in count():
         pairs = None
         if turn:
-            pairs, members = small_pairs(members)
+            pairs, members = cross_pairs(members)
         hubs = members.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("h")).select(
             "band", "hash", F.col("h.node").alias("hub"))
         rest = materialise(members.join(hubs, ["band", "hash"]).filter(F.col("node") != F.col("hub")), "rest")
