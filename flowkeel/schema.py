@@ -12,9 +12,11 @@ FRAMES_SCHEMA = T.StructType([
     T.StructField("ts_us", T.LongType()),
     T.StructField("wirelen", T.LongType()),
     T.StructField("frame", T.BinaryType()),
-    T.StructField("caplen", T.LongType()),
 ])
 
+# Frames of which only the first bytes are carried, with the number captured.
+HEADS_SCHEMA = T.StructType([*FRAMES_SCHEMA.fields, T.StructField("caplen", T.LongType())])
+
 PACKETS_SCHEMA = T.StructType([
     T.StructField("ts_us", T.LongType()),
     T.StructField("src_ip", T.StringType()),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowkeel.schema import FRAMES_SCHEMA
+from flowkeel.schema import HEADS_SCHEMA
 from flowkeel.session import materialise, ship_package
 
 # File and block formats.
@@ -286,4 +286,4 @@ def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = S
                 if rows:
                     yield _table(rows, schema)
 
-    return splits.repartition(n).mapInArrow(frames, FRAMES_SCHEMA)
+    return splits.repartition(n).mapInArrow(frames, HEADS_SCHEMA)

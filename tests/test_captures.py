@@ -44,7 +44,7 @@ def records(n, seed=1):
 
 def frames(spark, path, **kw):
     return [(r["ts_us"], r["wirelen"], bytes(r["frame"]))
-            for r in read_frames(spark, str(path), **kw).orderBy("file", "ord").collect()]
+            for r in read_frames(spark, str(path), head=None, **kw).orderBy("file", "ord").collect()]
 
 
 def expected(recs):
@@ -125,3 +125,10 @@ def test_header_only_file(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(pcap([]))
     (tmp_path / "b.pcap").write_bytes(b"")
     assert frames(spark, tmp_path) == []
+
+
+def test_frames_are_heads_by_default(spark, tmp_path):
+    recs = records(60)
+    (tmp_path / "a.pcap").write_bytes(pcap(recs, "<"))
+    rows = read_frames(spark, f"{tmp_path}/*.pcap").orderBy("ord").collect()
+    assert [(bytes(r["frame"]), r["caplen"]) for r in rows] == [(d[:78], len(d)) for *_, d in recs]
