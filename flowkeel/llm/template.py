@@ -1,12 +1,13 @@
 """Main text of web pages by deducing each host's template from equivalence classes.
 
-A token is an element's path from the root (tag and first class name); text formatting is
-not part of it. The tokens of a host that occur equally often in each of its pages share their
-occurrence vector and form a class. A class is valid if its tokens occur once in every page
-that has them, and is nested under the class of its tokens' nearest ancestor. The main slot
-is the deepest element of a valid class that holds most of the host's text outside
-boilerplate elements; its text, without boilerplate, is the page's main text. A page
-that lacks its host's main slot falls back to its own article, main or body.
+A token is an element's path from the root (tag and first word of its names), or a run of text
+with the path that holds it; text formatting is not part of a path. The tokens of a host that
+occur equally often in each of its pages share their occurrence vector and form a class. A
+class is valid if its tokens occur once in every page that has them. Paths nest the classes.
+
+The main slot is the deepest valid element that holds all text outside boilerplate elements of
+the outermost article or main with most of the host's text, or of the page where there is none.
+A page that lacks its host's main slot falls back to its own article, main or body.
 
 A vector is carried as the sum of 62-bit hashes of (page, count), so hosts of any size meet
 as sums, made in each task before the shuffle.
@@ -49,31 +50,40 @@ math canvas object embed dialog menu xmp noembed noframes input""".split())
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
 cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies
 share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text says what the text beside it is, and so stays on every page.
+LABELS = HEADINGS | frozenset("caption dt figcaption legend summary td th".split())
 HEADERS = frozenset(["header"])
-CONTENT = ("article", "main", "body")
+CONTENT = ("article", "main")
+LEAST_PAGES = 3
+#: Kinds of tokens.
+ELEMENT, TEXT, SUSPECT = 0, 1, 2
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s\"'/]|$)", re.I)
 
 
 class Page:
-    """Counts of the page's tokens, and its texts with their token, block and standing."""
+    """Counts and places of the page's elements, and its texts with their element, block and standing."""
 
     def __init__(self, source: str):
         self.counts: dict[str, int] = {}
-        self.texts: list[tuple[int, bool, str, str]] = []  # block number, boilerplate, path, text
-        stack: list[tuple[str, str, bool]] = []  # tag, path, boilerplate
+        self.places: dict[str, int] = {}
+        self.suspects: set[str] = set()
+        #: Block number, boilerplate, path, text, suspect elements around it, place.
+        self.texts: list[tuple[int, bool, str, str, tuple[str, ...], int]] = []
+        stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # tag, path, boilerplate, suspects
         block, at, n = 0, 0, len(source)
-        path, off = "", False
+        path, off, held = "", False, ()
 
         def say(raw: str) -> None:
             if raw:
-                self.texts.append((block, off, path, html.unescape(raw)))
+                self.texts.append((block, off, path, html.unescape(raw), held, len(self.texts) + len(self.places)))
 
         def leave(k: int) -> None:
-            nonlocal block, path, off
-            if any(tag in BLOCK for tag, _, _ in stack[k:]):
+            nonlocal block, path, off, held
+            if any(entry[0] in BLOCK for entry in stack[k:]):
                 block += 1
             del stack[k:]
-            path, off = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            path, off, held = stack[-1][1:] if stack else ("", False, ())
 
         while at < n:
             m = MARKUP.search(source, at)
@@ -97,14 +107,20 @@ class Page:
                 block += 1
             if tag in CLOSES:
                 self.close(stack, *CLOSES[tag], leave)
-            words, hidden = self.names(m[3])
-            own = tag in BLOCK or tag in BOILERPLATE
-            name = f"{path}/{tag}{'.' + words[0] if words else ''}" if own else path
+            words, whole, hidden = self.names(m[3])
+            inside = any(entry[0] in CONTENT for entry in stack)
+            drops = tag in BOILERPLATE
+            marked, suspect = self.standing(tag, words, whole, inside)
+            own = tag in BLOCK or tag in BOILERPLATE or bool(suspect)
+            name = f"{path}/{tag}{'.' + (suspect or words[0]) if words else ''}" if own else path
             if own:
                 self.counts[name] = self.counts.get(name, 0) + 1
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            marked = tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words)
-            out = off or hidden or tag in BOILERPLATE or marked or (tag in HEADERS and not inside)
+                self.places.setdefault(name, len(self.texts) + len(self.places))
+            around = held
+            if suspect:
+                self.suspects.add(name)
+                around = (*held, name)
+            out = off or hidden or drops or marked or (tag in HEADERS and not inside)
             if tag in VOID:
                 if tag in ("br", "hr"):
                     say(" ")
@@ -112,11 +128,11 @@ class Page:
             if tag in RAW:
                 end = RAW[tag].search(source, at)
                 at = end.start() if end else n
-                stack.append((tag, name, True))
-                path, off = name, True
+                stack.append((tag, name, True, around))
+                path, off, held = name, True, around
                 continue
-            stack.append((tag, name, out))
-            path, off = name, out
+            stack.append((tag, name, out, around))
+            path, off, held = name, out, around
 
     @staticmethod
     def close(stack, kinds, holders, leave) -> None:
@@ -128,55 +144,124 @@ class Page:
                 return
 
     @staticmethod
-    def names(attributes: str) -> tuple[list[str], bool]:
+    def names(attributes: str) -> tuple[list[str], list[str], bool]:
+        """Words of the element's names, the names themselves, and whether it is hidden."""
         if not attributes:
-            return [], False
-        words, hidden = [], False
+            return [], [], False
+        words, whole, hidden = [], [], False
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 hidden = True
             else:
                 words += re.findall(r"[a-z0-9]+", value)
-        return words, hidden
+                whole += value.split()
+        return words, whole, hidden
+
+    @staticmethod
+    def standing(tag: str, words: list[str], whole: list[str], inside: bool) -> tuple[bool, str]:
+        """Whether the names mark boilerplate by themselves, or else the name that needs the host's evidence."""
+        return tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words), ""
+
+    def held(self) -> dict[str, int]:
+        """Characters outside boilerplate under every path, the whole page's under the empty one."""
+        sizes = {"": 0}
+        for _, off, path, text, _, _ in self.texts:
+            if not off:
+                size = len(text.strip())
+                sizes[""] += size
+                while path:
+                    sizes[path] = sizes.get(path, 0) + size
+                    path = path.rpartition("/")[0]
+        return sizes
 
-    def main(self, slot: str | None) -> str:
+    def own_slot(self) -> str:
+        """The outermost article or main with most of the page's text; without one all of the page."""
+        sizes = self.held()
+        return min((p for p in self.counts if tag_of(p) in CONTENT and 2 * sizes.get(p, 0) > sizes[""]),
+                   key=lambda p: (p.count("/"), p), default="")
+
+    def text_tokens(self) -> Iterator[tuple[int, str]]:
+        """Index and token of every text that may be template text."""
+        for i, (_, off, path, text, _, _) in enumerate(self.texts):
+            if not off and not text.isspace() and tag_of(path) not in LABELS:
+                yield i, path + "\0" + hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+    def template(self, classed: list[dict]) -> set[int]:
+        """Indexes of the texts that belong to the host's template, given in its order."""
+        where = {token: i for i, token in self.text_tokens()}
+        last: dict[str, int] = {}
+        broken: set[str] = set()
+        got: list[tuple[str, int]] = []
+        for t in classed:
+            i = where.get(t["token"])
+            if i is not None:
+                if i < last.get(t["class"], -1):
+                    broken.add(t["class"])
+                last[t["class"]] = i
+                got.append((t["class"], i))
+        return {i for c, i in got if c not in broken}
+
+    def main(self, slot: str | None, classed: list[dict] | None = None, marks: list[str] | None = None) -> str:
         """Text under the slot, block by block; a page without it uses its own content element."""
-        if slot is None or slot not in self.counts:
-            slot = next((p for tag in CONTENT for p in self.counts if p.rsplit("/", 1)[-1].split(".")[0] == tag), "")
+        if slot is None or (slot and slot not in self.counts):
+            slot = self.own_slot()
+        gone = self.template(classed) if classed else ()
+        dropped = set(marks or ())
         blocks: dict[int, list[str]] = {}
-        for block, off, path, text in self.texts:
-            if not off and (not slot or path == slot or path.startswith(slot + "/")):
+        for i, (block, off, path, text, held, _) in enumerate(self.texts):
+            if not off and i not in gone and (not slot or path == slot or path.startswith(slot + "/")) and dropped.isdisjoint(held):
                 blocks.setdefault(block, []).append(text)
         clean = (" ".join("".join(b).split()) for b in blocks.values())
         return "\n\n".join(b for b in clean if b)
 
 
+def tag_of(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+SUMS = ("pages", "v1", "v2", "size", "place")
+TOKENS = "host string, token string, kind int, " + ", ".join(f"{c} long" for c in (*SUMS, "most", "low", "high"))
+
+
 def page_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token, summed over a batch: pages, vector hash in two halves, most in a page, text."""
+    """Per host and token, summed over a batch: pages, vector hash in two halves, text, place; most in a page, range of the pages' hashes."""
     for batch in T.blocks(batches, "html"):
         sums: dict[tuple[str, str], list[int]] = {}
-        for host, key, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for host, key, digest, source in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             page = Page(source or "")
-            held: dict[str, int] = {}
-            for _, off, path, text in page.texts:
-                if not off:
-                    size = len(text.strip())
-                    while path:
-                        held[path] = held.get(path, 0) + size
-                        path = path.rpartition("/")[0]
-            for path, n in page.counts.items():
-                d = hashlib.blake2b(f"{key}:{n}".encode(), digest_size=8).digest()
-                s = sums.setdefault((host, path), [0, 0, 0, 0, 0])
-                s[0] += 1
-                s[1] += int.from_bytes(d[:4], "little")
-                s[2] += int.from_bytes(d[4:], "little")
-                s[3] = max(s[3], n)
-                s[4] += held.get(path, 0)
+            held = page.held()
+            found = [(path, SUSPECT if path in page.suspects else ELEMENT, n, held.get(path, 0), page.places[path])
+                     for path, n in page.counts.items()]
+            found.append(("", ELEMENT, 1, held[""], 0))
+            texts: dict[str, list[int]] = {}
+            for i, token in page.text_tokens():
+                t = texts.setdefault(token, [0, 0, page.texts[i][5]])
+                t[0] += 1
+                t[1] += len(page.texts[i][3].strip())
+            found += [(token, TEXT, *t) for token, t in texts.items()]
+            hashes: dict[int, tuple[int, int]] = {}
+            for token, kind, n, size, place in found:
+                if n not in hashes:
+                    d = hashlib.blake2b(f"{key}:{n}".encode(), digest_size=8).digest()
+                    hashes[n] = int.from_bytes(d[:4], "little"), int.from_bytes(d[4:], "little")
+                s = sums.get((host, token))
+                if s is None:
+                    sums[host, token] = [kind, 1, *hashes[n], size, place, n, digest, digest]
+                    continue
+                s[1] += 1
+                s[2] += hashes[n][0]
+                s[3] += hashes[n][1]
+                s[4] += size
+                s[5] += place
+                s[6] = max(s[6], n)
+                s[7] = min(s[7], digest)
+                s[8] = max(s[8], digest)
         yield pa.RecordBatch.from_pydict({
             "host": [k[0] for k in sums], "token": [k[1] for k in sums],
-            **{c: [s[i] for s in sums.values()] for i, c in enumerate(("pages", "v1", "v2", "most", "size"))}},
-            schema=pa.schema([("host", pa.string()), ("token", pa.string()), *[(c, pa.int64()) for c in ("pages", "v1", "v2", "most", "size")]]))
+            **{c: [s[i] for s in sums.values()] for i, c in enumerate(("kind", *SUMS, "most", "low", "high"))}},
+            schema=pa.schema([("host", pa.string()), ("token", pa.string()), ("kind", pa.int32()),
+                              *[(c, pa.int64()) for c in (*SUMS, "most", "low", "high")]]))
 
 
 def host_of(url: str):
@@ -184,29 +269,44 @@ def host_of(url: str):
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """host, token, pages, class (its vector), most, size, class_size, valid for every token of every host."""
-    key = F.concat_ws(":", "page_id", F.xxhash64("html"))
-    tokens = pages.select("host", key.alias("key"), "html").mapInArrow(
-        page_vector, "host string, token string, pages long, v1 long, v2 long, most long, size long")
-    t = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "size")], F.max("most").alias("most"))
+    """host, token, kind, pages, class (its vector), class_size, class_elements, valid and sums for every token of every host.
+
+    Texts are left out that cannot be template text.
+    """
+    digest = F.coalesce(F.xxhash64("html"), F.lit(0).cast("long"))
+    tokens = pages.select("host", F.concat_ws(":", "page_id", digest).alias("key"), digest.alias("digest"), "html").mapInArrow(page_vector, TOKENS)
+    t = tokens.groupBy("host", "token", "kind").agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
+    repeated = (F.col("pages") >= LEAST_PAGES) & (F.col("low") != F.col("high"))
+    t = t.filter((F.col("kind") != TEXT) | ((F.col("most") == 1) & repeated))
     vector = Window.partitionBy("host", "pages", "v1", "v2")
     return t.withColumn("class_size", F.count("*").over(vector)).withColumn(
-        "class", F.concat_ws(":", "pages", "v1", "v2")).withColumn("valid", F.col("most") == 1).drop("v1", "v2")
+        "class_elements", F.sum((F.col("kind") != TEXT).cast("long")).over(vector)).withColumn(
+        "class", F.concat_ws(":", "pages", "v1", "v2")).withColumn("valid", F.col("most") == 1).withColumn(
+        "repeated", repeated).drop("v1", "v2", "low", "high")
+
+
+def with_host(classed: DataFrame, support: float) -> DataFrame:
+    """The tokens on at least `support` of their host's pages, with host_pages and host_size."""
+    host = classed.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("size").alias("host_size"))
+    return classed.join(host, "host").filter(F.col("pages") >= support * F.col("host_pages"))
 
 
 def templates(classed: DataFrame, support: float = 0.5, share: float = 0.5) -> DataFrame:
     """The main slot of every host: host, slot."""
-    host = classed.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("size").alias("host_size"))
     depth = F.size(F.split("token", "/"))
-    ok = classed.join(host, "host").filter(F.col("valid")).filter(
-        (F.col("pages") >= support * F.col("host_pages")) & (F.col("size") > share * F.col("host_size")))
-    best = ok.groupBy("host").agg(F.max(F.struct(depth.alias("depth"), "class_size", "size", "token")).alias("b"))
+    ok = with_host(classed, support).filter(F.col("valid") & (F.col("kind") == ELEMENT) & (F.col("size") > share * F.col("host_size")))
+    tag = F.regexp_extract("token", r"([^/.]*)[^/]*$", 1)
+    scope = ok.groupBy("host").agg(F.coalesce(F.min_by(F.when(tag.isin(*CONTENT), F.col("size")), F.when(
+        tag.isin(*CONTENT), depth)), F.max("host_size")).alias("scope"))
+    best = ok.join(scope, "host").filter(F.col("size") == F.col("scope")).groupBy("host").agg(
+        F.max(F.struct(depth.alias("depth"), "class_size", "size", "token")).alias("b"))
     return best.select("host", F.col("b.token").alias("slot"))
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.blocks(batches, "html"):
-        out = [Page(h or "").main(s) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        out = [Page(h or "").main(*t) for h, *t in zip(*(batch.column(i).to_pylist() for i in range(2, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()),
                                           pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -215,6 +315,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     ship_package(pages.sparkSession)
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of("url"))
-    slots = sized(materialise(templates(classes(rows)), "templates"))
-    return rows.join(slots, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(
+    classed = materialise(classes(rows), "classes")
+    slots = templates(classed)
+    known = sized(materialise(slots, "templates"))
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(
         extractor, "page_id long, url string, text string, n_chars long")

@@ -91,6 +91,25 @@ def test_template_classes(spark):
     assert [tuple(r) for r in template.templates(classed).collect()] == [("h.example", "/html/body/article")]
 
 
+def texts_of(spark, bodies, host="h.example"):
+    """Main text of each body; each is a page of one host."""
+    data = [(i, f"http://{host}/{i}", page(b)) for i, b in enumerate(bodies)]
+    got = template.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_page_text_keeps_all_of_the_article(spark):
+    long = "many words " * 30
+    assert texts_of(spark, [f"<article><h1>Head</h1><p>{long}</p></article>"]) == ["Head\n\n" + long.strip()]
+    one = [f"<article><h1>Head {i}</h1><p>{long}{i}</p></article>" for i in range(4)]
+    assert texts_of(spark, one) == [f"Head {i}\n\n{long}{i}" for i in range(4)]
+    parts = [f'<article><h1>H {i}</h1><div class="lead">L {i}</div><div class="body"><p>{long}{i}</p><p>x {i}</p></div><div class="part2">P {i}</div></article>'
+             for i in range(4)]
+    assert texts_of(spark, parts) == [f"H {i}\n\nL {i}\n\n{long}{i}\n\nx {i}\n\nP {i}" for i in range(4)]
+    fragments = [f"<div>{long}{i}</div><p>tail {i}</p>" for i in range(3)]
+    assert texts_of(spark, fragments) == [f"{long}{i}\n\ntail {i}" for i in range(3)]
+
+
 def test_grades_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = labels.filter("doc_id % 2 = 0")
