@@ -9,6 +9,12 @@ The main slot is the deepest valid element that holds all text outside boilerpla
 the outermost article or main with most of the host's text, or of the page where there is none.
 A page that lacks its host's main slot falls back to its own article, main or body.
 
+Text in the slot is template text if its class is valid, holds an element too, and covers half of
+the host's pages, at least three, not all copies of one. A page keeps the texts of a class that come in
+another order than on the host as a whole. Headings and labels of tables and lists stay, and
+so does all text where more than half of the slot's would go: such pages are near-copies.
+Boilerplate tags and names are dropped besides.
+
 A vector is carried as the sum of 62-bit hashes of (page, count), so hosts of any size meet
 as sums, made in each task before the shuffle.
 
@@ -304,9 +310,24 @@ def templates(classed: DataFrame, support: float = 0.5, share: float = 0.5) -> D
     return best.select("host", F.col("b.token").alias("slot"))
 
 
+def removed(classed: DataFrame, slots: DataFrame, support: float = 0.5, share: float = 0.5) -> DataFrame:
+    """What hosts' pages lose inside their slots: host, texts (place, class, token in the template's order), marks."""
+    seen = with_host(classed, support).filter("repeated")
+    marks = seen.filter(F.col("kind") == SUSPECT).groupBy("host").agg(F.collect_set("token").alias("marks"))
+    slot_size = slots.join(classed.select("host", F.col("token").alias("slot"), F.col("size").alias("slot_size")), ["host", "slot"])
+    texts = seen.filter(F.col("valid") & (F.col("kind") == TEXT) & (F.col("class_elements") > 0)).join(slot_size, "host").filter(
+        (F.col("slot") == "") | F.col("token").startswith(F.concat("slot", F.lit("/")))
+        | F.col("token").startswith(F.concat("slot", F.lit("\0"))))
+    texts = texts.groupBy("host").agg(
+        F.sum("size").alias("size"), F.first("slot_size").alias("slot_size"),
+        F.sort_array(F.collect_list(F.struct("place", "class", "token"))).alias("texts")).filter(
+        F.col("size") <= share * F.col("slot_size")).select("host", "texts")
+    return texts.join(marks, "host", "full")
+
+
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.blocks(batches, "html"):
-        out = [Page(h or "").main(*t) for h, *t in zip(*(batch.column(i).to_pylist() for i in range(2, 4)), strict=True)]
+        out = [Page(h or "").main(*t) for h, *t in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()),
                                           pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -317,6 +338,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of("url"))
     classed = materialise(classes(rows), "classes")
     slots = templates(classed)
-    known = sized(materialise(slots, "templates"))
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(
+    known = sized(materialise(slots.join(removed(classed, slots), "host", "left"), "templates"))
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "slot", "texts", "marks").mapInArrow(
         extractor, "page_id long, url string, text string, n_chars long")

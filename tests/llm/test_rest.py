@@ -110,6 +110,17 @@ def test_page_text_keeps_all_of_the_article(spark):
     assert texts_of(spark, fragments) == [f"{long}{i}\n\ntail {i}" for i in range(3)]
 
 
+def test_page_text_leaves_out_the_hosts_template_text(spark):
+    bodies = [f'<article><h1>Head {i}</h1><h2>Results</h2><p>{"own words " * 20}{i}</p><p>Share this article</p><div class="c3">Accept our terms</div></article>'
+              for i in range(4)]
+    assert texts_of(spark, bodies) == [f"Head {i}\n\nResults\n\n{'own words ' * 20}{i}" for i in range(4)]
+    assert all("Accept our terms" in t for t in texts_of(spark, bodies[:2])), "two pages are no evidence"
+    copies = [bodies[0]] * 5
+    assert len(set(texts_of(spark, copies))) == 1 and "own words" in texts_of(spark, copies)[0] and "Share" in texts_of(spark, copies)[0]
+    near = [f"<article><p>{'the same words ' * 20}</p><p>edit {i}</p></article>" for i in range(4)]
+    assert all(t.startswith("the same words") for t in texts_of(spark, near))
+
+
 def test_grades_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = labels.filter("doc_id % 2 = 0")
