@@ -13,7 +13,8 @@ Text in the slot is template text if its class is valid, holds an element too, a
 the host's pages, at least three, not all copies of one. A page keeps the texts of a class that come in
 another order than on the host as a whole. Headings and labels of tables and lists stay, and
 so does all text where more than half of the slot's would go: such pages are near-copies.
-Boilerplate tags and names are dropped besides.
+Boilerplate tags and names are dropped besides; names that may as well be an article's own
+words count only if the marked element repeats like template text.
 
 A vector is carried as the sum of 62-bit hashes of (page, count), so hosts of any size meet
 as sums, made in each task before the shuffle.
@@ -51,12 +52,17 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
           "option": ({"option"}, {"select"})}
 BOILERPLATE = frozenset("""nav footer aside form script style noscript template iframe button select option textarea head title svg
-math canvas object embed dialog menu xmp noembed noframes input""".split())
+canvas object embed dialog menu xmp noembed noframes input""".split())
 #: Words of class, id and role attributes that mark boilerplate.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
 cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies
 share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo""".split())
+#: Marks that articles use for parts of their own too.
+AMBIGUOUS = frozenset("""comment comments menu navigation notice notices promo related replies share sharing social sponsor toolbar
+widget""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are content inside an article or main, whatever their names.
+PROSE = frozenset("p pre blockquote figure figcaption table caption thead tbody tfoot tr td th dl dt dd li".split())
 #: Elements whose text says what the text beside it is, and so stays on every page.
 LABELS = HEADINGS | frozenset("caption dt figcaption legend summary td th".split())
 HEADERS = frozenset(["header"])
@@ -115,7 +121,7 @@ class Page:
                 self.close(stack, *CLOSES[tag], leave)
             words, whole, hidden = self.names(m[3])
             inside = any(entry[0] in CONTENT for entry in stack)
-            drops = tag in BOILERPLATE
+            drops = tag in BOILERPLATE and not (tag == "svg" and inside)
             marked, suspect = self.standing(tag, words, whole, inside)
             own = tag in BLOCK or tag in BOILERPLATE or bool(suspect)
             name = f"{path}/{tag}{'.' + (suspect or words[0]) if words else ''}" if own else path
@@ -167,7 +173,11 @@ class Page:
     @staticmethod
     def standing(tag: str, words: list[str], whole: list[str], inside: bool) -> tuple[bool, str]:
         """Whether the names mark boilerplate by themselves, or else the name that needs the host's evidence."""
-        return tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words), ""
+        if not words or tag in ("html", "body", "article", "main") or tag in HEADINGS or (inside and tag in PROSE):
+            return False, ""
+        if any(w in MARKS and not (inside and w in AMBIGUOUS) for w in whole):
+            return True, ""
+        return False, next((w for w in whole if any(x in MARKS for x in re.findall(r"[a-z0-9]+", w))), "").replace("/", "-")
 
     def held(self) -> dict[str, int]:
         """Characters outside boilerplate under every path, the whole page's under the empty one."""

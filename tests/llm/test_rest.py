@@ -121,6 +121,15 @@ def test_page_text_leaves_out_the_hosts_template_text(spark):
     assert all(t.startswith("the same words") for t in texts_of(spark, near))
 
 
+def test_page_text_keeps_article_parts_with_names_like_boilerplate(spark):
+    body = ('<article><h2 id="related-work">Related work</h2><section id="social-structure"><p>Social</p></section>'
+            '<div id="comments-on-the-proof">Proof</div><p class="notice-period">Period</p><p>x is <math><mi>x</mi></math></p><svg><text>axis</text></svg></article>')
+    assert texts_of(spark, [body]) == ["Related work\n\nSocial\n\nProof\n\nPeriod\n\nx is x\n\naxis"]
+    assert "No article" in texts_of(spark, ['<h2 id="related-work">No article</h2><p>here</p>'])[0]
+    marked = [f'<article><p>{"own words " * 9}{i}</p><div class="share-buttons">Tweet {i}</div></article>' for i in range(4)]
+    assert texts_of(spark, marked) == [f"{'own words ' * 9}{i}" for i in range(4)]
+
+
 def test_grades_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = labels.filter("doc_id % 2 = 0")
