@@ -1,7 +1,9 @@
 """Elias-Fano n-gram language model: compact sorted levels, memory-mapped from the shared folder.
 
 Words are numbered in the order of their 64-bit hashes and cut into shards by hash range; an
-n-gram lives in the shard of its first word. Level n holds, for every (n-1)-gram of level
+n-gram lives in the shard of its first word. From level 2 a shard is cut into parts, ranges of contexts
+that follow at most about `part_tokens` tokens unless they are one context; a frequent first word so
+spreads over many parts. Level n holds, for every (n-1)-gram of level
 n - 1 in turn, the last words of its n-grams. A last word is written as its rank among
 the successors of the context without its first word, which is smaller than its number; adding
 the context's base makes one ascending sequence. That sequence and the pointers (bases, and
@@ -11,9 +13,10 @@ one byte for its probability and each context one for its backoff, on a logarith
 
 Probabilities are interpolated absolute discounting down to (c + 0.5) / (N + 0.5 (V + 1)) for single
 words. Building level n is one pass over the training texts: each task looks its
-n-grams' contexts up in the levels below, sorts and counts them, and sends each shard
-one packed block; one task per shard merges those. Shards are more as tokens are more. Nothing
-is gathered in the driver but one row of counts per shard.
+n-grams' contexts up in the levels below, sorts and counts them, and sends each part
+one packed block; one task per part merges those, folding equal n-grams as blocks come, so that it holds no
+more than its distinct n-grams twice. Those of one context are at most as many as the words. Nothing
+is gathered in the driver but one row of counts per part.
 
 The shared folder must be reachable as files (a mounted path, or any store pyarrow opens).
 
@@ -25,7 +28,7 @@ form is empty. Empty training data give every token the probability 0.5 / (0.5 (
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -42,9 +45,42 @@ from flowkeel.session import fresh_path, materialise, ship_package
 ORDER = 3
 SHARD_BYTES = 16 << 20
 FLUSH = 3_000_000
+#: Tokens after the contexts of one part, and entries at which blocks are folded.
+PART_TOKENS = 4_000_000
+FOLD = 2_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543211)
 
 
+@dataclass(frozen=True)
+class Parts:
+    """The parts of a level: shard and first context of each, how many contexts, and its first n-gram in the shard."""
+
+    shard: tuple[int, ...]
+    context: tuple[int, ...]
+    contexts: tuple[int, ...]
+    gram: tuple[int, ...] = ()
+
+    @staticmethod
+    def of(shards: list[int], firsts: list[int], sizes: list[int], cuts: list[list[int]]) -> Parts:
+        """Parts of the contexts that lie in runs (shard, first, size), each cut at the places given."""
+        rows = [(s, f + a, b - a) for s, f, n, c in zip(shards, firsts, sizes, cuts, strict=True)
+                for a, b in zip([0, *c], [*c, n], strict=True)]
+        return Parts(*(tuple(r[i] for r in rows) for i in range(3)))
+
+    def find(self, shard: np.ndarray, context: np.ndarray) -> np.ndarray:
+        starts = (np.array(self.shard, np.int64) << 40) | np.array(self.context, np.int64)
+        return np.searchsorted(starts, (shard << 40) | context, side="right") - 1
+
+    def counted(self, grams: list[int]) -> Parts:
+        """With the places of their first n-grams, given how many each has."""
+        before, at, shard = [], 0, -1
+        for s, n in zip(self.shard, grams, strict=True):
+            at = at if s == shard else 0
+            before.append(at)
+            shard, at = s, at + n
+        return replace(self, gram=tuple(before))
+
+
 @dataclass(frozen=True)
 class Plan:
     """Where the levels are and the counts that all tasks need."""
@@ -56,10 +92,13 @@ class Plan:
     words: int = 0
     #: Word numbers before each shard.
     first_word: tuple[int, ...] = ()
-    #: Per finished level from 2: the most n-grams in a shard, and the most children of a context.
-    most: tuple[tuple[int, int], ...] = field(default=())
+    #: Per finished level from 2: the most children of a context.
+    most: tuple[int, ...] = field(default=())
+    #: Per level from 2, up to the one in work.
+    parts: tuple[Parts, ...] = field(default=())
 
     def uri(self, level: int, shard: int) -> str:
+        """The file of a shard of words, or of a part of a level above."""
         return f"{self.folder}/level{level}-{shard:06d}"
 
     def step(self) -> float:
@@ -84,7 +123,7 @@ class Words:
 
 
 class Level:
-    """One shard of a level: base and first child of each context, its backoff, and its n-grams."""
+    """One part of a level: base and first child of each context, its backoff, and its n-grams."""
 
     def __init__(self, uri: str):
         a = load(uri)
@@ -181,15 +220,18 @@ class Walk:
         shard = np.zeros(len(self.word), np.int64)
         shard[k - 1:] = self.shard[:len(self.shard) - k + 1]
         rows = rows[np.argsort((shard[rows] << 40) | self.context[rows])]
-        for s, part in by_shard(shard, rows):
-            file, context = level_file(self.plan.uri(k, s)), self.context[part]
+        parts = self.plan.parts[k - 2]
+        owner = np.zeros(len(self.word), np.int64)
+        owner[rows] = parts.find(shard[rows], self.context[rows])
+        for s, part in by_shard(owner, rows):
+            file, context = level_file(self.plan.uri(k, s)), self.context[part] - parts.context[s]
             self.logp[part] -= step * file.backoff[context]
             seen = np.flatnonzero(self.rank[part] >= 0)
             at, ranks = file.find(context[seen], self.rank[part[seen]].astype(np.uint64), k < self.plan.order)
             hit = np.flatnonzero(at >= 0)
             own = part[seen[hit]]
             self.logp[own] = -step * file.codes[at[hit]]
-            found[own] = at[hit]
+            found[own] = at[hit] + parts.gram[s]
             rank[own] = ranks[hit]
         self.context, self.rank = self.shifted(found), rank
 
@@ -221,18 +263,16 @@ def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def key_bits(plan: Plan, level: int) -> tuple[int, int]:
     """Bits of context and rank in a counted key; a byte for the lower level's probability follows."""
-    if level == 2:
-        contexts, ranks = max(np.diff(plan.first_word).tolist(), default=1), plan.words + 1
-    else:
-        contexts, ranks = plan.most[level - 3]
+    contexts = max(plan.parts[level - 2].contexts, default=1)
+    ranks = plan.words + 1 if level == 2 else plan.most[level - 3]
     bits = max(1, int(contexts).bit_length()), max(1, int(ranks).bit_length())
     if sum(bits) + 8 > 64:
-        raise ValueError("a shard's n-grams do not fit 64-bit keys: use more shards")
+        raise ValueError("a part's n-grams do not fit 64-bit keys: use more shards")
     return bits
 
 
 def counter(plan: Plan, level: int):
-    """Counts the texts' n-grams of a level and sends each shard its own, a few million at a time."""
+    """Counts the texts' n-grams of a level and sends each part its own, a few million at a time."""
 
     def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         shard, keys = (np.concatenate([h[i] for h in held]) for i in range(2))
@@ -255,8 +295,11 @@ def counter(plan: Plan, level: int):
                     walk.up()
                 rows = walk.rows(level)
                 _, ranks = key_bits(plan, level)
-                key = ((walk.context[rows].astype(np.uint64) << np.uint64(ranks)) | walk.rank[rows].astype(np.uint64)) << np.uint64(8)
-                held.append((walk.shard[rows - level + 1], key | plan.code(walk.logp[rows]).astype(np.uint64)))
+                parts = plan.parts[level - 2]
+                owner = parts.find(walk.shard[rows - level + 1], walk.context[rows])
+                context = (walk.context[rows] - np.array(parts.context, np.int64)[owner]).astype(np.uint64)
+                key = ((context << np.uint64(ranks)) | walk.rank[rows].astype(np.uint64)) << np.uint64(8)
+                held.append((owner, key | plan.code(walk.logp[rows]).astype(np.uint64)))
             if sum(len(h[1]) for h in held) >= FLUSH:
                 yield from emit(held)
                 held = []
@@ -265,32 +308,55 @@ def counter(plan: Plan, level: int):
     return run
 
 
+def fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their counts added up."""
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def merged(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, np.ndarray, np.ndarray]:
-    """One shard's keys and counts."""
-    shard, parts = None, []
+    """The keys and counts of one shard or part."""
+    shard, parts, held, limit = None, [], 0, FOLD
     for batch in batches:
         for s, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             shard = s
             if block.is_valid:
                 parts.append(unpack_block(block.as_buffer()))
+                held += len(parts[-1][0])
+            if held > limit:
+                parts = [fold(parts)]
+                held = len(parts[0][0])
+                limit = max(FOLD, 2 * held)
     if not parts:
         return shard, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return shard, keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return shard, *fold(parts)
+
+
+def cuts(counts: np.ndarray, tokens: int) -> list[int]:
+    """Where to cut n-grams so that those between two cuts occur `tokens` times at most, unless they are one."""
+    out, total, at = [], np.cumsum(counts, dtype=np.int64), 0
+    while True:
+        before = int(total[at - 1]) if at else 0
+        at = max(at + 1, int(np.searchsorted(total, before + tokens, side="right")))
+        if at >= len(total):
+            return out
+        out.append(at)
 
 
-REPORT = "shard int, grams long, tokens long, children long, once long, twice long"
+REPORT = "shard int, grams long, tokens long, children long, once long, twice long, cuts array<long>"
 
 
-def report(shard: int, *counts: int) -> pa.RecordBatch:
+def report(shard: int, *counts: int, cuts: list[int] | tuple = ()) -> pa.RecordBatch:
     names = [c.split()[0] for c in REPORT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([c], pa.int64()) for c in counts]], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([c], pa.int64()) for c in counts],
+                                       pa.array([list(cuts)], pa.list_(pa.int64()))], names=names)
 
 
-def word_builder(plan: Plan):
+def word_builder(plan: Plan, part_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, counts = merged(batches)
         if shard is None:
@@ -299,25 +365,27 @@ def word_builder(plan: Plan):
             at = np.searchsorted(keys, BEGIN)
             keys, counts = np.insert(keys, at, BEGIN), np.insert(counts, at, 0)
         low = plan.low_hash(shard)
+        places = cuts(counts, part_tokens)
         counts = squeeze(counts)
         sequence = Sequence.of(keys - np.uint64(low), plan.low_hash(shard + 1) - low)
         save(plan.uri(1, shard), [*sequence.parts(), np.array([counts.dtype.itemsize], np.int64), counts])
-        yield report(shard, len(keys), int(counts.sum(dtype=np.int64)), 0, 0, 0)
+        yield report(shard, len(keys), int(counts.sum(dtype=np.int64)), 0, 0, 0, cuts=places)
     return run
 
 
-def merger(plan: Plan, level: int):
-    """Sets a shard's counted keys down, and reports how many occur once and twice."""
+def merger(plan: Plan, level: int, part_tokens: int):
+    """Sets a part's counted keys down, and reports how many occur once and twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, counts = merged(batches)
         if shard is not None:
             write_file(plan.uri(level, shard) + ".counts", [pack_block(keys, counts)])
-            yield report(shard, len(keys), int(counts.sum()), 0, int((counts == 1).sum()), int((counts == 2).sum()))
+            yield report(shard, len(keys), int(counts.sum()), 0, int((counts == 1).sum()), int((counts == 2).sum()),
+                         cuts=cuts(counts, part_tokens))
     return run
 
 
 def level_builder(plan: Plan, level: int, discount: float):
-    """Writes a shard's level from its counts. A task that runs again finds the level written."""
+    """Writes a part of a level from its counts. A task that runs again finds the level written."""
     def build_one(shard: int) -> tuple[int, int, int]:
         uri = plan.uri(level, shard)
         if exists(uri):
@@ -330,7 +398,7 @@ def level_builder(plan: Plan, level: int, discount: float):
         lower = 10.0 ** (-plan.step() * (keys & np.uint64(255)).astype(float))
         keys = keys >> np.uint64(8)
         context, rank = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
-        below = words_file(plan.uri(1, shard)).hashes.n if level == 2 else level_file(plan.uri(level - 1, shard)).keys.n
+        below = plan.parts[level - 2].contexts[shard]
         children = np.bincount(context, minlength=below)
         total = np.bincount(context, counts, minlength=below)
         backoff = np.where(total > 0, discount * children / np.maximum(total, 1), 1.0)
@@ -358,28 +426,33 @@ def level_builder(plan: Plan, level: int, discount: float):
     return run
 
 
-def build(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> Plan:
+def build(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, folder: str | None = None,
+          part_tokens: int = PART_TOKENS) -> Plan:
     """Trains on `texts` (text) and writes the levels; a shard stands for about `shard_bytes` of text."""
     spark = texts.sparkSession
     ship_package(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(folder or fresh_path(spark, "trie"), max(1, -(-size // shard_bytes)), order)
     for level in range(1, order + 1):
+        n = plan.shards if level == 1 else len(plan.parts[-1].shard)
         counted = texts.select("text").mapInArrow(counter(plan, level), "shard int, block binary")
-        every = spark.range(plan.shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("block"))
-        builder = word_builder(plan) if level == 1 else merger(plan, level)
-        rows = materialise(counted.union(every).repartitionById(plan.shards, F.col("shard")).mapInArrow(builder, REPORT), "levels")
-        done = sorted(rows.collect())  # one row of counts per shard
+        every = spark.range(n).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("block"))
+        builder = word_builder(plan, part_tokens) if level == 1 else merger(plan, level, part_tokens)
+        rows = materialise(counted.union(every).repartitionById(n, F.col("shard")).mapInArrow(builder, REPORT), "levels")
+        done = sorted(rows.collect(), key=lambda r: r["shard"])  # one row of counts per part
+        grams, places = [r["grams"] for r in done], [r["cuts"] for r in done]
         if level == 1:
-            first = np.concatenate([[0], np.cumsum([r["grams"] for r in done])])
-            plan = Plan(plan.folder, plan.shards, order, sum(r["tokens"] for r in done), int(first[-1]) - 1, tuple(first.tolist()))
+            first = np.concatenate([[0], np.cumsum(grams)])
+            plan = replace(plan, tokens=sum(r["tokens"] for r in done), words=int(first[-1]) - 1, first_word=tuple(first.tolist()),
+                           parts=(Parts.of(list(range(n)), [0] * n, grams, places),))
             continue
         once, twice = (sum(r[c] for r in done) for c in ("once", "twice"))
         discount = once / (once + 2 * twice) if once and twice else 0.5
-        shards = rows.select("shard").repartitionById(plan.shards, F.col("shard"))
-        done = materialise(shards.mapInArrow(level_builder(plan, level, discount), REPORT), "levels").collect()
-        plan = Plan(plan.folder, plan.shards, order, plan.tokens, plan.words, plan.first_word,
-                    (*plan.most, (max(r["grams"] for r in done), max(r["children"] for r in done))))
+        shards = rows.select("shard").repartitionById(n, F.col("shard"))
+        built = materialise(shards.mapInArrow(level_builder(plan, level, discount), REPORT), "levels").agg(F.max("children")).first()
+        here = plan.parts[-1].counted(grams)
+        plan = replace(plan, most=(*plan.most, built[0]), parts=(*plan.parts[:-1], here, *(
+            [Parts.of(list(here.shard), list(here.gram), grams, places)] if level < order else [])))
     return plan
 
 
@@ -406,9 +479,10 @@ def scorer(plan: Plan):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, folds: int = 5, held_fold: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, folds: int = 5, held_fold: int = 1, shard_bytes: int = SHARD_BYTES,
+          part_tokens: int = PART_TOKENS) -> DataFrame:
     """Scores every row of docs (doc_id, text) by a model of those whose crc32(doc_id) mod folds is not held_fold."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    plan = build(rows.filter(~F.col("held_out")).select("text"), order, shard_bytes)
+    plan = build(rows.filter(~F.col("held_out")).select("text"), order, shard_bytes, part_tokens=part_tokens)
     return rows.mapInArrow(scorer(plan), SCORES)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowkeel.llm import trie
@@ -107,6 +108,29 @@ def test_many_shards_give_the_same_scores(spark):
         assert abs(many[k]["score"] - r["score"]) < 1e-6 * r["n_tokens"] + 1e-6
 
 
+def test_a_frequent_first_word_is_dealt_to_many_parts(spark):
+    df = spark.createDataFrame([(i, " ".join(f"hot a{j * 7 % 50} hot b{i * 31 + j}" for j in range(60))) for i in range(40)],
+                               "doc_id long, text string").repartition(4)
+    one = {r["doc_id"]: r for r in trie.score(df, order=4).collect()}
+    many = {r["doc_id"]: r for r in trie.score(df, order=4, shard_bytes=8000, part_tokens=300).collect()}
+    assert all(many[k]["score"] == pytest.approx(r["score"], abs=1e-6 * r["n_tokens"]) for k, r in one.items())
+    plan = trie.build(df.select("text"), part_tokens=300)
+    grams = [trie.Level(plan.uri(3, p)).keys.n for p in range(len(plan.parts[1].shard))]
+    assert plan.shards == 1 and len(grams) > 20 and max(grams) <= 300
+
+
+def test_folded_blocks_and_cuts(monkeypatch):
+    monkeypatch.setattr(trie, "FOLD", 100)
+    rng = np.random.default_rng(4)
+    every = [rng.integers(0, 300, 200, dtype=np.uint64) for _ in range(20)]
+    blocks = [trie.pack_block(*trie.tally(k)) for k in every]
+    batches = [pa.RecordBatch.from_pydict({"shard": pa.array([3], pa.int32()), "block": pa.array([b], pa.binary())}) for b in blocks]
+    shard, keys, counts = trie.merged(iter(batches))
+    want = trie.tally(np.concatenate(every))
+    assert shard == 3 and np.array_equal(keys, want[0]) and np.array_equal(counts, want[1])
+    assert trie.cuts(np.array([1, 1, 9, 2, 1, 5, 0]), 4) == [2, 3, 5, 6] and trie.cuts(np.zeros(0, np.int64), 4) == []
+
+
 def test_no_training_rows(spark):
     df = documents(spark, lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1)
     got = trie.score(df).collect()
