@@ -141,6 +141,15 @@ def test_grades_on_held_out_labels(spark):
     assert ((got.p_not_toxic >= got.p_good) & (got.expected_grade - got.p_not_toxic - got.p_good).abs().lt(1e-9)).all()
 
 
+def test_held_out_toxic_and_poor_documents_are_rejected(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = ordinal.grade_documents(docs, labels.filter("doc_id % 2 = 0")).join(
+        ordinal.graded(labels.filter("doc_id % 2 = 1")), "doc_id").toPandas()
+    rejected = 1 - got.groupby("grade").keep.mean()
+    print(rejected)
+    assert rejected[0] > 0.9 and rejected[1] > 0.35 and rejected[2] < 0.015
+
+
 def test_grades_of_odd_documents(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, 1, 0, "x"), (1, 0, 0, "x"), (1, 1, 1, "x"), (2, None, None, "x"), (None, 1, 1, "x"), (9999, 1, 1, "x"), (5, None, 1, "x")],
