@@ -193,11 +193,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
-    """Weights, thresholds and floors, fitted on at most `sample` labelled documents (and rows that repeat their ids)."""
+    """Weights, thresholds and floors, fitted on at most `sample` labelled documents; of rows that share an id, on the text with the lowest hash."""
     ship_package(docs.sparkSession)
     known = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "grade").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(
         featurise, "doc_id long, grade int, slots array<int>")
     got = rows.repartition(1).mapInArrow(trainer(epochs), "weights binary, cuts array<double>, floors array<double>").collect()  # one model, at most one row
     if not got:

@@ -163,6 +163,14 @@ def test_grades_of_odd_documents(spark):
     assert kept.columns == docs.columns
 
 
+def test_a_repeated_id_counts_once_in_the_fit(spark):
+    texts = [(i, f"{('vile', 'dull', 'fine')[i % 3]} w{i % 7} and w{i % 5}") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    once, often = (ordinal.train(spark.createDataFrame(d, "doc_id long, text string").repartition(3), ordinal.graded(labels))
+                   for d in (texts, texts + [texts[4]] * 500))
+    assert once[0].any() and np.array_equal(once[0], often[0]) and np.array_equal(once[1], often[1])
+
+
 def test_thresholds_ascend_and_separate():
     x = [np.array([1, i % 7 + 100]) for i in range(60)] + [np.array([2, i % 7 + 100]) for i in range(60)] + [np.array([3, i % 7 + 100]) for i in range(60)]
     y = np.repeat([0, 1, 2], 60)
