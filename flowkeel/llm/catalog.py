@@ -60,7 +60,7 @@ def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias(
-        "ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+        "ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 import random
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowkeel.llm import bpe
@@ -54,7 +54,7 @@ def test_other_tokenizers_encode_whole_texts(spark):
     got = bag(bpe.encode(documents(spark), WORDS))
     assert got == sorted(((r[0], library(WORDS, r[1])[0]) for r in rows()), key=repr)
     with pytest.raises(ValueError, match="byte-level"):
-        bpe.piece_table(spark, WORDS)
+        bpe.pieces(WORDS)
 
 
 def test_words_cover_the_texts_and_are_few():
@@ -65,18 +65,34 @@ def test_words_cover_the_texts_and_are_few():
         " the", " cat", " the", " cat", "\n\n the  cat"]
 
 
-def test_each_word_is_encoded_once(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same words again and again").alias("text"))
+def test_each_word_is_encoded_once(monkeypatch):
+    column = pa.record_batch({"doc_id": pa.array(range(4000)), "text": pa.array(["same words again and again"] * 4000)})
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20_000)
+    blocks = list(bpe.splitter(False)(iter([column])))
+    assert len(blocks) > 3
+    rows = [(n, k, w["sizes"], w["text"]) for n, b in enumerate(blocks) for k, w in enumerate(b.column(4)[0].as_py()) if w]
+    rows = pa.record_batch([pa.array(x) for x in zip(*sorted(rows, key=lambda r: r[1]), strict=True)], names=["block", "bucket", "sizes", "text"])
     seen = []
-    bpe.by_blocks(docs, BYTES, lambda words: seen.append(words.count()) or bpe.decode(words, BYTES)).count()
-    assert seen == [4]
+
+    class Counting:
+        def encode_batch_fast(self, words, **kind):
+            seen.extend(words)
+            return loaded(BYTES).encode_batch_fast(words, **kind)
+
+    monkeypatch.setattr(bpe, "tokenizer", lambda path: Counting())
+    list(bpe.encoder(BYTES)(iter([rows])))
+    assert sorted(seen) == [" again", " and", " words", "same"]
+
+
+def test_numbers_in_rows_of_bytes():
+    for values in ([], [0], [255], [256, 1, 70000], [2**31, 5]):
+        assert bpe.expand(bpe.squeeze(np.array(values, np.int64))).tolist() == values
 
 
 def test_decoding_of_given_ids(spark):
     got = bpe.decode(spark.createDataFrame([(1, [50256, 220, 31373]), (2, []), (3, None), (4, [-1, 31373, 99999])], "row long, ids array<int>"), BYTES)
-    assert bag(got) == [(1, [50256, 220, 31373], bytearray(b"<|endoftext|> hello")), (2, [], bytearray()), (3, None, bytearray()),
-                        (4, [-1, 31373, 99999], bytearray(b"hello"))]
-    assert bpe.as_text(pa.array([b"a\xffb\xe2\x82"])).to_pylist() == ["a�b�"]
+    assert bag(got) == [(1, [50256, 220, 31373], "<|endoftext|> hello"), (2, [], ""), (3, None, ""), (4, [-1, 31373, 99999], "hello")]
+    assert bpe.as_text(pa.array([b"a\xffb\xe2\x82"])).to_pylist() == ["a\ufffdb\ufffd"]
 
 
 def test_no_documents(spark):
