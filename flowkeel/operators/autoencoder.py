@@ -2,16 +2,18 @@
 
 A row's shard follows from the hash of the row, and its place in the shard from a second
 hash, so a result depends on the data and the number of shards and never on files, splits
-or row order. An epoch is one pass over the feature table: a shard's state travels as
-a row that sorts ahead of its flows, one task streams them through mini-batch Adam, and
-Spark averages the shards' states by row count. With one shard this is plain mini-batch
-training in that order.
+or row order. The vectors are shuffled once: they are stored with a bucket for each shard, in
+the shard's order. An epoch then is one scan without an exchange or a sort: a task reads a bucket
+from its first row to its last and streams it through mini-batch Adam, starting from a state that is
+sent to all tasks, and Spark averages the shards' states by row count. With one shard this
+is plain mini-batch training in that order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkeel.params import TrainParams
-from flowkeel.session import fresh_path, materialise, ship_package
+from flowkeel.session import bucketed, fresh_path, ship_package
 
 # Adam's customary constants.
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
@@ -27,6 +29,9 @@ BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 # Metric tags.
 EPOCH_LOSS, BATCH_LOSS = "Training/Epoch_Loss", "Training/Batch_Loss"
 
+# Independent shards whose states are sent to tasks together.
+SENT_STATES = 1024
+
 STATE_SCHEMA = "shard int, n bigint, state array<double>, loss double, batches bigint, losses array<double>"
 
 
@@ -229,52 +234,73 @@ def by_shard(rows: DataFrame, shards: int, shard: str, *order: str) -> DataFrame
     return rows.repartitionById(shards, F.col(shard)).sortWithinPartitions(shard, *order)
 
 
+def slots(spark: SparkSession, shards: int) -> DataFrame:
+    """For each shard a number whose bucket, of as many buckets as shards, is the shard's own."""
+    tried = spark.range(math.ceil(shards * (math.log(shards) + 25))).select(F.col("id").cast("int").alias("slot"))
+    return tried.groupBy(F.pmod(F.hash("slot"), F.lit(shards)).alias("shard")).agg(F.min("slot").alias("slot"))
+
+
+def deal(table: DataFrame, shards: int) -> DataFrame:
+    """The vectors in buckets, one for each shard, each one file in the order in which it is trained."""
+    rows = table.select("shard", row_order(table).alias("place"), "features")
+    placed = rows.join(F.broadcast(slots(table.sparkSession, shards)), "shard")
+    return bucketed(placed.repartition(shards, "slot"), "training-rows", shards, "slot", "place", "features")
+
+
 class Autoencoder:
     """Trains a `Model` on a table with `features ARRAY<DOUBLE>`.
 
-    The table is read once per epoch, so it should be cheap to read again (see
-    `flowkeel.session.materialise`). A `shard INT` column from 0 below `params.shards` names
-    the shard of each row; without it rows are dealt by their hash.
+    The table is read once to number its rows and once to deal them to shards. A `shard INT`
+    column from 0 below the number of shards names the shard of each row; without it rows are
+    dealt by their hash.
     """
 
     def __init__(self, params: TrainParams = TrainParams()):
         self.params = params
 
     def fit(self, table: DataFrame, input_dim: int | None = None) -> Model:
-        p, spark = self.params, table.sparkSession
+        spark = table.sparkSession
         ship_package(spark)
         if input_dim is None:
             first = table.select(F.size("features").alias("w")).first()
             if first is None:
                 raise ValueError("no rows to train on")
             input_dim = first["w"]
+        shards = self.params.shards or self.params.shards_for(table.count())
+        p = replace(self.params, shards=shards)
         network = Network.symmetric(input_dim, p.hidden_dims, p.latent_dim)
         start = AdamState.start(network.initial(p.seed)).flat()
-        if "shard" not in table.columns:
-            table = assign_shards(table, p.shards)
-        rows = table.select("shard", F.lit(1).alias("kind"), row_order(table).alias("place"), "features")
-        every = spark.range(p.shards).select(F.col("id").cast("int").alias("shard"))
-        one = spark.createDataFrame([(start.tolist(),)], "state array<double>")
-        states = every.withColumn("state", one.scalar())
+        rows = deal(table if "shard" in table.columns else assign_shards(table, shards), shards)
 
         root = fresh_path(spark, "training")
+        state, done = start, None
         for epoch in range(p.epochs):
             path = f"{root}/epoch={epoch}"
-            self._epoch(rows, network, states).write.parquet(path)
-            done = spark.read.parquet(path)
-            if p.sync == "none":
-                states = done.select("shard", "state")
+            if p.sync == "average":
+                self.epoch(rows, network, {}, state).write.parquet(path)
             else:
-                old = states.filter("shard = 0").select("state").scalar()
-                states = materialise(every.withColumn("state", F.coalesce(average(done).scalar(), old)), "states")
+                for lo in range(0, shards, SENT_STATES):
+                    some = F.col("shard").between(lo, min(lo + SENT_STATES, shards) - 1)
+                    known = {} if done is None else {r["shard"]: np.array(r["state"]) for r in done.filter(some).select("shard", "state").collect()}
+                    part = rows if shards <= SENT_STATES else rows.join(
+                        F.broadcast(slots(spark, shards).filter(some).select("slot")), "slot", "left_semi")
+                    self.epoch(part, network, known, start).write.mode("append").parquet(path)
+            done = spark.read.parquet(path)
+            if p.sync == "average":
+                mean = average(done).first()["state"]
+                state = state if mean is None else np.array(mean)
         metrics = training_metrics(spark, root, p.epochs)
-        if p.sync == "none":
-            return Model(network, None, p, metrics, states)
-        final = np.array(states.filter("shard = 0").first()["state"])
-        return Model(network, {0: AdamState.unflat(final).weights}, p, metrics)
-
-    def _epoch(self, rows: DataFrame, network: Network, states: DataFrame) -> DataFrame:
-        p = self.params
+        if p.sync == "average":
+            return Model(network, {0: AdamState.unflat(state).weights}, p, metrics)
+        every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+        untrained = F.array(*[F.lit(float(v)) for v in start]) if done is None else spark.createDataFrame([(start.tolist(),)], "state array<double>").scalar()
+        states = every.withColumn("state", untrained) if done is None else every.join(done.select("shard", "state"), "shard", "left").withColumn(
+            "state", F.coalesce("state", untrained))
+        return Model(network, None, p, metrics, states)
+
+    def epoch(self, rows: DataFrame, network: Network, known: dict[int, np.ndarray], start: np.ndarray) -> DataFrame:
+        """Each shard's state after one pass over its rows, from its state in `known` or else `start`."""
+        p, shared = self.params, rows.sparkSession.sparkContext.broadcast((known, start))
 
         def row(shard: int, trainer: ShardTrainer) -> pa.RecordBatch:
             trainer.finish()
@@ -287,23 +313,25 @@ class Autoencoder:
                 "losses": pa.array([losses if shard == 0 else []], pa.list_(pa.float64()))})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            states, first = shared.value
             shard, trainer = None, None
             for b in batches:
-                shards, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(b)]
+                shards = b.column(0).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(shards) != 0) + 1).tolist(), len(b)]
                 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    if kind[lo] == 0:
+                    if hi > lo and int(shards[lo]) != shard:
                         if trainer is not None:
                             yield row(shard, trainer)
                         shard = int(shards[lo])
-                        trainer = ShardTrainer(network, AdamState.unflat(as_matrix(b.column(3).slice(lo, 1))[0]), p)
-                    else:
-                        trainer.push(as_matrix(b.column(3).slice(lo, hi - lo)))
+                        trainer = ShardTrainer(network, AdamState.unflat(states.get(shard, first)), p)
+                    if hi > lo:
+                        trainer.push(as_matrix(b.column(1).slice(lo, hi - lo)))
             if trainer is not None:
                 yield row(shard, trainer)
 
-        ahead = states.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.col("state").alias("features"))
-        return by_shard(ahead.unionByName(rows), p.shards, "shard", "kind", "place", "features").mapInArrow(run, STATE_SCHEMA)
+        # Spark reads bucket by bucket if the bucket's column is read and a grouping, here of the shards' few rows, is above.
+        names = [c.split()[0] for c in STATE_SCHEMA.split(", ")][1:]
+        return rows.select("shard", "features", "slot").mapInArrow(run, STATE_SCHEMA).groupBy("shard").agg(*[F.first(c).alias(c) for c in names])
 
 
 def average(done: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ class FeatureParams:
 class TrainParams:
     """`sync="average"` trains one model, averaging the shards' weights after
     every epoch; `sync="none"` keeps one independent model per shard. A result depends on
-    the number of `shards`, each of which one task trains, so it is set here and
-    does not follow from the files; the default suits tens of millions of flows."""
+    the number of shards, each of which one task trains. It does not follow from the files: it is
+    `shards` or, where that is None, one for every `rows_per_shard` rows and 8 at least."""
 
     model_type: str = "autoencoder"
     hidden_dims: tuple[int, ...] = (32, 16)
@@ -67,15 +67,19 @@ class TrainParams:
     epochs: int = 5
     learning_rate: float = 0.001
     sync: str = "average"
-    shards: int = 8
+    shards: int | None = None
+    rows_per_shard: int = 2_000_000
     seed: int = 0
 
     def __post_init__(self):
         if self.sync not in ("average", "none"):
             raise ValueError(f"sync: {self.sync!r}")
-        if self.shards < 1:
+        if self.shards is not None and self.shards < 1:
             raise ValueError(f"shards: {self.shards!r}")
 
+    def shards_for(self, rows: int) -> int:
+        return self.shards or max(8, -(-rows // self.rows_per_shard))
+
     @classmethod
     def from_config(cls, nn: dict, **overrides) -> TrainParams:
         """Reads an `nn` configuration block; its gaps take the code fallbacks."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -30,10 +30,10 @@ def train_and_flag(flows: DataFrame, profile: DataFrame, rare: DataFrame,
     profile operators. Vectors and scores are written to the shared folder, so
     neither epochs nor the threshold repeat the work before them.
     """
-    table = build_features(flows, profile, rare, features)
+    table = materialise(build_features(flows, profile, rare, features), "features")
     if train.sync == "none":
+        train = replace(train, shards=train.shards_for(table.count()))
         table = assign_shards(table, train.shards)
-    table = materialise(table, "features")
     model = get_model(train).fit(table, len(feature_names(features)))
     scored = materialise(model.score(table).drop("features"), "scores")
     return TrainingRun(model, scored, flag_anomalies(scored), anomaly_summary(scored))

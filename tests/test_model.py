@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowkeel.operators import anomaly
-from flowkeel.operators.autoencoder import (AdamState, Autoencoder, Network, ShardTrainer, assign_shards, get_model,
+from flowkeel.operators import autoencoder
+from flowkeel.operators.autoencoder import (AdamState, Autoencoder, Network, ShardTrainer, assign_shards, deal, get_model, slots,
                                             row_order)
 from flowkeel.params import TrainParams
 from flowkeel.plans.training import train_and_flag, write_run
@@ -162,6 +163,40 @@ def test_independent_shards(table, matrix):
         assert np.allclose([scores[i] for i in ids], n.errors(weights, matrix[ids]))
 
 
+def test_epochs_read_buckets_without_exchange_or_sort(spark, table, matrix):
+    p = TrainParams(**{**SMALL, "shards": 6})
+    rows = deal(assign_shards(table, 6), 6)
+    n = Network.symmetric(matrix.shape[1], p.hidden_dims, p.latent_dim)
+    epoch = Autoencoder(p).epoch(rows, n, {}, AdamState.start(n.initial(0)).flat())
+    plan = plan_of(epoch)
+    below = plan[plan.index("MapInArrow"):]
+    assert "Bucketed: true" in below and "Exchange" not in below and "Sort" not in below
+    done = {r["shard"]: r["n"] for r in epoch.collect()}
+    want = {s: len(ids) for s, ids in members(table, 6).items() if ids}
+    assert done == want and len(rows.inputFiles()) == len(want)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 13, 300])
+def test_slots_fill_every_bucket_once(spark, shards):
+    got = [(r["shard"], r["slot"]) for r in slots(spark, shards).collect()]
+    assert sorted(s for s, _ in got) == list(range(shards)) and len({k for _, k in got}) == shards
+
+
+def test_states_are_sent_in_parts(spark, table, monkeypatch):
+    p = TrainParams(sync="none", **{**SMALL, "shards": 7})
+    whole = Autoencoder(p).fit(table).weights
+    monkeypatch.setattr(autoencoder, "SENT_STATES", 3)
+    parts = Autoencoder(p).fit(table).weights
+    assert len(parts) == 7 and all(np.allclose(whole[s], parts[s]) for s in whole)
+
+
+def test_number_of_shards_follows_the_rows():
+    assert TrainParams().shards_for(0) == TrainParams().shards_for(10**6) == 8
+    assert TrainParams().shards_for(100_000_001) == 51 and TrainParams(shards=3).shards_for(10**9) == 3
+    with pytest.raises(ValueError, match="shards"):
+        TrainParams(shards=0)
+
+
 def test_more_shards_than_rows(spark):
     few = materialise(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 0.5])], "id int, features array<double>"), "few")
     p = TrainParams(sync="none", **{**SMALL, "shards": 7})
