@@ -280,6 +280,14 @@ def capture_scan(spark, sf_dir):
     return packets.decode_packets(frames)
 
 
+@query
+def capture_scan_ng(spark, sf_dir):
+    """The same events in pcapng files of many sections, byte orders and time units, probed and read in parallel."""
+    folder = fresh_path(spark, "captures")
+    tables.write_captures(tables.frames_view(tables.packets_view(spark, sf_dir)), folder, ng=True)
+    return packets.decode_packets(captures.read_frames(spark, f"{folder}/*.pcapng", split_bytes=32 << 10))
+
+
 @query
 def capture_to_flows(spark, sf_dir):
     """The whole assembly job, from capture files to flow Parquet."""

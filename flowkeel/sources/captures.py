@@ -1,13 +1,13 @@
 """Capture files (pcap and pcapng) as a table of frames.
 
-A capture has no marks to split at. Every range of a pcap file is probed at the
-same time: a task guesses the first record of its range from a run of plausible
-record headers, and hops from there to the first record of the next range. Where
-each range's guess is the record its predecessor arrived at, the guesses are
-proven, because the first range starts at the known first record. A file with any
-other outcome is walked from its start. pcapng files are walked too, since their
-time units are declared along the way. Either way only headers are looked at, and
-the frames are then read range by range in parallel.
+A capture has no marks to split at. Every range of a file is probed at the same time: a
+task guesses the first record of its range from a run of plausible record headers, in pcapng
+from blocks whose length stands at both ends, and hops from there to the first record of
+the next range. Where each range's guess is the record its predecessor arrived at, the guesses
+are proven, because the first range starts at the known first record. What a range of a pcapng
+file declares on its way, byte order and time units, then reaches the ranges behind it by a
+running list over the file's ranges. A file with any other outcome is walked from its start. Either
+way only headers are looked at, and the frames are then read range by range in parallel.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ DEFAULT_TICKS = 1_000_000
 
 SPLIT_BYTES = 64 << 20
 MAX_RECORD = 1 << 18
+# Longest block that a guess may start from; longer ones are met by hopping only.
+MAX_BLOCK = 1 << 20
 PROOF_RECORDS = 8
 # Ethernet header, the longest IPv4 header, and both ports.
 HEAD_BYTES = 14 + 60 + 4
@@ -46,6 +48,8 @@ BATCH_BYTES = 8 << 20
 
 SPLITS_DDL = ("file string, length bigint, k bigint, kind string, start bigint, stop bigint, "
               "byte_order string, ticks array<bigint>")
+# What a probe adds: whether a section begins in the range, and the byte order and time units it leaves behind.
+PROBES_DDL = SPLITS_DDL + ", turned boolean, left_order string, left_ticks array<bigint>"
 
 
 class Cursor:
@@ -180,20 +184,99 @@ def _walk(cur: Cursor, file: str, split_bytes: int) -> list[tuple]:
             for k, ((start, order, ticks), end) in enumerate(zip(marks, ends))]
 
 
+def _block_size(cur: Cursor, offset: int, order: str) -> int:
+    """The size of a block of which the length at its end agrees, else -1."""
+    raw = cur.take(offset, 12)
+    if len(raw) < 12:
+        return -1
+    if raw[:4] == SECTION_BYTES:
+        if raw[8:12] not in BYTE_ORDER:
+            return -1
+        order = BYTE_ORDER[raw[8:12]]
+    size = struct.unpack_from(order + "I", raw, 4)[0]
+    if size < 12 or size % 4 or offset + size > cur.length:
+        return -1
+    return size if cur.take(offset + size - 4, 4) == struct.pack(order + "I", size) else -1
+
+
+def _guess_block(cur: Cursor, lo: int) -> tuple[int, str | None]:
+    """The first offset from `lo` that opens a run of whole blocks, and their byte order; -1 if there is none."""
+    lo += -lo % 4
+    window = cur.take(lo, MAX_BLOCK + 12)
+    words = np.frombuffer(window[:len(window) // 4 * 4], "<u4")
+    found = []
+    for order in ("<", ">"):
+        sizes = words.view(order + "u4")[1:].astype(np.int64)
+        at = np.flatnonzero((sizes >= 12) & (sizes % 4 == 0) & (sizes <= MAX_BLOCK) & (lo + 4 * np.arange(len(sizes)) + sizes <= cur.length))
+        end = at + sizes[at] // 4 - 1
+        seen = end < len(words)
+        same = np.ones(len(at), bool)
+        same[seen] = words.view(order + "u4")[end[seen]] == sizes[at[seen]]
+        found += [(int(i), order) for i in at[same]]
+    for first, order in sorted(found):
+        offset, own = lo + 4 * first, order
+        for _ in range(PROOF_RECORDS):
+            if cur.take(offset, 4) == SECTION_BYTES and (mark := cur.take(offset + 8, 4)) in BYTE_ORDER:
+                own = BYTE_ORDER[mark]
+            size = _block_size(cur, offset, own)
+            offset = offset + size if size > 0 else -1
+            if offset < 0 or offset == cur.length:
+                break
+        if offset >= 0:
+            return lo + 4 * first, order
+    return (cur.length, None) if len(window) < 12 else (-1, None)
+
+
+def _probe_blocks(cur: Cursor, file: str, k: int, lo: int, hi: int) -> tuple:
+    start, order = (0, "<") if k == 0 else _guess_block(cur, lo)
+    if start < 0:
+        return (file, cur.length, k, "pcapng", -1, cur.length, None, [], None, None, [])
+    if cur.take(start, 4) == SECTION_BYTES:
+        order = None  # the block says itself
+    stop, turned, ticks, own = start, False, [], order or "<"
+    for offset, kind, size, own, ticks in _blocks(cur, start, hi, own, []):
+        stop, turned = offset + size, turned or kind == SECTION
+    stop = cur.length if hi >= cur.length else stop
+    return (file, cur.length, k, "pcapng", start, stop, order, [], turned, own if turned else None, ticks)
+
+
 def _probe(file: str, k: int, split_bytes: int) -> list[tuple]:
-    with Cursor(file) as cur:
+    with Cursor(file, min(4 << 20, max(split_bytes, 4096))) as cur:
         magic = cur.take(0, 4)
+        lo, hi = k * split_bytes, min((k + 1) * split_bytes, cur.length)
+        if magic == SECTION_BYTES:
+            return [_probe_blocks(cur, file, k, lo, hi)]
         if magic not in PCAP_MAGIC:
-            return _walk(cur, file, split_bytes) if k == 0 else []
+            raise ValueError(f"not a capture file: {file}")
         order, ticks = PCAP_MAGIC[magic]
-        lo, hi = k * split_bytes, min((k + 1) * split_bytes, cur.length)
         start = PCAP_HEADER if k == 0 else _guess_start(cur, order, ticks, lo)
         stop = cur.length
         if start >= 0 and hi < cur.length:
             stop = start
             for offset, _, _, captured, _ in _pcap_records(cur, order, start, hi):
                 stop = offset + RECORD_HEADER + captured
-        return [(file, cur.length, k, "pcap", start, stop, order, [ticks])]
+        return [(file, cur.length, k, "pcap", start, stop, order, [ticks], None, None, [])]
+
+
+def carried(proven: DataFrame) -> DataFrame:
+    """pcapng ranges with the byte order and time units in force where they start, and whether their guessed order was right.
+
+    `section` counts the sections that began in earlier ranges; a range's declarations belong to
+    the section that it leaves behind. Rows of ranges that declare nothing add nothing to the running lists.
+    """
+    before = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.col("turned").cast("int")
+    entered = proven.withColumn("section", F.coalesce(F.sum(turned).over(before), F.lit(0))).withColumn(
+        "order_in", F.coalesce(F.last("left_order", ignorenulls=True).over(before), F.lit("<")))
+    rest = [c for c in entered.columns if c not in ("section", "left_ticks")]
+    asks = entered.select(F.struct(*rest).alias("range"), "file", "section", "k", F.lit(0).alias("rank"), F.lit(None).cast("array<bigint>").alias("declared"))
+    says = entered.filter(F.size("left_ticks") > 0).select(
+        F.lit(None).cast(asks.schema["range"].dataType).alias("range"), "file", F.col("section") + turned, "k", F.lit(1), "left_ticks")
+    running = Window.partitionBy("file", "section").orderBy("k", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = asks.union(says).withColumn("known", F.flatten(F.collect_list("declared").over(running))).filter(F.col("range").isNotNull())
+    right = F.col("range.byte_order").isNull() | (F.col("range.byte_order") == F.col("range.order_in"))
+    return known.select(*[f"range.{c}" for c in ("file", "length", "k", "kind", "start", "stop")],
+                        F.col("range.order_in").alias("byte_order"), F.col("known").alias("ticks"), right.alias("_right"))
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -202,10 +285,11 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _splits_schema() -> pa.Schema:
+def _splits_schema(probed: bool = False) -> pa.Schema:
+    more = [("turned", pa.bool_()), ("left_order", pa.string()), ("left_ticks", pa.list_(pa.int64()))] if probed else []
     return pa.schema([("file", pa.string()), ("length", pa.int64()), ("k", pa.int64()), ("kind", pa.string()),
                       ("start", pa.int64()), ("stop", pa.int64()), ("byte_order", pa.string()),
-                      ("ticks", pa.list_(pa.int64()))])
+                      ("ticks", pa.list_(pa.int64())), *more])
 
 
 def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -220,7 +304,7 @@ def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, k in zip(b.column("file").to_pylist(), b.column("k").to_pylist()):
-                yield _table(_probe(file, k, split_bytes), _splits_schema())
+                yield _table(_probe(file, k, split_bytes), _splits_schema(True))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,35 +312,115 @@ def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int
                 with Cursor(file) as cur:
                     yield _table(_walk(cur, file, split_bytes), _splits_schema())
 
-    probed = materialise(ranges.repartition(n).mapInArrow(probe, SPLITS_DDL), "capture-probes")
+    probed = materialise(ranges.repartition(n).mapInArrow(probe, PROBES_DDL), "capture-probes")
     by_file = Window.partitionBy("file")
     arrived = F.lag("stop").over(by_file.orderBy("k"))
-    proven = (F.col("kind") == "pcapng") | ((F.col("start") >= 0) & (
-        (F.col("k") == 0) | (arrived.eqNullSafe(F.col("start")))))
-    judged = probed.withColumn("_ok", proven).withColumn("_ok", F.min("_ok").over(by_file))
+    met = (F.col("start") >= 0) & ((F.col("k") == 0) | (arrived.eqNullSafe(F.col("start"))))
+    linked = probed.withColumn("_met", met)
+    names = [c.split()[0] for c in SPLITS_DDL.split(", ")]
+    plain = linked.filter("kind = 'pcap'").select(*names, F.col("_met").alias("_ok"))
+    blocks = carried(linked.filter("kind = 'pcapng'")).withColumnRenamed("_right", "_ok")
+    blocks = blocks.join(linked.select("file", "k", "_met"), ["file", "k"]).select(*names, (F.col("_ok") & F.col("_met")).alias("_ok"))
+    judged = plain.unionByName(blocks).withColumn("_ok", F.min("_ok").over(by_file))
     good = judged.filter("_ok").drop("_ok")
     doubtful = judged.filter(~F.col("_ok")).groupBy("file").agg(F.max("length").alias("length"))
     walked = doubtful.repartition(min(n, 1000), "file").mapInArrow(walk, SPLITS_DDL)
     return good.unionByName(walked).filter(F.col("start") < F.col("stop"))
 
 
-def _frames(cur: Cursor, split: dict) -> Iterator[tuple]:
-    """`(offset, microseconds, wire length, bytes)` of a split's packets."""
-    file, order, ticks = split["file"], split["byte_order"], split["ticks"]
+def _heads(buffer: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of the given places of a buffer as one Arrow column."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    index = np.arange(ends[-1]) + np.repeat(at - ends[:-1], sizes)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(buffer[index])])
+
+
+def _microseconds(ticks: np.ndarray, per: int) -> np.ndarray:
+    """Times in microseconds, rounded down; Python's integers where 64 bits might not do."""
+    if per > 10**12 or (len(ticks) and int(ticks.max()) // per > 2**62 // 1_000_000):
+        return np.array([int(t) * 1_000_000 // per for t in ticks], np.int64)
+    per = np.uint64(per)
+    million = np.uint64(1_000_000)
+    return ((ticks // per) * million + (ticks % per) * million // per).astype(np.int64)
+
+
+FRAMES = pa.schema([("file", pa.string()), ("ord", pa.int64()), ("ts_us", pa.int64()),
+                    ("wirelen", pa.int64()), ("frame", pa.binary()), ("caplen", pa.int64())])
+
+
+def _gathered(split: dict, cur: Cursor, base: int, raw: bytes, at: list[int], order: str, skip: int, ticks: list[int], head: int | None) -> pa.RecordBatch:
+    """The packets whose records or blocks start at the given places of a buffer, their fields taken all at once."""
+    buffer, at = np.frombuffer(raw, np.uint8), np.array(at, np.int64)
+    four = np.ascontiguousarray(buffer[at[:, None] + np.arange(skip)]).view(order + "u4").astype(np.uint64)
     if split["kind"] == "pcap":
-        per = ticks[0] // 1_000_000
-        for offset, sec, frac, captured, wire in _pcap_records(cur, order, split["start"], split["stop"]):
-            yield (file, offset, sec * 1_000_000 + frac // per, wire,
-                   cur.take(offset + RECORD_HEADER, captured))
-        return
-    for offset, kind, _, order, ticks in _blocks(cur, split["start"], split["stop"], order, ticks):
-        if kind not in (ENHANCED_PACKET, OLD_PACKET):
-            continue
-        layout = "IIIII" if kind == ENHANCED_PACKET else "HHIIII"
-        fields = struct.unpack(order + layout, cur.take(offset + 8, 20))
-        interface, (high, low, captured, wire) = fields[0], fields[-4:]
-        per = ticks[interface] if interface < len(ticks) else DEFAULT_TICKS
-        yield (file, offset, ((high << 32) | low) * 1_000_000 // per, wire, cur.take(offset + 28, captured))
+        per = ticks[0]
+        time = four[:, 0].astype(np.int64) * 1_000_000 + _microseconds(four[:, 1], per)
+        captured, wire = four[:, 2], four[:, 3]
+    else:
+        clock, old = four[:, 3] << np.uint64(32) | four[:, 4], four[:, 0] == OLD_PACKET
+        # An old packet block has two halves of a word for interface and drops.
+        halves = np.ascontiguousarray(buffer[at[:, None] + np.arange(8, 10)]).view(order + "u2")[:, 0]
+        interface = np.where(old, halves, four[:, 2]).astype(np.int64)
+        time = np.zeros(len(at), np.int64)
+        for one in np.unique(interface):
+            own = interface == one
+            time[own] = _microseconds(clock[own], ticks[one] if one < len(ticks) else DEFAULT_TICKS)
+        captured, wire = four[:, 5], four[:, 6]
+    there = np.minimum(captured.astype(np.int64), np.maximum(cur.length - base - at - skip, 0))
+    sizes = there if head is None else np.minimum(there, head)
+    return pa.RecordBatch.from_arrays([
+        pa.array([split["file"]] * len(at), pa.string()), pa.array(base + at), pa.array(time), pa.array(wire.astype(np.int64)),
+        _heads(buffer, at + skip, sizes), pa.array(there)], schema=FRAMES)
+
+
+def _frames(cur: Cursor, split: dict, head: int | None) -> Iterator[pa.RecordBatch]:
+    """A split's packets, a buffer at a time. Long frames are hopped over, and nothing behind the file's end is asked for."""
+    order, ticks, stop = split["byte_order"], list(split["ticks"]), split["stop"]
+    plain = split["kind"] == "pcap"
+    header, skip = (RECORD_HEADER, RECORD_HEADER) if plain else (12, 28)
+    offset, wanted = split["start"], BATCH_BYTES
+    while offset < stop:
+        raw = cur.take(offset, wanted)
+        whole = offset + len(raw) >= cur.length
+        at, found, need = 0, [], header
+        pair = struct.Struct(order + "II")
+        while offset + at < stop and at + header <= len(raw):
+            first, second = pair.unpack_from(raw, at + 8 if plain else at)
+            if plain:
+                step, captured = skip + first, first
+            elif first == SECTION or first == INTERFACE:
+                if found:
+                    break  # what is found goes out under the units it was found under
+                if first == SECTION:
+                    order, ticks = _section_order(cur, offset + at), []
+                    pair = struct.Struct(order + "II")
+                    step = pair.unpack_from(raw, at)[1]
+                else:
+                    step = second
+                    ticks = ticks + [_interface_ticks(cur.take(offset + at + 8, max(0, step - 12)), order)]
+                captured = None
+            else:
+                step = second
+                captured = None
+                if first in (ENHANCED_PACKET, OLD_PACKET) and step >= skip + 4:
+                    if at + skip > len(raw) and not whole:
+                        need = skip
+                        break
+                    captured = struct.unpack_from(order + "I", raw, at + 20)[0] if at + skip <= len(raw) else None
+            if not plain and (step < 12 or offset + at + step > cur.length):
+                stop = offset + at
+                break
+            if captured is not None:
+                need = skip + (captured if head is None else min(captured, head))
+                if at + need > len(raw) and not whole:
+                    break
+                found.append(at)
+            at += step
+        if found:
+            yield _gathered(split, cur, offset, raw, found, order, skip, ticks, head)
+        if not at and (whole or need <= wanted):
+            return
+        offset, wanted = offset + at, BATCH_BYTES if at else need
 
 
 def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES,
@@ -269,21 +433,11 @@ def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = S
     """
     splits = materialise(index_captures(spark, path, split_bytes), "capture-splits")
     n = max(1, min(splits.count(), 100_000))
-    schema = pa.schema([("file", pa.string()), ("ord", pa.int64()), ("ts_us", pa.int64()),
-                        ("wirelen", pa.int64()), ("frame", pa.binary()), ("caplen", pa.int64())])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for split in b.to_pylist():
-                rows, size = [], 0
                 with Cursor(split["file"]) as cur:
-                    for row in _frames(cur, split):
-                        rows.append((*row[:4], row[4][:head], len(row[4])))
-                        size += len(rows[-1][4]) + 64
-                        if size >= BATCH_BYTES:
-                            yield _table(rows, schema)
-                            rows, size = [], 0
-                if rows:
-                    yield _table(rows, schema)
+                    yield from _frames(cur, split, head)
 
     return splits.repartition(n).mapInArrow(frames, HEADS_SCHEMA)

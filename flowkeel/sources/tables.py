@@ -136,8 +136,38 @@ def geo_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start_ip_num"), (start + width).alias("end_ip_num"), F.col("n_name").alias("country_name"))
 
 
-def write_captures(frames: DataFrame, folder: str, files: int = 4) -> None:
-    """Writes frames as pcap files, one per time range, like rotated captures."""
+def pcap_records(ts: list[int], wire: list[int], frames: list[bytes], first: bool) -> bytes:
+    """Records in microseconds, behind the file's header if they are its first."""
+    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)] if first else []
+    out += [struct.pack("<IIII", t // 1_000_000, t % 1_000_000, len(f), w) + f for t, w, f in zip(ts, wire, frames, strict=True)]
+    return b"".join(out)
+
+
+def pcapng_blocks(ts: list[int], wire: list[int], frames: list[bytes], first: bool, section: int = 400) -> bytes:
+    """Sections in either byte order by turns, with an interface in microseconds and one in nanoseconds for every second packet."""
+    out = []
+
+    def block(order: str, kind: int, body: bytes) -> None:
+        body += bytes(-len(body) % 4)
+        size = struct.pack(order + "I", len(body) + 12)
+        out.append(struct.pack(order + "I", kind) + size + body + size)
+
+    order = "<"
+    for i, (t, w, f) in enumerate(zip(ts, wire, frames, strict=True)):
+        if i % section == 0:
+            order = "<>"[i // section % 2]
+            block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+            block(order, 1, struct.pack(order + "HHI", 1, 0, 65535))
+            block(order, 1, struct.pack(order + "HHIHHBxxx", 1, 0, 65535, 9, 1, 9))
+        ticks = t * 1000 if i % 2 else t
+        block(order, 6, struct.pack(order + "IIIII", i % 2, ticks >> 32, ticks & 0xFFFFFFFF, len(f), w) + f)
+    return b"".join(out)
+
+
+def write_captures(frames: DataFrame, folder: str, files: int = 4, ng: bool = False) -> None:
+    """Writes frames as pcap or pcapng files, one per time range, like rotated captures."""
+    written = pcapng_blocks if ng else pcap_records
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -145,15 +175,15 @@ def write_captures(frames: DataFrame, folder: str, files: int = 4) -> None:
         system, path = fs.FileSystem.from_uri(uri)
         system.create_dir(path)
         part = TaskContext.get().partitionId()
-        name = f"{path}/part-{part:05d}.pcap"
+        name = f"{path}/part-{part:05d}.pcap" + "ng" * ng
         attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
         n = 0
         with system.open_output_stream(attempt) as out:
-            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
             for b in batches:
-                for ts, wire, frame in zip(*(b.column(c).to_pylist() for c in ("ts_us", "wirelen", "frame"))):
-                    out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), wire) + frame)
-                    n += 1
+                out.write(written(*(b.column(c).to_pylist() for c in ("ts_us", "wirelen", "frame")), n == 0))
+                n += b.num_rows
+            if not n:
+                out.write(pcap_records([], [], [], True))
         system.move(attempt, name)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 

@@ -5,6 +5,7 @@ import struct
 
 import pytest
 
+from flowkeel.sources import captures
 from flowkeel.sources.captures import index_captures, read_frames
 
 
@@ -132,3 +133,84 @@ def test_frames_are_heads_by_default(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(pcap(recs, "<"))
     rows = read_frames(spark, f"{tmp_path}/*.pcap").orderBy("ord").collect()
     assert [(bytes(r["frame"]), r["caplen"]) for r in rows] == [(d[:78], len(d)) for *_, d in recs]
+
+
+def many_sections(n, seed=3):
+    """pcapng bytes whose sections, byte orders, interfaces and units change along the way, and what they hold."""
+    rng = random.Random(seed)
+    out, want, order, units = b"", [], "<", []
+    for i in range(n):
+        if i % 97 == 0:
+            order, units = rng.choice("<>"), [10**6]
+            out += section(order) + interface(order)
+        if rng.random() < 0.05:
+            power = rng.choice([0, 3, 9, 12])
+            units.append(10**power)
+            out += interface(order, power)
+        if rng.random() < 0.05:
+            out += block(order, 4, rng.randbytes(rng.randrange(60)))
+        data, k = rng.randbytes(rng.randrange(200)), rng.randrange(len(units))
+        ticks = rng.randrange(2**31) * units[k] + rng.randrange(units[k])
+        out += enhanced(order, ticks % 2**64, data, k, 1 + len(data))
+        want.append((ticks % 2**64 * 10**6 // units[k], 1 + len(data), data))
+    return out, want
+
+
+@pytest.mark.parametrize("split", [1 << 20, 3000, 700])
+def test_pcapng_ranges_carry_what_was_declared(spark, tmp_path, split):
+    for k in range(2):
+        raw, want = many_sections(500, k)
+        (tmp_path / f"{k}.pcapng").write_bytes(raw)
+        assert frames(spark, tmp_path / f"{k}.pcapng", split_bytes=split) == want
+    splits = index_captures(spark, str(tmp_path), split).orderBy("file", "k").collect()
+    assert all(a["stop"] == b["start"] for a, b in zip(splits, splits[1:]) if a["file"] == b["file"])
+
+
+def test_probes_of_pcapng_read_their_ranges_only(tmp_path, monkeypatch):
+    raw, _ = many_sections(6000)
+    (tmp_path / "a.pcapng").write_bytes(raw)
+    read = []
+    plain = captures.Cursor.take
+
+    def take(self, offset, size):
+        read.append((offset, offset + size))
+        return plain(self, offset, size)
+
+    monkeypatch.setattr(captures.Cursor, "take", take)
+    monkeypatch.setattr(captures, "MAX_BLOCK", 8192)
+    size = 100_000
+    probed = []
+    for k in range(-(-len(raw) // size)):
+        read.clear()
+        probed += captures._probe(str(tmp_path / "a.pcapng"), k, size)
+        own = [r for r in read if r[0] > 4]
+        assert min(r[0] for r in own) >= k * size - 4 or k == 0
+        assert max(r[1] for r in own) <= (k + 1) * size + 8192 + 4096
+    assert len(probed) > 5 and all(a[5] == b[4] for a, b in zip(probed, probed[1:]))
+
+
+def test_misleading_blocks_fall_back_to_walking(spark, tmp_path):
+    """Payloads that are runs of whole blocks put guesses off, not the result."""
+    bait = enhanced("<", 7, b"inside") * 40
+    (tmp_path / "a.pcapng").write_bytes(section("<") + interface("<") + b"".join(enhanced("<", i, bait) for i in range(40)))
+    assert frames(spark, tmp_path, split_bytes=1500) == [(i, len(bait), bait) for i in range(40)]
+
+
+def test_pcapng_tail_and_short_blocks(spark, tmp_path):
+    raw = section(">") + interface(">", 9) + enhanced(">", 5000, b"abc") + block(">", 6, b"\0" * 8) + enhanced(">", 9000, b"de")
+    (tmp_path / "a.pcapng").write_bytes(raw + enhanced(">", 1, b"cut off here")[:30])
+    assert frames(spark, tmp_path) == [(5, 3, b"abc"), (9, 2, b"de")]
+
+
+def test_corrupt_length_reads_no_further_than_the_file(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap([(1, 2, 3, b"abc")]) + struct.pack("<IIII", 9, 9, 2**32 - 1, 2**32 - 1) + b"rest")
+    got = read_frames(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(bytes(r["frame"]), r["caplen"]) for r in got] == [(b"abc", 3), (b"rest", 4)]
+
+
+def test_long_frames_are_hopped_over(spark, tmp_path, monkeypatch):
+    recs = [(i, 0, 3_000_000, bytes([i]) * 3_000_000) for i in range(1, 5)]
+    (tmp_path / "a.pcap").write_bytes(pcap(recs))
+    got = read_frames(spark, str(tmp_path), head=10).orderBy("ord").collect()
+    assert [(r["ts_us"], bytes(r["frame"]), r["caplen"]) for r in got] == [(i * 10**6, bytes([i]) * 10, 3_000_000) for i in range(1, 5)]
+    assert frames(spark, tmp_path) == expected(recs)
