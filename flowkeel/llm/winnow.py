@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from flowkeel.llm.frames import keyed, lower_ascii, same_row, sized
 from flowkeel.session import materialise
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same words before A-Z are lower-cased.
-ANY_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: ASCII digits and letters and all that is not ASCII. Said without a negation: Java matches that several times as fast.
+WORD = "[\\p{Alnum}\\P{ASCII}]+"
 WINDOW = 10
 GRAM = 5
 #: Low bits of a fingerprint that hold its position; longer texts repeat positions.
@@ -34,16 +33,40 @@ def words_of(text: str) -> Column:
     return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def tail(values: Column, skip: int) -> Column:
+    """The array without its first elements."""
+    return F.slice(values, skip + 1, F.greatest(F.size(values) - skip, F.lit(0)))
+
+
+def beside(values: Column, other: Column, ahead: int, merge) -> Column:
+    """merge(values[i], other[i + ahead]) for every i that has both; `other` is no longer than `values`."""
+    return F.zip_with(F.slice(values, 1, F.greatest(F.size(other) - ahead, F.lit(0))), tail(other, ahead), merge)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def folded(values: Column, span: int, merge) -> Column:
+    """All runs of `span` values merged, each from two shorter runs."""
+    if span == 1:
+        return values
+    if span % 2:
+        return bound(values, lambda v: beside(folded(v, span - 1, merge), v, span - 1, merge))
+    return bound(folded(values, span // 2, merge), lambda h: beside(h, h, span // 2, merge))
+
+
 def fingerprints(words: str, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """Distinct winnowed fingerprints of a text of `window` words or more: hash above, position below."""
-    n = F.size(words)
+    """Distinct winnowed fingerprints of a text of `window` words or more: hash above, position below.
+
+    Each word is hashed once; hashes of grams and minima of windows come from those of shorter runs.
+    """
     mask = (1 << PLACE_BITS) - 1
-    grams = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.shiftleft(
-        F.shiftright(F.xxhash64(F.slice(F.col(words), i + 1, gram)), PLACE_BITS), PLACE_BITS).bitwiseOR(
+    hashes = F.transform(F.col(words), lambda w: F.xxhash64(w))
+    placed = F.transform(folded(hashes, gram, lambda a, b: F.xxhash64(a, b)), lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(
         i.cast("long").bitwiseAND(F.lit(mask))))
-    span = window - gram + 1
-    return F.array_distinct(F.transform(
-        F.array(grams), lambda g: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.array_min(F.slice(g, i + 1, span))))[0])
+    return F.array_distinct(folded(placed, window - gram + 1, lambda a, b: F.least(a, b)))
 
 
 def pieces(words: str, length: int) -> Column:
@@ -100,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     each_doc = words.join(named, (words["doc_id"].eqNullSafe(named["doc_id"])) & (words["text_hash"] == named["text_hash"])).select(
         words["doc_id"], words["text_hash"], "n_hit", "items")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(
-        F.regexp_count(F.col("text"), F.lit(ANY_WORD)).cast("long"), F.lit(0).cast("long")).alias("n_words"))
+        F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("n_words"))
     none = F.array().cast("array<string>")
     return base.join(each_doc, same_row(base, each_doc), "left").select(
         base["doc_id"], base["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),

@@ -1,15 +1,17 @@
 """Page text, quality grades, packed ids, and the pipeline."""
 
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from flowkeel.llm import ordinal, packed, template
-from tests.llm.odd import documents, rows
+from flowkeel.llm import ordinal, packed, template, winnow
+from tests.llm.odd import documents, lower, rows
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -205,3 +207,21 @@ def test_pipeline_stages_bear_odd_documents(spark, sf_dir, number):
             assert out.dtypes == docs.dtypes
         if number == 0 or number == 2:
             assert len(got) <= d.count()
+
+
+def test_words_are_digits_letters_and_all_beyond_ascii(spark):
+    texts = ["".join(chr(c) for c in range(0, 0x180)), "Aİé_b \U0001f600x\U00020000 c-d　e", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(winnow.words_of("text").alias("w")).collect()
+    for row, t in zip(got, texts, strict=True):
+        assert row["w"] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 4, 5, 6, 7])
+def test_runs_from_shorter_runs(spark, span):
+    values = [[5, 3, 9, 1, 7, 7, 2, 8, 4], [1] * span, list(range(span, 0, -1))]
+    got = spark.createDataFrame([(v,) for v in values], "v array<long>").select(
+        winnow.folded(F.col("v"), span, lambda a, b: F.least(a, b)).alias("low"),
+        winnow.folded(F.col("v").cast("array<string>"), span, lambda a, b: F.concat(a, F.lit(" "), b)).alias("run")).collect()
+    for row, v in zip(got, values, strict=True):
+        runs = [v[i:i + span] for i in range(len(v) - span + 1)]
+        assert row["low"] == [min(r) for r in runs] and row["run"] == [" ".join(map(str, r)) for r in runs]
