@@ -103,18 +103,8 @@ def sketcher(width: int, rows: int, signer: Callable = signatures):
 INFO = "a binary, b binary, both long, size_a long, size_b long, extra array<long>"
 
 
-def comparer(percent: int):
-    """Sizes of a's and b's full sets and of what both have, and the first of the shingles that only b has.
-
-    A set close enough to b has `need` of those at least, so of any such two sets that far from a the
-    first ones in the order of their hashes, all but `need` - 1, have one in common.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return compared(batches, percent)
-    return run
-
-
-def compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of a's and b's full sets and of what both have, and the shingles that only b has."""
     known, known_set = None, None
     for batch in T.blocks(batches, "text_b"):
         heads = batch.column(0).to_pylist()
@@ -129,9 +119,7 @@ def compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             near = np.minimum(np.searchsorted(known_set, other), len(known_set) - 1)
             same = known_set[near] == other
             both[i], size_a[i] = same.sum(), len(known_set)
-            need = -(-percent * len(other) // 100) - int(both[i])
-            own = other[~same]
-            extra.append(own[:len(own) - max(0, need - 1)])
+            extra.append(other[~same])
         cuts = np.concatenate([[0], np.cumsum([len(e) for e in extra])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array(both), pa.array(size_a), pa.array(np.diff(first)),
@@ -139,7 +127,7 @@ def compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             names=["a", "b", "both", "size_a", "size_b", "extra"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes with what their full sets have in common.
 
     b's text travels to a's key once per pair and a's text once; adaptive execution splits
@@ -147,7 +135,7 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(comparer(percent), INFO)
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, INFO)
 
 
 def mixed(members: DataFrame) -> DataFrame:
@@ -162,8 +150,10 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
 
     `rest` are the members without the hub, with the hub's name. Two of them that share no shingle
     outside the hub's have at most min(both) in common; those for whom that is too little even
-    with the bucket's smallest set leave the bucket. Those that share such a shingle meet again in
-    the bucket of that shingle.
+    with the bucket's smallest set leave the bucket. A member that falls short of what any partner asks
+    by some shingles must share as many outside the hub. Taken in one order, those that few
+    members have first, two such members meet in the shingles before their last ones, all
+    but so many; only there do they meet again. What all have but the hub thus brings nobody together.
     """
     seen = rest.join(info, (rest["hub"] == info["a"]) & (rest["node"] == info["b"])).select(
         *[rest[c] for c in rest.columns], "both", "size_b", "extra")
@@ -171,8 +161,16 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     least = seen.groupBy("band", "hash").agg(F.min("size_b").alias("least"))
     kept = mixed(seen.join(least, ["band", "hash"]).filter(
         (100 + percent) * F.col("both") >= percent * (F.col("size_b") + F.col("least"))).select("band", "hash", "node", "weight", "root"))
-    outside = seen.select("hub", "node", "weight", "root", "extra").dropDuplicates(["hub", "node"]).select(
-        "hub", "node", "weight", "root", F.explode("extra").alias("shingle")).select(
+    one = seen.select("hub", "node", "weight", "root", "both", "size_b", "extra").dropDuplicates(["hub", "node"])
+    smallest = one.groupBy("hub").agg(F.min("size_b").alias("least"))
+    asked = F.ceil(percent * (F.col("size_b") + F.col("least")) / F.lit(100 + percent)) - F.col("both")
+    own = one.join(smallest, "hub").select("hub", "node", "weight", "root", (F.size("extra") - F.greatest(asked - 1, F.lit(0))).alias("reach"),
+                                           F.explode("extra").alias("shingle"))
+    own = materialise(own.filter("reach > 0"), "outside")
+    holders = own.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("hub", "node").orderBy("holders", "shingle")
+    outside = own.join(holders, ["hub", "shingle"]).withColumn("place", F.row_number().over(order)).filter(
+        (F.col("place") <= F.col("reach")) & (F.col("holders") > 1)).select(
         F.lit(-1 - turn).alias("band"), F.xxhash64("hub", "shingle").alias("hash"), "node", "weight", "root")
     return kept.union(mixed(outside))
 
@@ -241,7 +239,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         pairs = by_hub if pairs is None else pairs.union(by_hub).distinct()
         if info is not None:
             pairs = pairs.join(info, ["a", "b"], "left_anti")
-        found = materialise(compare(pairs, texts, percent), "compared")
+        found = materialise(compare(pairs, texts), "compared")
         info = found if info is None else info.union(found)
         linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
         if roots is None or found.filter(linked).limit(1).count():
@@ -265,9 +263,14 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
 
 
 def one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that lead their group; of equal rows one. Texts without words all stay."""
-    kept = near_groups(docs, percent).filter("kept").select("doc_id", "text_hash", "group").withColumn(
-        "free", F.col("group").isNull()).drop("group").distinct()
+    """The rows of docs, with all their columns, that lead their group; of equal rows one. Texts without words all stay.
+
+    A group leads with its smallest id, or with one of its rows where none has an id.
+    """
+    found = materialise(near_groups(docs, percent).select("doc_id", "text_hash", "group"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
+    leads = found.filter("group is not null").groupBy("group").agg(first).select("first.doc_id", "first.text_hash", F.lit(False).alias("free"))
+    kept = leads.union(found.filter("group is null").select("doc_id", "text_hash", F.lit(True)).distinct())
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
     both = rows.join(kept, same_row(rows, kept)).select(*[rows[c] for c in docs.columns], rows["text_hash"], "free")
     place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1)))

@@ -80,6 +80,38 @@ def test_empty_table_and_one_row_per_group(spark):
     assert len([r for r in got if shingles(r["text"])]) == len({frozenset(shingles(r["text"])) for r in got if shingles(r["text"])})
 
 
+def test_one_row_of_groups_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(None, text), (None, text), (None, text + " more"), (7, "other words than those before"), (7, "other words than those before"), (None, ""), (None, "")]
+    kept = circulant.one_per_group(spark.createDataFrame(data, "doc_id long, text string"), 80).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"]) > 100) for r in kept) == [(0, False), (0, False), (0, True), (7, False)]
+
+
+def unlinked(n, seed, base_too=False):
+    """Copies of a base, in a bucket with it and each other but not linked."""
+    rng = random.Random(seed)
+    base = [f"v{i}" for i in range(400)]
+    out = [list(base) for _ in range(n)]
+    for k, copy in enumerate(out):
+        for i in rng.sample(range(0, 400, 5), 11):
+            copy[i] = f"own{k}x{i}"
+    return [" ".join(t) for t in [base] * base_too + out]
+
+
+def test_pairs_grow_with_the_members_that_stay_apart(spark, monkeypatch):
+    seen = []
+    plain = circulant.compare
+    monkeypatch.setattr(circulant, "compare", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
+    made = {}
+    for n in (30, 120):
+        seen.clear()
+        data = list(enumerate(unlinked(n, n)))
+        got = groups(spark.createDataFrame(data, "doc_id long, text string"), 80)
+        assert got == brute(data, 80) and sum(1 for r in got if r[3]) == n
+        made[n] = sum(seen)
+    assert made[120] < 8 * made[30] and made[120] < 120 * 119 / 6
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
