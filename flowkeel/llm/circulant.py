@@ -32,9 +32,6 @@ from flowkeel.session import materialise, ship_package
 BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
-#: Where so few of a bucket stand apart from its largest component, they meet all its members;
-#: buckets of more components go on hub by hub.
-FEW = 100
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -100,17 +97,17 @@ def sketcher(width: int, rows: int, signer: Callable = signatures):
     return run
 
 
-INFO = "a binary, b binary, both long, size_a long, size_b long, extra array<long>"
+INFO = "a binary, b binary, both long, size_a long, size_b long, differ array<long>"
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of a's and b's full sets and of what both have, and the shingles that only b has."""
+    """Sizes of a's and b's full sets and of what both have, and the shingles that only one of them has."""
     known, known_set = None, None
     for batch in T.blocks(batches, "text_b"):
         heads = batch.column(0).to_pylist()
         data, at = T.text_buffers(batch.column(3))
         sets, first = T.shingle_sets(*T.word_hashes(data, at))
-        both, size_a, extra = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64), []
+        both, size_a, differ = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64), []
         for i, head in enumerate(heads):
             if head != known:
                 one = T.shingle_sets(*T.word_hashes(*T.text_buffers(batch.column(2).slice(i, 1))))
@@ -119,12 +116,14 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.minimum(np.searchsorted(known_set, other), len(known_set) - 1)
             same = known_set[near] == other
             both[i], size_a[i] = same.sum(), len(known_set)
-            extra.append(other[~same])
-        cuts = np.concatenate([[0], np.cumsum([len(e) for e in extra])]).astype(np.int32)
+            lacked = np.ones(len(known_set), bool)
+            lacked[near[same]] = False
+            differ.append(np.concatenate([other[~same], known_set[lacked]]))
+        cuts = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array(both), pa.array(size_a), pa.array(np.diff(first)),
-            pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(extra).view(np.int64)))],
-            names=["a", "b", "both", "size_a", "size_b", "extra"])
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(differ).view(np.int64)))],
+            names=["a", "b", "both", "size_a", "size_b", "differ"])
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,54 +144,60 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(open_, ["band", "hash"], "left_semi")
 
 
+def met_by_hubs(members: DataFrame) -> DataFrame:
+    """What a bucket's hub has to meet, with the hub's name and whether the bucket stays open.
+
+    The hub is the asking member with the largest buckets, or a member that alone stands apart from the
+    bucket's only other component. A bucket is open while members that may still ask each other span components;
+    in the hub's last meeting members of its own component have nothing to tell.
+    """
+    by_root = members.groupBy("band", "hash", "root").agg(F.count("*").alias("n"), F.max(F.struct("asks", "weight", "node", "root")).alias("best"))
+    hubs = by_root.groupBy("band", "hash").agg(
+        F.when(F.sum("n") - F.max("n") == 1, F.min_by("best", F.struct("n", "root"))).otherwise(F.max("best")).alias("h")).select(
+        "band", "hash", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root"))
+    rest = members.join(hubs, ["band", "hash"]).filter(F.col("node") != F.col("hub"))
+    state = rest.groupBy("band", "hash").agg(((F.min("root") != F.max("root")) & F.max("asks")).alias("open"))
+    return rest.join(state, ["band", "hash"]).filter(F.col("open") | (F.col("root") != F.col("hub_root"))).drop("hub_root")
+
+
 def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Who may still be linked across components once a bucket's hub has met all others.
-
-    `rest` are the members without the hub, with the hub's name. Two of them that share no shingle
-    outside the hub's have at most min(both) in common; those for whom that is too little even
-    with the bucket's smallest set leave the bucket. A member that falls short of what any partner asks
-    by some shingles must share as many outside the hub. Taken in one order, those that few
-    members have first, two such members meet in the shingles before their last ones, all
-    but so many; only there do they meet again. What all have but the hub thus brings nobody together.
+    """Who may still be linked across components once a bucket's hub has met all others, in new buckets.
+
+    `rest` are the members without the hub, with the hub's name. Let D(x) be the shingles that x or the
+    hub has but not both. What x and y differ in is what D(x) and D(y) differ in, so x and y are linked
+    if and only if D(x) and D(y) have (g(x) + g(y)) / (2 * (100 + percent)) shingles in common, with
+    g(x) = (100 + percent) * |D(x)| - (100 - percent) * |x|. That number is above 0 unless the hub
+    links both. Two linked members meet in what stands first in both when D is taken in one order, all but so
+    many; rare shingles come first. Of a pair the one with the smaller g asks, and knows that its partner's is not below; the
+    other one answers, and allows for the least g of any other component. Shingles where nobody asks make no bucket. So what
+    all share, or all have changed alike, brings nobody together, and copies that differ from a lost
+    original each in their own way never meet.
     """
-    seen = rest.join(info, (rest["hub"] == info["a"]) & (rest["node"] == info["b"])).select(
-        *[rest[c] for c in rest.columns], "both", "size_b", "extra")
-    seen = materialise(mixed(seen), "seen")
-    least = seen.groupBy("band", "hash").agg(F.min("size_b").alias("least"))
-    kept = mixed(seen.join(least, ["band", "hash"]).filter(
-        (100 + percent) * F.col("both") >= percent * (F.col("size_b") + F.col("least"))).select("band", "hash", "node", "weight", "root"))
-    one = seen.select("hub", "node", "weight", "root", "both", "size_b", "extra").dropDuplicates(["hub", "node"])
-    smallest = one.groupBy("hub").agg(F.min("size_b").alias("least"))
-    asked = F.ceil(percent * (F.col("size_b") + F.col("least")) / F.lit(100 + percent)) - F.col("both")
-    own = one.join(smallest, "hub").select("hub", "node", "weight", "root", (F.size("extra") - F.greatest(asked - 1, F.lit(0))).alias("reach"),
-                                           F.explode("extra").alias("shingle"))
-    own = materialise(own.filter("reach > 0"), "outside")
+    pair = (F.least(rest["hub"], rest["node"]) == info["a"]) & (F.greatest(rest["hub"], rest["node"]) == info["b"])
+    seen = rest.filter("open").join(info, pair).select(
+        *[rest[c] for c in rest.columns], F.when(rest["node"] == info["a"], F.col("size_a")).otherwise(F.col("size_b")).alias("size"), "differ")
+    one = mixed(seen).dropDuplicates(["hub", "node"]).select(
+        "hub", "node", "weight", "root", "differ", ((100 + percent) * F.size("differ") - (100 - percent) * F.col("size")).alias("g"))
+    one = materialise(one, "seen")
+    by_root = one.groupBy("hub", "root").agg(F.min("g").alias("g"))
+    first = by_root.groupBy("hub").agg(F.min(F.struct("g", "root")).alias("first"))
+    second = by_root.join(first, "hub").filter(F.col("root") != F.col("first.root")).groupBy("hub").agg(F.min("g").alias("second"))
+    least = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.g"))
+
+    def reach(partner):
+        return F.size("differ") - F.ceil((F.col("g") + partner) / F.lit(2 * (100 + percent))) + 1
+
+    own = one.join(first, "hub").join(second, "hub").withColumns({"answers": reach(least), "asking": reach(F.greatest("g", least))}).filter(
+        "answers > 0").select("hub", "node", "weight", "root", "answers", "asking", F.explode("differ").alias("shingle"))
+    own = materialise(own, "differ")
     holders = own.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
     order = Window.partitionBy("hub", "node").orderBy("holders", "shingle")
     outside = own.join(holders, ["hub", "shingle"]).withColumn("place", F.row_number().over(order)).filter(
-        (F.col("place") <= F.col("reach")) & (F.col("holders") > 1)).select(
-        F.lit(-1 - turn).alias("band"), F.xxhash64("hub", "shingle").alias("hash"), "node", "weight", "root")
-    return kept.union(mixed(outside))
-
-
-def cross_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components of the buckets in which few stand apart, and the members of the other buckets.
-
-    In such a bucket all but `FEW` members are of one component, so each is in few pairs. Those
-    that stand apart meet all others, each pair in the first bucket that has both.
-    """
-    by_root = members.groupBy("band", "hash", "root").agg(F.count("*").alias("n"))
-    main = by_root.groupBy("band", "hash").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("hash")).alias("buckets"))
-    known = members.join(main, ["band", "hash"])
-    few = materialise(known.filter(F.col("m") - F.col("most") <= FEW).join(lists, "node"), "few")
-    other = few.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("buckets").alias("buckets_b"))
-    apart = few.filter(F.col("root") != F.col("main"))
-    pairs = apart.join(other, ["band", "hash"]).filter(
-        (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node") < F.col("b")))
-        & (F.array_min(F.array_intersect("buckets", "buckets_b")) == F.col("hash")))
-    return (pairs.select(F.col("node").alias("a"), "b").distinct(),
-            known.filter(F.col("m") - F.col("most") > FEW).select(*members.columns))
+        (F.col("place") <= F.col("answers")) & (F.col("holders") > 1)).select(
+        F.lit(-1 - turn).alias("band"), F.xxhash64("hub", "shingle").alias("hash"), "node", "weight", "root",
+        (F.col("place") <= F.col("asking")).alias("asks"))
+    asked = outside.groupBy("band", "hash").agg(F.max("asks").alias("any")).filter("any").select("band", "hash")
+    return mixed(outside.join(asked, ["band", "hash"], "left_semi"))
 
 
 def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signatures) -> DataFrame:
@@ -203,10 +208,9 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
 
     In a bucket of band-equal nodes only the hub, the node whose buckets are largest, meets
     the others; members that it links need no links among themselves. A bucket that still
-    spans components gives up its hub, whose pairs are done. Of the others only those
-    stay that the hub does not rule out, or that share something the hub lacks, so
-    groups with many members too far apart are not compared member by member. Where at most `FEW`
-    are left apart from a bucket's largest component, they are compared with all its members.
+    spans components gives up its hub, whose pairs are done. The others meet again only where
+    they differ from the hub alike (`next_members`), in buckets with hubs of their own, until none
+    spans components. No pair is compared twice, in either direction.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -221,7 +225,8 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     sizes = spread.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1")
     shared = materialise(spread.join(sizes, ["band", "hash"]), "buckets")
     weight = shared.groupBy("node").agg(F.sum("m").alias("weight"))
-    members = materialise(shared.drop("m").join(weight, "node").withColumn("root", F.col("node")), "members")
+    members = materialise(shared.drop("m").join(weight, "node").withColumns(
+        {"root": F.col("node"), "asks": F.lit(True)}), "members")
     reps = nodes.join(weight.select("node"), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     texts = materialise(source.join(reps, (source["text_hash"] == reps["rhash"]) & source["doc_id"].eqNullSafe(
@@ -229,17 +234,15 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
 
     info = roots = None
     for turn in count():
-        pairs = None
-        if turn:
-            pairs, members = cross_pairs(members)
-        hubs = members.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("h")).select(
-            "band", "hash", F.col("h.node").alias("hub"))
-        rest = materialise(members.join(hubs, ["band", "hash"]).filter(F.col("node") != F.col("hub")), "rest")
-        by_hub = rest.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = by_hub if pairs is None else pairs.union(by_hub).distinct()
+        rest = materialise(met_by_hubs(members), "rest")
+        pairs = rest.groupBy(F.least("hub", "node").alias("lo"), F.greatest("hub", "node").alias("hi")).agg(F.min("hub").alias("a"))
         if info is not None:
-            pairs = pairs.join(info, ["a", "b"], "left_anti")
-        found = materialise(compare(pairs, texts), "compared")
+            pairs = pairs.join(info, (pairs["lo"] == info["a"]) & (pairs["hi"] == info["b"]), "left_anti")
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        turned = F.col("a") > F.col("b")
+        found = materialise(compare(pairs, texts).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
+            F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "differ"), "compared")
         info = found if info is None else info.union(found)
         linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
         if roots is None or found.filter(linked).limit(1).count():
@@ -247,7 +250,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         if not rest.limit(1).count():
             break
         known = roots.withColumnRenamed("root", "new_root")
-        rest = rest.join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
+        rest = rest.drop("asks").join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
         members = materialise(next_members(rest, info, percent, turn), "members")
         if not members.limit(1).count():
             break
