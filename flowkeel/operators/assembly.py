@@ -41,20 +41,17 @@ def orient(packets: DataFrame) -> DataFrame:
     })
 
 
-def assemble_flows(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
-    """One unlabelled flow per conversation, with no idle timeout.
+def flow_states(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of every conversation, from which its flow follows and which merge with those of other packets.
 
     The initiator sent the earliest packet; on equal times direction a to b wins.
     A key has only two endpoints, so the initiator is one bit: it rides in the
     lowest bit of the minimum of `2 * ts_us + (0 if a to b else 1)`. All buffers are
     longs, which keeps this one hash aggregation with map-side combine and no sort.
-    Where both addresses are equal every packet counts as sent by the source.
-
-    `per` adds key columns, e.g. `("file",)` for one set of flows per capture.
     """
     fwd = F.col("fwd")
     one_way = lambda c: F.sum(F.when(fwd, c).otherwise(F.lit(0).cast("bigint")))
-    sums = (
+    return (
         orient(packets)
         .groupBy(*per, *ENDPOINTS)
         .agg(
@@ -66,6 +63,20 @@ def assemble_flows(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
             one_way(F.col("size")).alias("bytes_fwd"),
         )
     )
+
+
+def merge_states(states: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """One state per conversation from states of parts of its packets, in any order."""
+    return states.groupBy(*per, *ENDPOINTS).agg(
+        F.min("first").alias("first"), F.max("last_us").alias("last_us"),
+        *[F.sum(c).alias(c) for c in ("n", "bytes", "n_fwd", "bytes_fwd")])
+
+
+def flows_of_states(sums: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """The unlabelled flow of every conversation's state.
+
+    Where both addresses are equal every packet counts as sent by the source.
+    """
     from_a = F.col("first").bitwiseAND(F.lit(1).cast("bigint")) == 0
     loop = F.col("ip_a") == F.col("ip_b")
 
@@ -96,6 +107,14 @@ def assemble_flows(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def assemble_flows(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """One unlabelled flow per conversation, with no idle timeout.
+
+    `per` adds key columns, e.g. `("file",)` for one set of flows per capture.
+    """
+    return flows_of_states(flow_states(packets, per), per)
+
+
 def port_dimension(spark: SparkSession, ports: dict[int, str] | None = None) -> DataFrame:
     rows = sorted((WELL_KNOWN_PORTS if ports is None else ports).items())
     return spark.createDataFrame(rows, "port int, app string")

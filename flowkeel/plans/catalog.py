@@ -16,6 +16,7 @@ from flowkeel.functions import net
 from flowkeel.operators import anomaly, assembly, features, geo, normalise, packets, profile
 from flowkeel.operators.autoencoder import Model, Network
 from flowkeel.params import FeatureParams, TrainParams
+from flowkeel.plans import capture as capture_plan
 from flowkeel.plans.baseline import build_baseline, chart_tables, profile_run_summary
 from flowkeel.plans.capture import capture_job
 from flowkeel.plans.training import train_and_flag
@@ -297,6 +298,17 @@ def capture_to_flows(spark, sf_dir):
     return flow_io.read_flows(spark, out)
 
 
+@query
+def capture_loads_to_flows(spark, sf_dir):
+    """Three loads of captures into a store of conversation states, the second one repeated; flows of all of them."""
+    frames, store = tables.frames_view(tables.packets_view(spark, sf_dir)), fresh_path(spark, "states")
+    for k in (0, 1, 1, 2):
+        folder = fresh_path(spark, "captures")
+        tables.write_captures(frames.filter(F.pmod("ord", F.lit(3)) == k), folder)
+        capture_plan.add_captures(spark, f"{folder}/*.pcap", store, f"day-{k}", split_bytes=64 << 10)
+    return capture_plan.stored_flows(spark, store)
+
+
 @query
 def canonical_direction(spark, sf_dir):
     return assembly.orient(tables.packets_view(spark, sf_dir)).select(

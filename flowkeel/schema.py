@@ -27,6 +27,21 @@ PACKETS_SCHEMA = T.StructType([
     T.StructField("size", T.LongType()),
 ])
 
+# What is kept of a conversation, to be merged with what later captures hold of it.
+STATES_SCHEMA = T.StructType([
+    T.StructField("ip_a", T.StringType()),
+    T.StructField("port_a", T.IntegerType()),
+    T.StructField("ip_b", T.StringType()),
+    T.StructField("port_b", T.IntegerType()),
+    T.StructField("proto", T.StringType()),
+    T.StructField("first", T.LongType()),
+    T.StructField("last_us", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("n_fwd", T.LongType()),
+    T.StructField("bytes_fwd", T.LongType()),
+])
+
 FLOWS_SCHEMA = T.StructType([
     T.StructField("time_us", T.LongType()),
     T.StructField("duration_us", T.LongType()),
