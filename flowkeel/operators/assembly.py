@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkeel.schema import FLOW_COLUMNS
@@ -41,7 +41,7 @@ def orient(packets: DataFrame) -> DataFrame:
     })
 
 
-def flow_states(packets: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+def flow_states(packets: DataFrame, per: tuple[str | Column, ...] = ()) -> DataFrame:
     """Sums of every conversation, from which its flow follows and which merge with those of other packets.
 
     The initiator sent the earliest packet; on equal times direction a to b wins.

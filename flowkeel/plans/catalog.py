@@ -25,12 +25,18 @@ from flowkeel.sources import baseline as baseline_io
 from flowkeel.sources import captures, metrics
 from flowkeel.sources import flows as flow_io
 from flowkeel.sources import tables
+from flowkeel.sources.capture_format import read_captures, stream_frames
 from flowkeel.sources.geo import try_read_geo
+from flowkeel.streaming import flows as streamed
+from flowkeel.streaming.runs import append_arrived
+from flowkeel.streaming.scoring import stream_flows
+from flowkeel.streaming.windows import stream_windowed_traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RARE_DST_THRESHOLD = 20
+IDLE_SEC, DELAY_SEC = 86_400, 3_600
 
 
 def query(fn: Query) -> Query:
@@ -44,6 +50,13 @@ def stored_flows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return materialise(flows.select(*columns) if columns else flows, "flows")
 
 
+def in_turn(df: DataFrame, time: str, loads: int) -> list[DataFrame]:
+    """The rows in loads of equal spans of time, as they would arrive."""
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    cuts = [lo + (hi + 1 - lo) * k // loads for k in range(loads + 1)] if lo is not None else [0] * (loads + 1)
+    return [df.filter((F.col(time) >= a) & (F.col(time) < b)) for a, b in zip(cuts, cuts[1:])]
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Rounds every floating column, `special` ones to their own digits."""
     return df.select(*[
@@ -289,6 +302,32 @@ def capture_scan_ng(spark, sf_dir):
     return packets.decode_packets(captures.read_frames(spark, f"{folder}/*.pcapng", split_bytes=32 << 10))
 
 
+@query
+def capture_format_scan(spark, sf_dir):
+    """The same events through Spark's own reader, a task for each proven range."""
+    folder = fresh_path(spark, "captures")
+    tables.write_captures(tables.frames_view(tables.packets_view(spark, sf_dir)), folder)
+    return packets.decode_packets(read_captures(spark, f"{folder}/*.pcap", split_bytes=64 << 10))
+
+
+@query
+def idle_flows(spark, sf_dir):
+    """Flows that end with a day's silence."""
+    return streamed.idle_flows(tables.packets_view(spark, sf_dir), IDLE_SEC)
+
+
+@query
+def idle_flows_stream(spark, sf_dir):
+    """The same flows from captures that arrive in three loads, a stream started anew after each."""
+    frames = materialise(tables.frames_view(tables.packets_view(spark, sf_dir)), "frames")
+    folder, out, checkpoint = (fresh_path(spark, n) for n in ("captures", "flows", "stream"))
+    for k, part in enumerate(in_turn(frames, "ts_us", 3)):
+        tables.write_captures(part, f"{folder}/{k}", files=2)
+        arriving = packets.decode_packets(stream_frames(spark, f"{folder}/*"))
+        append_arrived(streamed.idle_flows(arriving, IDLE_SEC, delay_sec=DELAY_SEC), out, checkpoint)
+    return spark.read.parquet(out)
+
+
 @query
 def capture_to_flows(spark, sf_dir):
     """The whole assembly job, from capture files to flow Parquet."""
@@ -399,6 +438,17 @@ def sliding_window_traffic(spark, sf_dir):
                       "flows", "bytes", "packets", "sources", "destinations")
 
 
+@query
+def window_traffic_stream(spark, sf_dir):
+    """Volumes per window from flow files that arrive in three loads; the approximate distinct counts are left to a test."""
+    flows = stored_flows(spark, sf_dir)
+    folder, out, checkpoint = (fresh_path(spark, n) for n in ("flows", "windows", "stream"))
+    for part in in_turn(flows, "time_us", 3):
+        flow_io.write_flows(part, folder, mode="append")
+        append_arrived(stream_windowed_traffic(stream_flows(spark, folder), delay_sec=DELAY_SEC), out, checkpoint)
+    return spark.read.parquet(out).select(F.unix_micros("window_start").alias("start_us"), "flows", "bytes", "packets")
+
+
 # Features --------------------------------------------------------------------------------------
 
 
