@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowkeel.functions import net
 from flowkeel.operators import anomaly, assembly, features, geo, normalise, packets, profile
 from flowkeel.operators.autoencoder import Model, Network
+from flowkeel.operators.estimator import ReconstructionModel, SigmaEstimator
 from flowkeel.params import FeatureParams, TrainParams
 from flowkeel.plans import capture as capture_plan
 from flowkeel.plans.baseline import build_baseline, chart_tables, profile_run_summary
@@ -595,6 +597,18 @@ def plain_model_scores(spark, sf_dir):
     return rounded(_keyed(scored, ["recon_error"]))
 
 
+@query
+def stored_model_scores(spark, sf_dir):
+    """The same errors and flags from a pipeline that was saved and loaded."""
+    vectors = materialise(_vectors(spark, sf_dir), "features")
+    network = Network.symmetric(len(features.feature_names(FeatureParams())), PLAIN_HIDDEN, PLAIN_LATENT)
+    weights = np.array([plain_weight(k) for k in range(network.size)])
+    scorer = ReconstructionModel(Model(network, {0: weights}, TrainParams()))
+    path = fresh_path(spark, "pipeline")
+    PipelineModel([scorer, SigmaEstimator().fit(scorer.transform(vectors))]).save(path)
+    return rounded(_keyed(PipelineModel.load(path).transform(vectors), ["recon_error", "is_anomaly"]))
+
+
 def _run(spark, sf_dir, **kw):
     flows = stored_flows(spark, sf_dir)
     rows, rare = _profile_and_rare(spark, flows)
