@@ -13,8 +13,10 @@ Text in the slot is template text if its class is valid, holds an element too, a
 the host's pages, at least three, not all copies of one. A page keeps the texts of a class that come in
 another order than on the host as a whole. Headings and labels of tables and lists stay, and
 so does all text where more than half of the slot's would go: such pages are near-copies.
-Boilerplate tags and names are dropped besides; names that may as well be an article's own
-words count only if the marked element repeats like template text.
+Boilerplate tags and names are dropped besides. Inside an article, names that may as well be its own words
+count if the marked element repeats like template text or, on hosts of any size, if the name says nothing
+else (`user-comments`, not `comments-on-the-proof`) and there is more text beside: always for
+readers' remarks, for other parts if they hold at most half as much as what is beside them.
 
 A vector is carried as the sum of 62-bit hashes of (page, count), so hosts of any size meet
 as sums, made in each task before the shuffle.
@@ -30,6 +32,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -60,6 +63,12 @@ share sharing sidebar social sponsor sponsored subscribe toolbar widget compleme
 #: Marks that articles use for parts of their own too.
 AMBIGUOUS = frozenset("""comment comments menu navigation notice notices promo related replies share sharing social sponsor toolbar
 widget""".split())
+#: Marks of what readers say.
+REMARKS = frozenset("comment comments disqus replies".split())
+#: Words that say in a name how a part is laid out or whose it is, not what it is about.
+LAYOUT = frozenset("""area articles bar block box btn button buttons container content footer group header icons inner items left
+line link links list main module outer page panel post posts reader readers right row section site slot stories
+thread top unit user users wrap wrapper""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are content inside an article or main, whatever their names.
 PROSE = frozenset("p pre blockquote figure figcaption table caption thead tbody tfoot tr td th dl dt dd li".split())
@@ -80,6 +89,8 @@ class Page:
         self.counts: dict[str, int] = {}
         self.places: dict[str, int] = {}
         self.suspects: set[str] = set()
+        #: Suspects whose name says nothing else, with whether it means readers' remarks.
+        self.plain: dict[str, bool] = {}
         #: Block number, boilerplate, path, text, suspect elements around it, place.
         self.texts: list[tuple[int, bool, str, str, tuple[str, ...], int]] = []
         stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # tag, path, boilerplate, suspects
@@ -122,7 +133,7 @@ class Page:
             words, whole, hidden = self.names(m[3])
             inside = any(entry[0] in CONTENT for entry in stack)
             drops = tag in BOILERPLATE and not (tag == "svg" and inside)
-            marked, suspect = self.standing(tag, words, whole, inside)
+            marked, suspect, plain = self.standing(tag, words, whole, inside)
             own = tag in BLOCK or tag in BOILERPLATE or bool(suspect)
             name = f"{path}/{tag}{'.' + (suspect or words[0]) if words else ''}" if own else path
             if own:
@@ -131,6 +142,8 @@ class Page:
             around = held
             if suspect:
                 self.suspects.add(name)
+                if plain:
+                    self.plain[name] = not REMARKS.isdisjoint(named(suspect))
                 around = (*held, name)
             out = off or hidden or drops or marked or (tag in HEADERS and not inside)
             if tag in VOID:
@@ -171,13 +184,23 @@ class Page:
         return words, whole, hidden
 
     @staticmethod
-    def standing(tag: str, words: list[str], whole: list[str], inside: bool) -> tuple[bool, str]:
-        """Whether the names mark boilerplate by themselves, or else the name that needs the host's evidence."""
-        if not words or tag in ("html", "body", "article", "main") or tag in HEADINGS or (inside and tag in PROSE):
-            return False, ""
-        if any(w in MARKS and not (inside and w in AMBIGUOUS) for w in whole):
-            return True, ""
-        return False, next((w for w in whole if any(x in MARKS for x in re.findall(r"[a-z0-9]+", w))), "").replace("/", "-")
+    def standing(tag: str, words: list[str], whole: list[str], inside: bool) -> tuple[bool, str, bool]:
+        """Whether the names mark boilerplate by themselves; or else the name that needs more evidence, and whether it is plain:
+        made of marks and words of layout alone, so that the page's own evidence will do."""
+        if not words or tag in ("html", "body", "main") or tag in HEADINGS:
+            return False, "", False
+        plain = [w for w in whole if is_plain(w)]
+        if tag == "article":
+            plain = [w for w in plain if not REMARKS.isdisjoint(named(w))]
+        if inside and tag in PROSE and tag != "p":
+            plain = [w for w in plain if AMBIGUOUS.isdisjoint(named(w))]
+        if any((w in MARKS and not (inside and w in AMBIGUOUS)) or (not inside and not REMARKS.isdisjoint(named(w))) for w in plain):
+            return True, "", False
+        if plain:
+            return False, plain[0].replace("/", "-"), True
+        if tag == "article" or (inside and tag in PROSE):
+            return False, "", False
+        return False, next((w for w in whole if not MARKS.isdisjoint(named(w))), "").replace("/", "-"), False
 
     def held(self) -> dict[str, int]:
         """Characters outside boilerplate under every path, the whole page's under the empty one."""
@@ -218,20 +241,54 @@ class Page:
                 got.append((t["class"], i))
         return {i for c, i in got if c not in broken}
 
+    def remarks(self, slot: str, gone: set[int]) -> set[str]:
+        """Elements in the slot that go on the page's own evidence: readers' remarks, and other plainly named parts with at most
+        half of the text beside them. None go where nothing would be left."""
+        if not self.plain:
+            return set()
+        beside, sizes = 0, dict.fromkeys(self.plain, 0)
+        for i, (_, off, path, text, held, _) in enumerate(self.texts):
+            if off or i in gone or not within(path, slot):
+                continue
+            around = [h for h in held if h in self.plain and within(h, slot)]
+            size = len(text.strip())
+            if not around:
+                beside += size
+            for h in around:
+                sizes[h] += size
+        return {h for h, size in sizes.items() if beside and within(h, slot) and (self.plain[h] or 2 * size <= beside)}
+
     def main(self, slot: str | None, classed: list[dict] | None = None, marks: list[str] | None = None) -> str:
         """Text under the slot, block by block; a page without it uses its own content element."""
         if slot is None or (slot and slot not in self.counts):
             slot = self.own_slot()
-        gone = self.template(classed) if classed else ()
-        dropped = set(marks or ())
+        gone = self.template(classed) if classed else set()
+        dropped = set(marks or ()) | self.remarks(slot, gone)
         blocks: dict[int, list[str]] = {}
         for i, (block, off, path, text, held, _) in enumerate(self.texts):
-            if not off and i not in gone and (not slot or path == slot or path.startswith(slot + "/")) and dropped.isdisjoint(held):
+            if not off and i not in gone and within(path, slot) and dropped.isdisjoint(held):
                 blocks.setdefault(block, []).append(text)
         clean = (" ".join("".join(b).split()) for b in blocks.values())
         return "\n\n".join(b for b in clean if b)
 
 
+@lru_cache(maxsize=4096)
+def named(name: str) -> frozenset[str]:
+    """The words of one name."""
+    return frozenset(re.findall(r"[a-z0-9]+", name))
+
+
+@lru_cache(maxsize=4096)
+def is_plain(name: str) -> bool:
+    """Whether a name is made of marks and, besides, words of layout and numbers alone."""
+    words = named(name)
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in LAYOUT or w.isdigit() for w in words)
+
+
+def within(path: str, slot: str) -> bool:
+    return not slot or path == slot or path.startswith(slot + "/")
+
+
 def tag_of(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
