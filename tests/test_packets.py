@@ -3,8 +3,11 @@
 import socket
 import struct
 
+import pytest
+
 from flowkeel.operators.packets import decode_packets
 from flowkeel.schema import FRAMES_SCHEMA
+from flowkeel.sources.tables import frames_view
 
 
 def frame(src="10.0.0.1", dst="10.0.0.2", sport=1234, dport=80, proto=6, ihl=5, ethertype=0x0800, payload=b""):
@@ -43,3 +46,19 @@ def test_kept_and_dropped(spark):
 def test_address_extremes(spark):
     out = decode(spark, [(frame(src="255.255.255.255", dst="0.0.0.0", sport=0, dport=2828), 1)])
     assert tuple(out[0])[2:6] == ("255.255.255.255", "0.0.0.0", 0, 2828)
+
+
+def test_clients_keep_their_own_addresses(spark):
+    """Numbers above 255 carry; cut to a byte, 10.0.351.3 and 10.0.21.3 were one client."""
+    ips = ["10.0.21.3", "10.0.351.3", "10.0.255.255", "10.0.256.0", "255.255.255.255", "0.0.0.0"]
+    rows = [(i, i, ip, "192.168.1.1", 32768, 80, "TCP", 40) for i, ip in enumerate(ips)]
+    packets = spark.createDataFrame(rows, "ord bigint, ts_us bigint, src_ip string, dst_ip string, sport int, dport int, proto string, size bigint")
+    out = decode_packets(frames_view(packets), keep=("ord",)).orderBy("ord").collect()
+    assert [r["src_ip"] for r in out] == ["10.0.21.3", "10.1.95.3", "10.0.255.255", "10.1.0.0", "255.255.255.255", "0.0.0.0"]
+
+
+def test_an_address_beyond_four_bytes_is_an_error(spark):
+    rows = [(0, 0, "256.0.0.0", "192.168.1.1", 32768, 80, "TCP", 40)]
+    packets = spark.createDataFrame(rows, "ord bigint, ts_us bigint, src_ip string, dst_ip string, sport int, dport int, proto string, size bigint")
+    with pytest.raises(Exception, match="no address of four bytes"):
+        frames_view(packets).collect()
