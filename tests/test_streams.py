@@ -163,3 +163,18 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
     with pytest.raises(ValueError):
         stream_windowed_traffic(make_flows(spark, *late), overlap=1.0)
+
+
+def test_quiet_windows_hold_small_sketches(spark, tmp_path):
+    """5,000 windows of a flow each: full sketches would be 3 KB each and are 820 numbers a window in the plan."""
+    rows = make_flows(spark, *[dict(time_us=i * 600 * SECOND, src_ip=f"10.0.{i // 256}.{i % 256}") for i in range(5_000)])
+    plan = stream_windowed_traffic(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" not in plan and "hll_sketch_agg" in plan
+    write_flows(rows, str(tmp_path / "in"))
+    append_arrived(stream_windowed_traffic(stream_flows(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "log"))
+    state = sum(f.stat().st_size for f in (tmp_path / "log" / "state").rglob("*.delta"))
+    assert 0 < state < 4_000_000
+    got = spark.read.parquet(str(tmp_path / "out")).agg(F.count("*"), F.min("sources"), F.max("destinations")).first()
+    assert got[0] > 9_000 and got[1] == 1 and got[2] == 1
+    empty = stream_windowed_traffic(make_flows(spark, dict(src_ip=None, dst_ip=None))).agg(F.max("sources"), F.max("destinations")).first()
+    assert tuple(empty) == (0, 0)
