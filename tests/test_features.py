@@ -1,5 +1,6 @@
 """Feature slots on edge values, and the lookup join behind the rare flag."""
 
+import itertools
 import math
 
 import pytest
@@ -107,3 +108,22 @@ def test_large_lookup_keeps_hot_keys_out_of_the_shuffle(spark):
 
 def test_broadcast_is_size_checked(spark):
     assert fits_broadcast(spark.range(10), 10) and not fits_broadcast(spark.range(11), 10)
+
+
+def test_no_computed_column_is_shuffled_with_the_lookup(spark):
+    """The vectors' numbers come from columns that are there already, behind the join."""
+    flows = make_flows(spark, *[dict(src_ip=f"10.0.0.{i}", src_bytes=i) for i in range(20)])
+    rare = spark.createDataFrame([("10.0.0.3", 1)], "src_ip string, n bigint")
+    profile = spark.createDataFrame([(m, 1.0, 2.0) for m in features.ROBUST.values()], "metric string, median double, iqr double")
+    out = features.build_features(flows, profile, rare, broadcast_rows=0, share=1.0)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join LeftOuter" in line]
+    assert joins
+    for i in joins:
+        depth = lines[i].index("Join")
+        below = itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, lines[i + 1:])
+        assert not any("raw_src_bytes" in line or "robust_src_bytes" in line for line in below)
+    got = {r["src_bytes"]: r["features"][features.feature_names(FeatureParams()).index("rare_src_ip")] for r in out.collect()}
+    assert got == {i: float(i == 3) for i in range(20)}
+    marked = features.rare_feature(flows, rare)
+    assert rows_of(features.build_features(marked, profile, None).select(*out.columns)) == rows_of(out)
