@@ -190,6 +190,20 @@ def test_states_are_sent_in_parts(spark, table, monkeypatch):
     assert len(parts) == 7 and all(np.allclose(whole[s], parts[s]) for s in whole)
 
 
+def test_rows_are_scored_where_they_are(spark, table, monkeypatch):
+    """Independent models score without a shuffle of the rows, and alike where they are too many for that."""
+    p = TrainParams(sync="none", **{**SMALL, "shards": 7})
+    dealt = assign_shards(table, 7)
+    model = Autoencoder(p).fit(dealt)
+    scored = model.score(dealt)
+    assert "Exchange" not in plan_of(scored)
+    here = {tuple(r["features"]): r["recon_error"] for r in scored.collect()}
+    monkeypatch.setattr(autoencoder, "SENT_STATES", 3)
+    sent = model.score(dealt)
+    assert "Exchange" in plan_of(sent)
+    assert {tuple(r["features"]): r["recon_error"] for r in sent.collect()} == pytest.approx(here)
+
+
 def test_number_of_shards_follows_the_rows():
     assert TrainParams().shards_for(0) == TrainParams().shards_for(10**6) == 8
     assert TrainParams().shards_for(100_000_001) == 51 and TrainParams(shards=3).shards_for(10**9) == 3
