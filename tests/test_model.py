@@ -1,5 +1,7 @@
 """Training, scoring and the three-sigma rule against plain NumPy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,11 @@ from flowkeel.operators import anomaly
 from flowkeel.operators import autoencoder
 from flowkeel.operators.autoencoder import (AdamState, Autoencoder, Network, ShardTrainer, assign_shards, deal, get_model, slots,
                                             row_order)
-from flowkeel.params import TrainParams
+from flowkeel.operators.features import build_features, rare_feature, vector_inputs
+from flowkeel.params import FeatureParams, TrainParams
 from flowkeel.plans.training import train_and_flag, write_run
 from flowkeel.operators.profile import numeric_profile, rare_values
-from flowkeel.session import materialise
+from flowkeel.session import materialise, shared_dir
 from helpers import plan_of
 
 SMALL = dict(hidden_dims=(6, 4), latent_dim=2, batch_size=16, epochs=3, learning_rate=0.01)
@@ -176,6 +179,37 @@ def test_epochs_read_buckets_without_exchange_or_sort(spark, table, matrix):
     assert done == want and len(rows.inputFiles()) == len(want)
 
 
+def test_vectors_are_stored_in_blocks_and_built_where_they_are_trained(spark, flows):
+    """Only a vector's sources are shuffled, and the stored blocks hold each shard's vectors in its order."""
+    rows = numeric_profile(flows)
+    marked = materialise(rare_feature(flows, rare_values(flows, "src_ip")), "marked")
+    own, source = [*flows.columns, "features"], vector_inputs(FeatureParams())
+    whole = build_features(marked, rows, None)
+    dealt = assign_shards(whole, 3, own).withColumn("place", row_order(whole, own))
+    plans = []
+    blocks = deal(dealt, 3, source, lambda df: plans.append(df) or build_features(df, rows, None))
+    assert set(plans[0].columns) == {"shard", "place", *source} and "features" not in source
+    direct = materialise(build_features(flows, rows, rare_values(flows, "src_ip")), "direct")
+    want = assign_shards(direct, 3).withColumn("place", row_order(direct)).orderBy("shard", "place").collect()
+    stored = blocks.orderBy("shard", "part").collect()
+    assert len(stored) < len(want) / 100
+    for shard in range(3):
+        own_blocks = [b for b in stored if b["shard"] == shard]
+        got = autoencoder.unpacked([b["n"] for b in own_blocks], [b["vectors"] for b in own_blocks])
+        assert got.tolist() == [r["features"] for r in want if r["shard"] == shard]
+
+
+def test_runs_that_only_train_store_no_scores(spark, flows):
+    profile, rare = numeric_profile(flows), rare_values(flows, "src_ip")
+    root = shared_dir(spark)
+    before = set(os.listdir(root))
+    run = train_and_flag(flows, profile, rare, train=TrainParams(epochs=1), store=False)
+    assert run.model.metrics.count() > 1
+    new = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before}
+    assert "training-rows" in new and not new & {"features", "marked", "scores"}
+    assert run.flagged.count() == flows.count()
+
+
 @pytest.mark.parametrize("shards", [1, 2, 13, 300])
 def test_slots_fill_every_bucket_once(spark, shards):
     got = [(r["shard"], r["slot"]) for r in slots(spark, shards).collect()]
