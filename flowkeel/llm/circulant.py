@@ -160,10 +160,15 @@ def met_by_hubs(members: DataFrame) -> DataFrame:
     return rest.join(state, ["band", "hash"]).filter(F.col("open") | (F.col("root") != F.col("hub_root"))).drop("hub_root")
 
 
+def still_open(rest: DataFrame) -> DataFrame:
+    """The members, each once for every hub it has met, of the open buckets that still span components."""
+    return mixed(rest.filter("open")).select("hub", "node", "weight", "root").dropDuplicates(["hub", "node"])
+
+
 def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> DataFrame:
     """Who may still be linked across components once a bucket's hub has met all others, in new buckets.
 
-    `rest` are the members without the hub, with the hub's name. Let D(x) be the shingles that x or the
+    `rest` has the open buckets' members (`still_open`). Let D(x) be the shingles that x or the
     hub has but not both. What x and y differ in is what D(x) and D(y) differ in, so x and y are linked
     if and only if D(x) and D(y) have (g(x) + g(y)) / (2 * (100 + percent)) shingles in common, with
     g(x) = (100 + percent) * |D(x)| - (100 - percent) * |x|. That number is above 0 unless the hub
@@ -174,10 +179,9 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     original each in their own way never meet.
     """
     pair = (F.least(rest["hub"], rest["node"]) == info["a"]) & (F.greatest(rest["hub"], rest["node"]) == info["b"])
-    seen = rest.filter("open").join(info, pair).select(
-        *[rest[c] for c in rest.columns], F.when(rest["node"] == info["a"], F.col("size_a")).otherwise(F.col("size_b")).alias("size"), "differ")
-    one = mixed(seen).dropDuplicates(["hub", "node"]).select(
-        "hub", "node", "weight", "root", "differ", ((100 + percent) * F.size("differ") - (100 - percent) * F.col("size")).alias("g"))
+    size = F.when(rest["node"] == info["a"], F.col("size_a")).otherwise(F.col("size_b"))
+    one = rest.join(info, pair).select(
+        "hub", "node", "weight", "root", "differ", ((100 + percent) * F.size("differ") - (100 - percent) * size).alias("g"))
     one = materialise(one, "seen")
     by_root = one.groupBy("hub", "root").agg(F.min("g").alias("g"))
     first = by_root.groupBy("hub").agg(F.min(F.struct("g", "root")).alias("first"))
@@ -229,6 +233,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         {"root": F.col("node"), "asks": F.lit(True)}), "members")
     reps = nodes.join(weight.select("node"), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
+    reps = materialise(reps, "reps")
     texts = materialise(source.join(reps, (source["text_hash"] == reps["rhash"]) & source["doc_id"].eqNullSafe(
         reps["rid"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
@@ -239,6 +244,8 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         if info is not None:
             pairs = pairs.join(info, (pairs["lo"] == info["a"]) & (pairs["hi"] == info["b"]), "left_anti")
         pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        # Stored, few pairs are sent to the texts, and not all texts to the pairs.
+        pairs = materialise(pairs, "pairs")
         turned = F.col("a") > F.col("b")
         found = materialise(compare(pairs, texts).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
@@ -251,7 +258,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
             break
         known = roots.withColumnRenamed("root", "new_root")
         rest = rest.drop("asks").join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
-        members = materialise(next_members(rest, info, percent, turn), "members")
+        members = materialise(next_members(materialise(still_open(rest), "open"), info, percent, turn), "members")
         if not members.limit(1).count():
             break
 

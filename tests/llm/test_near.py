@@ -69,6 +69,18 @@ def test_bucket_of_near_copies_with_members_that_stay_apart(spark):
     assert groups(df, 85) == brute(data, 85)
 
 
+def test_pairs_are_stored_before_they_meet_the_texts(spark, monkeypatch):
+    """A turn's pairs are read from a table of known size, and members meet what they differ in once for every hub."""
+    plans, hubs, compare, following = [], [], circulant.compare, circulant.next_members
+    monkeypatch.setattr(circulant, "compare", lambda pairs, texts: plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+                        or compare(pairs, texts))
+    monkeypatch.setattr(circulant, "next_members", lambda rest, *a: hubs.append((rest.count(), rest.select("hub", "node").distinct().count()))
+                        or following(rest, *a))
+    assert groups(documents(spark), 85) == brute(rows(), 85)
+    assert plans and not any("Exchange" in p for p in plans)
+    assert hubs and all(n == distinct for n, distinct in hubs)
+
+
 def test_empty_table_and_one_row_per_group(spark):
     empty = documents(spark, lambda r: False)
     assert groups(empty, 80) == []
