@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.llm import text as T
-from flowkeel.llm.frames import same_row
+from flowkeel.llm.frames import same_row, sieved
 from flowkeel.llm.graph import components
-from flowkeel.session import materialise, ship_package
+from flowkeel.session import bucketed, fresh_path, materialise, ship_package
 
 BINS = 1 << 21
 ROWS = 5
@@ -129,11 +129,13 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes with what their full sets have in common.
 
-    b's text travels to a's key once per pair and a's text once; adaptive execution splits
-    the rows of a hub that many pairs name.
+    `texts` has buckets of nodes and is not shuffled: the pairs come to it. From there b's text travels to a's key once
+    per pair and the hubs' texts once; adaptive execution splits the rows of a hub that many pairs name.
     """
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    # Stored, the hubs' texts are without buckets, whose rows adaptive execution could not split.
+    hubs = materialise(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "hubs")
+    a = hubs.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, INFO)
 
 
@@ -226,18 +228,21 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         F.min("doc_id").alias("lead"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         F.any_value("bands").alias("bands")), "nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    sizes = spread.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = materialise(spread.join(sizes, ["band", "hash"]), "buckets")
+    sizes = materialise(spread.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    shared = materialise(sieved(spread, ["band", "hash"], sizes).join(sizes, ["band", "hash"]), "buckets")
     weight = shared.groupBy("node").agg(F.sum("m").alias("weight"))
     members = materialise(shared.drop("m").join(weight, "node").withColumns(
         {"root": F.col("node"), "asks": F.lit(True)}), "members")
     reps = nodes.join(weight.select("node"), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     reps = materialise(reps, "reps")
-    texts = materialise(source.join(reps, (source["text_hash"] == reps["rhash"]) & source["doc_id"].eqNullSafe(
-        reps["rid"])).select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = sieved(source, ["text_hash"], reps.select(F.col("rhash").alias("text_hash")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = bucketed(wanted.join(reps, (wanted["text_hash"] == reps["rhash"]) & wanted["doc_id"].eqNullSafe(
+        reps["rid"])).select("node", "text").dropDuplicates(["node"]), "texts", buckets, "node")
 
     info = roots = None
+    folders: list[str] = []
     for turn in count():
         rest = materialise(met_by_hubs(members), "rest")
         pairs = rest.groupBy(F.least("hub", "node").alias("lo"), F.greatest("hub", "node").alias("hi")).agg(F.min("hub").alias("a"))
@@ -247,10 +252,14 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
         # Stored, few pairs are sent to the texts, and not all texts to the pairs.
         pairs = materialise(pairs, "pairs")
         turned = F.col("a") > F.col("b")
-        found = materialise(compare(pairs, texts).select(
+        found = compare(pairs, texts).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
-            F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "differ"), "compared")
-        info = found if info is None else info.union(found)
+            F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "differ")
+        folders.append(fresh_path(spark, "compared"))
+        found.write.parquet(folders[-1])
+        # One scan of all turns' folders: a union would make every turn's plans larger, and the driver compile them anew.
+        info = spark.read.schema(found.schema).parquet(*folders)
+        found = spark.read.schema(found.schema).parquet(folders[-1])
         linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
         if roots is None or found.filter(linked).limit(1).count():
             roots = components(info.filter(linked))

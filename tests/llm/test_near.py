@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowkeel.llm import circulant, fingerprint, graph
 from flowkeel.llm import text as T
+from flowkeel.llm.frames import sieved
 from tests.llm.odd import SCHEMA, bag, documents, rows, shingles
 
 
@@ -81,6 +83,31 @@ def test_pairs_are_stored_before_they_meet_the_texts(spark, monkeypatch):
     assert hubs and all(n == distinct for n, distinct in hubs)
 
 
+def test_pairs_come_to_the_buckets_of_texts(spark, monkeypatch):
+    """Texts meet a turn's pairs without being shuffled; of the rows without a part in any pair few are sent at all."""
+    plans, sent, compare, sieved = [], [], circulant.compare, circulant.sieved
+    monkeypatch.setattr(circulant, "compare", lambda pairs, texts: plans.append(
+        pairs.select("b").hint("merge").join(texts, pairs["b"] == texts["node"])._jdf.queryExecution().executedPlan().toString()) or compare(pairs, texts))
+    monkeypatch.setattr(circulant, "sieved", lambda *a: sent.append((a[0].count(), sieved(*a).count())) or sieved(*a))
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(600)]
+    data += [(1000 + i, data[i][1] + " more") for i in range(10)]
+    assert groups(spark.createDataFrame(data, "doc_id long, text string"), 85) == brute(data, 85)
+    assert plans and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    assert len(sent) == 2 and all(some < every / 4 for every, some in sent)
+
+
+def test_sieve_keeps_every_key_and_few_others(spark):
+    rows_ = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("other"))
+    keys = spark.range(0, 100_000, 20).select(F.col("id").alias("k"))
+    kept = sieved(rows_, ["k"], keys)
+    assert kept.columns == ["k", "other"]
+    assert kept.join(keys, "k").count() == 5000 and kept.count() < 5000 + 95_000 // 40
+    assert sieved(rows_, ["k"], keys.limit(0)).count() == 0
+    assert sieved(rows_, ["k"], keys, limit=100).count() == 100_000
+    odd = spark.createDataFrame([(None, "a"), (1, None), (2, "b")], "n int, t string")
+    assert sieved(odd, ["n", "t"], odd).count() == 3
+
+
 def test_empty_table_and_one_row_per_group(spark):
     empty = documents(spark, lambda r: False)
     assert groups(empty, 80) == []
