@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.llm import text as T
-from flowkeel.llm.frames import same_row, sieved
+from flowkeel.llm.frames import same_row, sieved, sized
 from flowkeel.llm.graph import components
 from flowkeel.session import bucketed, fresh_path, materialise, ship_package
 
 BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
+MEETINGS = 16
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -97,6 +98,16 @@ def sketcher(width: int, rows: int, signer: Callable = signatures):
     return run
 
 
+NAMED = "node binary, text string"
+
+
+def name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the names of their shingle sets, as `sketcher` names them."""
+    for batch in T.blocks(batches, "text"):
+        sets, first = T.shingle_sets(*T.word_hashes(*T.text_buffers(batch.column(0))))
+        yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, first), pa.binary()), batch.column(0)], names=["node", "text"])
+
+
 INFO = "a binary, b binary, both long, size_a long, size_b long, differ array<long>"
 
 
@@ -167,6 +178,20 @@ def still_open(rest: DataFrame) -> DataFrame:
     return mixed(rest.filter("open")).select("hub", "node", "weight", "root").dropDuplicates(["hub", "node"])
 
 
+def every_pair(members: DataFrame, most: int) -> DataFrame | None:
+    """All pairs (a, b) that members may still link, if these are `most` or fewer.
+
+    They are only listed where the buckets make at most `MEETINGS` times as many, as the same two meet in several buckets.
+    """
+    made = members.groupBy("band", "hash").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    if made > MEETINGS * most:
+        return None
+    a = members.select("band", "hash", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("asks").alias("asks_a"))
+    b = members.select("band", "hash", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("asks").alias("asks_b"))
+    pairs = materialise(a.join(b, ["band", "hash"]).filter("a < b and root_a <> root_b and (asks_a or asks_b)").select("a", "b").distinct(), "every")
+    return pairs if pairs.count() <= most else None
+
+
 def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> DataFrame:
     """Who may still be linked across components once a bucket's hub has met all others, in new buckets.
 
@@ -182,26 +207,29 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     """
     pair = (F.least(rest["hub"], rest["node"]) == info["a"]) & (F.greatest(rest["hub"], rest["node"]) == info["b"])
     size = F.when(rest["node"] == info["a"], F.col("size_a")).otherwise(F.col("size_b"))
-    one = rest.join(info, pair).select(
-        "hub", "node", "weight", "root", "differ", ((100 + percent) * F.size("differ") - (100 - percent) * size).alias("g"))
-    one = materialise(one, "seen")
+    one = sized(rest).join(info, pair).select(
+        "hub", "node", "weight", "root", "differ", F.size("differ").alias("n"), ((100 + percent) * F.size("differ") - (100 - percent) * size).alias("g"))
+    one = materialise(one.withColumn("id", F.monotonically_increasing_id()), "seen")
     by_root = one.groupBy("hub", "root").agg(F.min("g").alias("g"))
-    first = by_root.groupBy("hub").agg(F.min(F.struct("g", "root")).alias("first"))
-    second = by_root.join(first, "hub").filter(F.col("root") != F.col("first.root")).groupBy("hub").agg(F.min("g").alias("second"))
-    least = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.g"))
+    lowest = by_root.withColumn("nth", F.row_number().over(Window.partitionBy("hub").orderBy("g", "root"))).filter("nth <= 2")
+    two = F.struct("g", "root")
+    hubs = lowest.groupBy("hub").agg(F.min(two).alias("first"), F.max(two).alias("second"), F.count("*").alias("roots")).filter("roots = 2").drop("roots")
+    least = F.when(F.col("root") == F.col("first.root"), F.col("second.g")).otherwise(F.col("first.g"))
 
     def reach(partner):
-        return F.size("differ") - F.ceil((F.col("g") + partner) / F.lit(2 * (100 + percent))) + 1
-
-    own = one.join(first, "hub").join(second, "hub").withColumns({"answers": reach(least), "asking": reach(F.greatest("g", least))}).filter(
-        "answers > 0").select("hub", "node", "weight", "root", "answers", "asking", F.explode("differ").alias("shingle"))
-    own = materialise(own, "differ")
-    holders = own.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
-    order = Window.partitionBy("hub", "node").orderBy("holders", "shingle")
-    outside = own.join(holders, ["hub", "shingle"]).withColumn("place", F.row_number().over(order)).filter(
-        (F.col("place") <= F.col("answers")) & (F.col("holders") > 1)).select(
-        F.lit(-1 - turn).alias("band"), F.xxhash64("hub", "shingle").alias("hash"), "node", "weight", "root",
-        (F.col("place") <= F.col("asking")).alias("asks"))
+        return F.col("n") - F.ceil((F.col("g") + partner) / F.lit(2 * (100 + percent))) + 1
+
+    able = one.join(sized(hubs), "hub").withColumns({"answers": reach(least), "asking": reach(F.greatest("g", least))}).filter("answers > 0")
+    own = able.select("id", "hub", F.explode("differ").alias("shingle")).select("id", F.xxhash64("hub", "shingle").alias("hash"))
+    # What a member alone differs in comes first in its order and makes no bucket: it is counted (`n - common`) and not sent on.
+    held = own.withColumn("holders", F.count("*").over(Window.partitionBy("hash"))).filter("holders > 1")
+    each = Window.partitionBy("id")
+    held = held.withColumns({"common": F.count("*").over(each), "nth": F.row_number().over(each.orderBy("holders", "hash"))})
+    place = F.col("n") - F.col("common") + F.col("nth")
+    outside = held.join(able.select("id", "node", "weight", "root", "n", "answers", "asking"), "id").filter(place <= F.col("answers")).select(
+        F.lit(-1 - turn).alias("band"), "hash", "node", "weight", "root", (place <= F.col("asking")).alias("asks"))
+    # Stored: what asks and what spans components is found from it without sending all differences again.
+    outside = materialise(outside, "outside")
     asked = outside.groupBy("band", "hash").agg(F.max("asks").alias("any")).filter("any").select("band", "hash")
     return mixed(outside.join(asked, ["band", "hash"], "left_semi"))
 
@@ -216,7 +244,7 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     the others; members that it links need no links among themselves. A bucket that still
     spans components gives up its hub, whose pairs are done. The others meet again only where
     they differ from the hub alike (`next_members`), in buckets with hubs of their own, until none
-    spans components. No pair is compared twice, in either direction.
+    spans components, or until all pairs left are at most twice those compared: these then are the last. No pair is compared twice, in either direction.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -236,34 +264,40 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
     reps = nodes.join(weight.select("node"), "node", "left_semi").select(
         "node", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     reps = materialise(reps, "reps")
-    wanted = sieved(source, ["text_hash"], reps.select(F.col("rhash").alias("text_hash")))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = bucketed(wanted.join(reps, (wanted["text_hash"] == reps["rhash"]) & wanted["doc_id"].eqNullSafe(
-        reps["rid"])).select("node", "text").dropDuplicates(["node"]), "texts", buckets, "node")
+    wanted = sieved(source, ["text_hash", "doc_id"], reps.select(F.col("rhash").alias("text_hash"), F.col("rid").alias("doc_id")))
+    # Named anew, the texts go to their nodes' buckets at once, and not to their rows' ids before.
+    texts = wanted.select("text").mapInArrow(name_sets, NAMED).join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    texts = bucketed(texts, "texts", int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
 
     info = roots = None
     folders: list[str] = []
     for turn in count():
-        rest = materialise(met_by_hubs(members), "rest")
-        pairs = rest.groupBy(F.least("hub", "node").alias("lo"), F.greatest("hub", "node").alias("hi")).agg(F.min("hub").alias("a"))
+        pairs = every_pair(members, 2 * info.count()) if info is not None else None
+        last = pairs is not None
+        if last:
+            pairs = pairs.select("a", "b", F.col("a").alias("lo"), F.col("b").alias("hi"))
+        else:
+            rest = materialise(met_by_hubs(members), "rest")
+            pairs = rest.groupBy(F.least("hub", "node").alias("lo"), F.greatest("hub", "node").alias("hi")).agg(F.min("hub").alias("a")).withColumn(
+                "b", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
         if info is not None:
-            pairs = pairs.join(info, (pairs["lo"] == info["a"]) & (pairs["hi"] == info["b"]), "left_anti")
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+            known = info.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+            pairs = pairs.join(known, ["lo", "hi"], "left_anti")
         # Stored, few pairs are sent to the texts, and not all texts to the pairs.
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs.select("a", "b"), "pairs")
         turned = F.col("a") > F.col("b")
         found = compare(pairs, texts).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
             F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "differ")
         folders.append(fresh_path(spark, "compared"))
-        found.write.parquet(folders[-1])
+        (found.drop("differ") if last else found).write.parquet(folders[-1])
         # One scan of all turns' folders: a union would make every turn's plans larger, and the driver compile them anew.
         info = spark.read.schema(found.schema).parquet(*folders)
         found = spark.read.schema(found.schema).parquet(folders[-1])
         linked = 100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))
         if roots is None or found.filter(linked).limit(1).count():
             roots = components(info.filter(linked))
-        if not rest.limit(1).count():
+        if last or not rest.limit(1).count():
             break
         known = roots.withColumnRenamed("root", "new_root")
         rest = rest.drop("asks").join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")

@@ -152,6 +152,45 @@ def test_pairs_grow_with_the_members_that_stay_apart(spark, monkeypatch, base_to
     assert made[200] < 8 * made[50] and made[200] < 200 * 12
 
 
+def families(n, seed):
+    """Copies of a base that stay apart from it, and of each a copy that is linked to it alone."""
+    rng = random.Random(seed)
+    out = unlinked(n, seed, True)
+    for text in out[1:]:
+        words = text.split(" ")
+        words[rng.randrange(1, 400, 5)] = f"more{rng.random()}"
+        out.append(" ".join(words))
+    return list(enumerate(out))
+
+
+def test_differences_are_sent_once_by_shingle_and_once_by_member(spark, monkeypatch):
+    """What members differ in is exploded and dealt once a turn, and members that cannot meet are not dealt again."""
+    plans, plain = [], circulant.materialise
+    monkeypatch.setattr(circulant, "materialise", lambda df, name: (plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) if name == "outside" else None) or plain(df, name))
+    data = families(30, 5)
+    assert groups(spark.createDataFrame(data, "doc_id long, text string"), 80) == brute(data, 80)
+    assert plans and all(p.count("Generate explode") == 1 and p.count("hashpartitioning(hash") == p.count("hashpartitioning(id") == 1 for p in plans)
+
+
+def test_few_pairs_left_are_the_last(spark, monkeypatch):
+    """As soon as all pairs left are few they are compared at once, and no turn follows."""
+    turns, left, following, plain = [], [], circulant.next_members, circulant.compare
+    monkeypatch.setattr(circulant, "next_members", lambda *a: turns.append(a[-1]) or following(*a))
+    monkeypatch.setattr(circulant, "compare", lambda pairs, texts: left.append(pairs.count()) or plain(pairs, texts))
+    data = families(30, 5)
+    assert groups(spark.createDataFrame(data, "doc_id long, text string"), 80) == brute(data, 80)
+    assert turns == [0] and len(left) == 2 and left[1] <= 2 * left[0]
+
+
+def test_every_pair_of_members_that_may_be_linked(spark):
+    rows_ = [(0, 1, b"a", b"a", True), (0, 1, b"b", b"b", False), (0, 1, b"c", b"b", False), (0, 2, b"a", b"a", True), (0, 2, b"b", b"b", True),
+             (0, 3, b"b", b"b", False), (0, 3, b"d", b"d", False)]
+    members = spark.createDataFrame(rows_, "band int, hash long, node binary, root binary, asks boolean")
+    assert bag(circulant.every_pair(members, 2)) == bag(spark.createDataFrame([(b"a", b"b"), (b"a", b"c")], "a binary, b binary"))
+    assert circulant.every_pair(members, 1) is None and circulant.every_pair(members, 0) is None
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
