@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowkeel.schema import HEADS_SCHEMA
@@ -38,9 +38,12 @@ OPTION_TSRESOL = 9
 DEFAULT_TICKS = 1_000_000
 
 SPLIT_BYTES = 64 << 20
+TASKS_PER_CORE = 4
 MAX_RECORD = 1 << 18
 # Longest block that a guess may start from; longer ones are met by hopping only.
 MAX_BLOCK = 1 << 20
+# Words that a guess looks at first; it looks further where no run of blocks opens among them.
+FIRST_LOOK = 1 << 10
 PROOF_RECORDS = 8
 # Ethernet header, the longest IPv4 header, and both ports.
 HEAD_BYTES = 14 + 60 + 4
@@ -202,29 +205,33 @@ def _block_size(cur: Cursor, offset: int, order: str) -> int:
 def _guess_block(cur: Cursor, lo: int) -> tuple[int, str | None]:
     """The first offset from `lo` that opens a run of whole blocks, and their byte order; -1 if there is none."""
     lo += -lo % 4
-    window = cur.take(lo, MAX_BLOCK + 12)
-    words = np.frombuffer(window[:len(window) // 4 * 4], "<u4")
-    found = []
-    for order in ("<", ">"):
-        sizes = words.view(order + "u4")[1:].astype(np.int64)
-        at = np.flatnonzero((sizes >= 12) & (sizes % 4 == 0) & (sizes <= MAX_BLOCK) & (lo + 4 * np.arange(len(sizes)) + sizes <= cur.length))
-        end = at + sizes[at] // 4 - 1
-        seen = end < len(words)
-        same = np.ones(len(at), bool)
-        same[seen] = words.view(order + "u4")[end[seen]] == sizes[at[seen]]
-        found += [(int(i), order) for i in at[same]]
-    for first, order in sorted(found):
-        offset, own = lo + 4 * first, order
-        for _ in range(PROOF_RECORDS):
-            if cur.take(offset, 4) == SECTION_BYTES and (mark := cur.take(offset + 8, 4)) in BYTE_ORDER:
-                own = BYTE_ORDER[mark]
-            size = _block_size(cur, offset, own)
-            offset = offset + size if size > 0 else -1
-            if offset < 0 or offset == cur.length:
-                break
-        if offset >= 0:
-            return lo + 4 * first, order
-    return (cur.length, None) if len(window) < 12 else (-1, None)
+    room = min(MAX_BLOCK + 12, cur.length - lo)
+    at_word, look = 0, FIRST_LOOK
+    while at_word < room // 4 - 1:
+        base, n = lo + 4 * at_word, min(look, room // 4 - 1 - at_word)
+        words = np.frombuffer(cur.take(base, 4 * n + 4), "<u4")
+        found = []
+        for order in ("<", ">"):
+            sizes = words.view(order + "u4")[1:].astype(np.int64)
+            at = np.flatnonzero((sizes >= 12) & (sizes % 4 == 0) & (sizes <= MAX_BLOCK) & (base + 4 * np.arange(len(sizes)) + sizes <= cur.length))
+            end = at + sizes[at] // 4 - 1
+            seen = end < len(words)
+            same = np.ones(len(at), bool)
+            same[seen] = words.view(order + "u4")[end[seen]] == sizes[at[seen]]
+            found += [(int(i), order) for i in at[same]]
+        for first, order in sorted(found):
+            offset, own = base + 4 * first, order
+            for _ in range(PROOF_RECORDS):
+                if cur.take(offset, 4) == SECTION_BYTES and (mark := cur.take(offset + 8, 4)) in BYTE_ORDER:
+                    own = BYTE_ORDER[mark]
+                size = _block_size(cur, offset, own)
+                offset = offset + size if size > 0 else -1
+                if offset < 0 or offset == cur.length:
+                    break
+            if offset >= 0:
+                return base + 4 * first, order
+        at_word, look = at_word + n, 4 * look
+    return (cur.length, None) if room < 12 else (-1, None)
 
 
 def _probe_blocks(cur: Cursor, file: str, k: int, lo: int, hi: int) -> tuple:
@@ -292,6 +299,17 @@ def _splits_schema(probed: bool = False) -> pa.Schema:
                       ("ticks", pa.list_(pa.int64())), *more])
 
 
+def _dealt(ranges: DataFrame, size: Column) -> tuple[DataFrame, int]:
+    """Ranges of `size` bytes dealt over tasks, and their number: one for each range, but no more than some for each core or a split's bytes ask for.
+
+    Ranges far below a split's size share tasks, whose start would take longer than they do.
+    """
+    count, total = ranges.agg(F.count("*"), F.sum(size)).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(count, max(TASKS_PER_CORE * cores, -(-(total or 0) // SPLIT_BYTES)), 100_000))
+    return ranges.repartition(n), n
+
+
 def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Proven ranges of the captures: whole records, in parallel readable."""
     ship_package(spark)
@@ -299,7 +317,7 @@ def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int
     files = files.filter(F.col("length") > 0)
     last = F.call_function("div", F.col("length") - 1, F.lit(split_bytes))
     ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
-    n = max(1, min(ranges.count(), 100_000))
+    dealt, n = _dealt(ranges, F.least(F.lit(split_bytes), F.col("length") - F.col("k") * split_bytes))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,7 +330,7 @@ def index_captures(spark: SparkSession, path: str | list[str], split_bytes: int
                 with Cursor(file) as cur:
                     yield _table(_walk(cur, file, split_bytes), _splits_schema())
 
-    probed = materialise(ranges.repartition(n).mapInArrow(probe, PROBES_DDL), "capture-probes")
+    probed = materialise(dealt.mapInArrow(probe, PROBES_DDL), "capture-probes")
     by_file = Window.partitionBy("file")
     arrived = F.lag("stop").over(by_file.orderBy("k"))
     met = (F.col("start") >= 0) & ((F.col("k") == 0) | (arrived.eqNullSafe(F.col("start"))))
@@ -378,7 +396,8 @@ def _frames(cur: Cursor, split: dict, head: int | None) -> Iterator[pa.RecordBat
     order, ticks, stop = split["byte_order"], list(split["ticks"]), split["stop"]
     plain = split["kind"] == "pcap"
     header, skip = (RECORD_HEADER, RECORD_HEADER) if plain else (12, 28)
-    offset, wanted = split["start"], BATCH_BYTES
+    offset = split["start"]
+    wanted = min(BATCH_BYTES, stop - offset)
     while offset < stop:
         raw = cur.take(offset, wanted)
         whole = offset + len(raw) >= cur.length
@@ -420,7 +439,8 @@ def _frames(cur: Cursor, split: dict, head: int | None) -> Iterator[pa.RecordBat
             yield _gathered(split, cur, offset, raw, found, order, skip, ticks, head)
         if not at and (whole or need <= wanted):
             return
-        offset, wanted = offset + at, BATCH_BYTES if at else need
+        offset += at
+        wanted = min(BATCH_BYTES, stop - offset) if at else need
 
 
 def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES,
@@ -432,12 +452,12 @@ def read_frames(spark: SparkSession, path: str | list[str], split_bytes: int = S
     bytes were captured.
     """
     splits = materialise(index_captures(spark, path, split_bytes), "capture-splits")
-    n = max(1, min(splits.count(), 100_000))
+    dealt, _ = _dealt(splits, F.col("stop") - F.col("start"))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for split in b.to_pylist():
-                with Cursor(split["file"]) as cur:
+                with Cursor(split["file"], min(4 << 20, max(split["stop"] - split["start"], 4096))) as cur:
                     yield from _frames(cur, split, head)
 
-    return splits.repartition(n).mapInArrow(frames, HEADS_SCHEMA)
+    return dealt.mapInArrow(frames, HEADS_SCHEMA)

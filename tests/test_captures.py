@@ -214,3 +214,48 @@ def test_long_frames_are_hopped_over(spark, tmp_path, monkeypatch):
     got = read_frames(spark, str(tmp_path), head=10).orderBy("ord").collect()
     assert [(r["ts_us"], bytes(r["frame"]), r["caplen"]) for r in got] == [(i * 10**6, bytes([i]) * 10, 3_000_000) for i in range(1, 5)]
     assert frames(spark, tmp_path) == expected(recs)
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """A task for each of many small ranges costs more than what they hold."""
+    raw, want = many_sections(4000)
+    (tmp_path / "a.pcapng").write_bytes(raw)
+    assert index_captures(spark, str(tmp_path), 700).count() > 500
+    got = read_frames(spark, str(tmp_path), 700, head=None)
+    assert got.rdd.getNumPartitions() <= captures.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert [(r["ts_us"], r["wirelen"], bytes(r["frame"])) for r in got.orderBy("ord").collect()] == want
+
+
+def test_ranges_are_read_about_once(tmp_path, monkeypatch):
+    """What is read for small ranges follows their size, not that of a guess's window or a batch."""
+    raw, want = many_sections(6000)
+    (tmp_path / "a.pcapng").write_bytes(raw)
+    size, read = 10_000, []
+    plain = captures.Cursor.take
+
+    def take(self, offset, n):
+        known = (self.at, len(self.buffer))
+        out = plain(self, offset, n)
+        if (self.at, len(self.buffer)) != known:
+            read.append(len(self.buffer))
+        return out
+
+    monkeypatch.setattr(captures.Cursor, "take", take)
+    n = -(-len(raw) // size)
+    for k in range(n):
+        captures._probe(str(tmp_path / "a.pcapng"), k, size)
+    assert sum(read) < 4 * len(raw)
+    read.clear()
+    split = {"file": "a", "kind": "pcapng", "start": 0, "stop": size, "byte_order": "<", "ticks": []}
+    with captures.Cursor(str(tmp_path / "a.pcapng"), size) as cur:
+        assert sum(b.num_rows for b in captures._frames(cur, split, None)) > 50
+    assert sum(read) < 3 * size
+
+
+def test_guess_looks_as_far_as_the_longest_block(tmp_path):
+    """The first run of whole blocks is found wherever it begins, and none behind the last place for a guess."""
+    run = b"".join(enhanced(">", i, b"abc") for i in range(captures.PROOF_RECORDS + 1))
+    for before in (0, 4, 4 * captures.FIRST_LOOK - 4, 4 * captures.FIRST_LOOK, 4 * captures.FIRST_LOOK + 4, 100_000, captures.MAX_BLOCK + 4, captures.MAX_BLOCK + 8):
+        (tmp_path / "a").write_bytes(b"\xff" * before + run + b"\xff" * 8000)
+        with captures.Cursor(str(tmp_path / "a"), 4096) as cur:
+            assert captures._guess_block(cur, 0) == ((before, ">") if before <= captures.MAX_BLOCK + 4 else (-1, None))
