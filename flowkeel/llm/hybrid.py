@@ -23,6 +23,7 @@ not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkeel.llm import text as T
-from flowkeel.session import materialise, ship_package
+from flowkeel.llm.compact import load, save
+from flowkeel.session import fresh_path, materialise, ship_package
 
 SEGMENT_BYTES = 16 << 20
 #: Entries that share a bound.
@@ -44,6 +46,7 @@ SHORT = 8
 #: Items and terms of a block of items.
 BLOCK_ITEMS = 4096
 BLOCK_TERMS = 1 << 20
+MOST_TASKS = 100_000
 
 #: ASCII characters that part terms: all but digits and letters.
 PARTS = np.ones(256, bool)
@@ -101,10 +104,39 @@ def block_starts(dfs: np.ndarray) -> np.ndarray:
     return np.repeat(lists, n) + BLOCK * (np.arange(int(n.sum())) - np.repeat(first, n))
 
 
+#: A segment's arrays: what its file of terms and its file of lists hold, behind the documents' ids and which of them are known.
+TERMS = {"terms": np.uint64, "dfs": np.int32}
+LISTS = {"sizes": np.int64, "docs": np.int32, "tfs": np.int32, "most": np.int32, "least": np.int64}
+INDEX = "path string, n_docs long, n_terms long"
+
+
+def stored(folder: str):
+    """Writes segments to files that tasks map: as values of rows they would pass through the JVM's memory, several at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in segments(batches):
+            path, ids = f"{folder}/{uuid.uuid4().hex}", found.column("doc_ids").values
+            held = {name: np.frombuffer(found.column(name)[0].as_buffer(), kind) for name, kind in (TERMS | LISTS).items()}
+            save(path + ".terms", [held[name] for name in TERMS])
+            save(path + ".lists", [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), *[held[name] for name in LISTS]])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), found.column("n_docs"), found.column("n_terms")], names=["path", "n_docs", "n_terms"])
+    return run
+
+
+def opened(path: str, lists: bool = True) -> dict:
+    """The arrays of a stored segment."""
+    array = load(path + ".terms")
+    row = {name: array(kind) for name, kind in TERMS.items()}
+    if lists:
+        array = load(path + ".lists")
+        row |= {"ids": array(np.int64), "known": array(bool), **{name: array(kind) for name, kind in LISTS.items()}}
+    return row
+
+
 def build(docs: DataFrame) -> DataFrame:
-    """The index of all rows of docs (doc_id, text), stored in the shared folder; a row per segment."""
+    """The index of all rows of docs (doc_id, text), stored in the shared folder; a row per segment names its files."""
     ship_package(docs.sparkSession)
-    return materialise(docs.select("doc_id", "text").mapInArrow(segments, SEGMENT), "segments")
+    folder = fresh_path(docs.sparkSession, "segments")
+    return materialise(docs.select("doc_id", "text").mapInArrow(stored(folder), INDEX), "segment-names")
 
 
 def term_weights(dfs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -232,8 +264,8 @@ def counter(wanted):
         asked = wanted.value
         total = np.zeros(len(asked), np.int64)
         for batch in batches:
-            for own, dfs in zip(batch.column(0), batch.column(1), strict=True):
-                own, dfs = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(dfs.as_buffer(), np.int32)
+            for path in batch.column(0).to_pylist():
+                own, dfs = opened(path, lists=False).values()
                 if len(own):
                     spot = np.minimum(np.searchsorted(own, asked), len(own) - 1)
                     total += np.where(own[spot] == asked, dfs[spot], 0)
@@ -246,7 +278,8 @@ def ranker(wanted, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, weights, items, n_docs, n_terms = wanted.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for path in batch.column(0).to_pylist():
+                row = opened(path)
                 segment = Segment(row, n_docs, n_terms)
                 if not len(segment.terms):
                     continue
@@ -259,7 +292,7 @@ def ranker(wanted, k: int):
                         continue
                     d, s = search_segment(segment, spot[own], weights[own], k)
                     names += [number] * len(d)
-                    docs += [row["doc_ids"][i] for i in d]
+                    docs += [int(row["ids"][i]) if row["known"][i] else None for i in d]
                     scores += s.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64()), pa.array(scores, pa.int64())],
                                                  names=["item", "doc_id", "score"])
@@ -291,7 +324,9 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents of the index for every row of items (item_id, text)."""
     spark = index.sparkSession
     ship_package(spark)
-    n_docs, n_terms = (int(v or 0) for v in index.agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    n_docs, n_terms, n = (int(v or 0) for v in index.agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first())
+    # The rows are small and the files that they name are not: a task for each.
+    paths = index.select("path").repartition(max(1, min(n, MOST_TASKS)))
     numbered = materialise(items.select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "items")
     asked = materialise(numbered.select("item", "text").mapInArrow(item_terms, "item long, terms binary"), "item-terms")
     out = None
@@ -301,11 +336,11 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
             continue
         sent = spark.sparkContext.broadcast(words)
         dfs = np.zeros(len(words), np.int64)
-        for place, df in index.select("terms", "dfs").mapInArrow(counter(sent), "place long, df long").groupBy("place").agg(F.sum("df")).collect():
+        for place, df in paths.mapInArrow(counter(sent), "place long, df long").groupBy("place").agg(F.sum("df")).collect():
             dfs[place] = df
         places = [(n, np.searchsorted(words, t)) for n, t in block]
         full = spark.sparkContext.broadcast((words, term_weights(dfs, n_docs), places, n_docs, n_terms))
-        found = index.mapInArrow(ranker(full, k), "item long, doc_id long, score long")
+        found = paths.mapInArrow(ranker(full, k), "item long, doc_id long, score long")
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], "item long, doc_id long, score long")

@@ -102,3 +102,18 @@ def test_block_bounds_hold():
         tops = segment.top[segment.first_block[k]:segment.first_block[k + 1]]
         assert len(tops) == -(-len(gains) // hybrid.BLOCK)
         assert all(gains[j * hybrid.BLOCK:(j + 1) * hybrid.BLOCK].max() <= tops[j] for j in range(len(tops)))
+
+
+def test_segments_are_files_that_tasks_map(spark, tmp_path):
+    """Rows of the index only name segments: their lists never pass through the JVM, however large they are."""
+    docs = zipf(3, 300) + [(None, "T0 only"), (7, None), (8, "")]
+    index = hybrid.build(frames(spark, docs, [])[0])
+    assert index.dtypes == [("path", "string"), ("n_docs", "bigint"), ("n_terms", "bigint")]
+    rows_ = index.collect()
+    held = [hybrid.opened(r["path"]) for r in rows_]
+    ids = [int(i) if k else None for h in held for i, k in zip(h["ids"], h["known"], strict=True)]
+    assert sorted(ids, key=repr) == sorted((i for i, _ in docs), key=repr)
+    assert sum(r["n_docs"] for r in rows_) == 301 and sum(r["n_terms"] for r in rows_) == sum(int(h["sizes"].sum()) for h in held)
+    items = [(1, "t0 t5"), (2, "only")]
+    found = hybrid.search(index, frames(spark, docs, items)[1])
+    assert bag(found) == brute([(i, t or "") for i, t in docs], items)
