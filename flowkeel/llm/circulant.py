@@ -33,6 +33,8 @@ BINS = 1 << 21
 ROWS = 5
 MISS = 1e-7
 MEETINGS = 16
+#: Hubs that are broadcast, of about 250 bytes each.
+HUB_ROWS = 10_000
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -205,9 +207,10 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     all share, or all have changed alike, brings nobody together, and copies that differ from a lost
     original each in their own way never meet.
     """
-    pair = (F.least(rest["hub"], rest["node"]) == info["a"]) & (F.greatest(rest["hub"], rest["node"]) == info["b"])
-    size = F.when(rest["node"] == info["a"], F.col("size_a")).otherwise(F.col("size_b"))
-    one = sized(rest).join(info, pair).select(
+    # Members are as many as the corpus makes them, so they are not broadcast: bitmaps of their pairs keep the other pairs' differences out of the shuffle.
+    asked = rest.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")})
+    size = F.when(F.col("node") == F.col("a"), F.col("size_a")).otherwise(F.col("size_b"))
+    one = asked.join(sieved(info, ["a", "b"], asked), ["a", "b"]).select(
         "hub", "node", "weight", "root", "differ", F.size("differ").alias("n"), ((100 + percent) * F.size("differ") - (100 - percent) * size).alias("g"))
     one = materialise(one.withColumn("id", F.monotonically_increasing_id()), "seen")
     by_root = one.groupBy("hub", "root").agg(F.min("g").alias("g"))
@@ -219,7 +222,7 @@ def next_members(rest: DataFrame, info: DataFrame, percent: int, turn: int) -> D
     def reach(partner):
         return F.col("n") - F.ceil((F.col("g") + partner) / F.lit(2 * (100 + percent))) + 1
 
-    able = one.join(sized(hubs), "hub").withColumns({"answers": reach(least), "asking": reach(F.greatest("g", least))}).filter("answers > 0")
+    able = one.join(sized(hubs, HUB_ROWS), "hub").withColumns({"answers": reach(least), "asking": reach(F.greatest("g", least))}).filter("answers > 0")
     own = able.select("id", "hub", F.explode("differ").alias("shingle")).select("id", F.xxhash64("hub", "shingle").alias("hash"))
     # What a member alone differs in comes first in its order and makes no bucket: it is counted (`n - common`) and not sent on.
     held = own.withColumn("holders", F.count("*").over(Window.partitionBy("hash"))).filter("holders > 1")
@@ -301,7 +304,10 @@ def near_groups(docs: DataFrame, percent: int = 80, signer: Callable = signature
             break
         known = roots.withColumnRenamed("root", "new_root")
         rest = rest.drop("asks").join(known, "node", "left").withColumn("root", F.coalesce("new_root", "node")).drop("new_root")
-        members = materialise(next_members(materialise(still_open(rest), "open"), info, percent, turn), "members")
+        left = materialise(still_open(rest), "open")
+        if not left.limit(1).count():
+            break
+        members = materialise(next_members(left, info, percent, turn), "members")
         if not members.limit(1).count():
             break
 

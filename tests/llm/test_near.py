@@ -241,3 +241,21 @@ def test_edited_texts_of_odd_and_no_rows(spark):
 def test_fingerprint_bands_find_the_same_groups(spark):
     got = bag(fingerprint.near_groups(documents(spark), 85).select("doc_id", "n_shingles", "component_id", "kept"))
     assert got == brute(rows(), 85) and SCHEMA
+
+
+def test_members_are_not_sent_through_the_driver(spark, monkeypatch):
+    """What the driver broadcasts in a turn is bitmaps and few hubs, however many members are left."""
+    rest_plans, plain = [], circulant.materialise
+
+    def kept(df, name):
+        if name == "seen":
+            rest_plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(circulant, "materialise", kept)
+    monkeypatch.setattr(circulant, "HUB_ROWS", 0)
+    assert groups(documents(spark), 85) == brute(rows(), 85)
+    assert rest_plans
+    for plan in rest_plans:
+        marked = [line for line in plan.splitlines() if "strategy=broadcast" in line]
+        assert len(marked) == 2 and all("_map" in line and "hub" not in line for line in marked)
